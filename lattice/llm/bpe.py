@@ -14,10 +14,11 @@ gives an empty result; only the named columns are read, so other columns cannot
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -45,6 +46,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class _Pieces(dict):
+    """Piece to its ids as int32 bytes; remembers short pieces and starts afresh when full."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.encoder.encode_bytes(piece.encode())).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -59,7 +75,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known = _Pieces(self)
 
     def _shorter(self, rank: int) -> int:
         """The longest token that is a proper prefix; -1 if there is none."""
@@ -101,22 +117,14 @@ class Encoder:
                 at -= length[token]
         return out
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as int32 bytes."""
+        if len(text) < BATCH_CHARS:
+            return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        return b"".join(self.known[m[0]] for m in self.pattern.finditer(text))
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, matches = self.known, self.pattern.finditer(text)
-        while pieces := (self.pattern.findall(text) if len(text) < BATCH_CHARS else [m[0] for m in islice(matches, 100_000)]):
-            for piece in pieces:
-                found = known.get(piece)
-                if found is None:
-                    found = self.encode_bytes(piece.encode())
-                    if len(piece) <= CACHED_CHARS:
-                        if len(known) >= CACHED_PIECES:
-                            known.clear()
-                        known[piece] = found
-                ids += found
-            if len(text) < BATCH_CHARS:
-                break
-        return ids
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -137,15 +145,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             start, size, rows = 0, 0, []
             for i, text in enumerate(batch.column(1)):
-                rows.append(encoder.encode(text.as_py() or ""))
+                rows.append(encoder.packed(text.as_py() or ""))
                 size += len(rows[-1])
-                if size > BATCH_CHARS:
+                if size > 4 * BATCH_CHARS:
                     yield _batch(batch, start, rows)
                     start, size, rows = i + 1, 0, []
             yield _batch(batch, start, rows)
 
     def _batch(batch, start, rows):
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array(rows, pa.list_(pa.int32()))], [id_col, "ids"])
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), ids], [id_col, "ids"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
@@ -160,7 +170,8 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [b"".join(map(table.__getitem__, x.as_py() or ())) for x in part.column(part.num_columns - 1)]
+                column = part.column(part.num_columns - 1)
+                texts = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], [*part.schema.names[:-1], "decoded"])
 
     rows = df.select(id_col, *keep, F.col(ids_col).alias("_ids"))
