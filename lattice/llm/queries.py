@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import bpe, setsketch, vectors
+from lattice.llm import bpe, language, setsketch, urls, vectors
 from lattice.llm.common import read
 
 #: Folder of the tokenizer files, and the rank file in it.
@@ -52,8 +52,8 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
 r(id, to_id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.to_id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
@@ -62,5 +62,43 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN r ON r.id = e.vec_id
 GROUP BY e.vec_id, n.n
 """
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op5_setsketch": op5_setsketch, "op8_vectors": op8_vectors}
-ORACLES: dict[str, str] = {"op5_setsketch": OP5, "op8_vectors": OP8}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    prototypes = language.train(docs.filter(~language.held_out()))
+    out = language.predict(docs, prototypes)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(read(spark, sf_dir, "pages"), rules)
+
+
+#: The rules, and aliases by absolute canonical links.
+OP4 = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(rest, '#.*', '') AS key,
+    regexp_replace(regexp_replace(regexp_extract(regexp_extract(html, '<link[^>]*canonical[^>]*>'), 'href="([^"]*)"', 1), '^[a-z]*://', ''), '#.*', '') AS target
+  FROM p),
+r AS (SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM h),
+e AS (SELECT key AS a, target AS b FROM r WHERE target <> '' UNION SELECT target, key FROM r WHERE target <> ''),
+reach(k, t) AS (SELECT a, a FROM e UNION SELECT reach.k, e.b FROM reach JOIN e ON e.a = reach.t),
+bad AS (SELECT DISTINCT reach.k FROM reach JOIN r ON r.key = reach.t WHERE r.rule IN ('net/', 'example.com/de/'))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad.k IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN bad ON bad.k = r.key
+"""
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch, "op7_language": op7_language, "op8_vectors": op8_vectors}
+ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op8_vectors": OP8}
