@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import bpe, language, setsketch, urls, vectors
+from lattice.llm import bpe, chat, language, setsketch, spotsigs, urls, vectors
 from lattice.llm.common import read
 
 #: Folder of the tokenizer files, and the rank file in it.
@@ -100,5 +100,57 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM r LEFT JOIN bad ON bad.k = r.key
 """
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch, "op7_language": op7_language, "op8_vectors": op8_vectors}
-ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op8_vectors": OP8}
+def spot_digest(docs: DataFrame) -> DataFrame:
+    text, edit = F.col("text"), F.col("edited")
+    rows = spotsigs.with_next(docs).withColumn("edited", spotsigs.edited(text, F.col("next_text")))
+    rows = rows.select(
+        F.col("id").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.sha2(edit, 256).alias("edited_sha256"),
+        spotsigs.signatures(text).alias("own"), spotsigs.signatures(edit).alias("other"), spotsigs.signatures(F.col("next_text")).alias("next"),
+    )
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", spotsigs.fingerprint(F.col("own")).alias("fingerprint"), spotsigs.fingerprint(F.col("other")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own"), F.col("other")).alias("near_edited"), spotsigs.likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_digest(read(spark, sf_dir, "documents"))
+
+
+def chat_digest(turns: DataFrame) -> DataFrame:
+    runs, conversations = chat.prefix_tree(turns)
+    back = chat.read_back(runs, conversations).withColumn("turns", chat.turns_of(F.col("formatted")))
+    back = back.withColumn("said", F.array_join(F.transform("loss", chat.unescape), ""))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
+    return chat_digest(turns.unionByName(more))
+
+
+OP6 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(role) + length(text) + 32
+    + (length(role) - length(replace(role, chr(92), ''))) + (length(text) - length(replace(text, chr(92), '')))
+    + len(regexp_extract_all(role, '<\|im_(?:start|sep|end)\|>|</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '<\|im_(?:start|sep|end)\|>|</?s>|\[/?INST\]')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe, "op3_spotsigs": op3_spotsigs, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch, "op6_chat_tree": op6_chat_tree,
+    "op7_language": op7_language, "op8_vectors": op8_vectors,
+}
+ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op6_chat_tree": OP6, "op8_vectors": OP8}

@@ -10,10 +10,9 @@ sizes, and what may reach the threshold is verified on the full sets.
 A pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6; the estimate lets everything
 within six standard deviations of the threshold through.
 
-A bucket never yields all its pairs. Each round compares the members of a bucket with few leaders (1, 4, 16, ... drawn
-by hash), links what verifies, and goes on only with buckets whose members are not yet in one component. A bucket is
-done when it is one component or when every member has led, so nothing is dropped and no bucket is capped; a group of n
-near copies costs about n comparisons.
+A bucket never yields all its pairs: members meet leaders, round by round, until the bucket is one component or every
+member has led (see common.bucket_components), so nothing is dropped and no bucket is capped; a group of n near copies
+costs about n comparisons.
 
 Defined cases: null or empty text, or text without words, has n_shingles 0 and is alone; fewer words than a shingle make
 one shingle of them all; equal sets are linked (by a 128-bit hash of the whole set) before anything else; rows that
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import connected_components, written
+from lattice.llm.common import bucket_components, written
 
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
@@ -172,31 +171,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "sets")
 
     buckets = _buckets(sets)
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
-    live = written(buckets.join(many, "bucket"), "buckets")
+    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    live = written(buckets.join(many, "bucket").select("bucket", "rep"), "buckets")
     ids = live.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
     full = written(shingle_sets(texts, size), "shingles")
     near = written(sets.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi"), "near")
-
-    pairs = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = written(links(pairs, near, full, percent), "links")
-    parts = connected_components(edges)
-    live, lead = live.filter("size > 2 and rep != leader").select("bucket", "rep"), 4
-    while True:
-        placed = live.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component_id", "rep").alias("part"))
-        mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
-        live = written(placed.join(mixed.select("bucket", "size"), "bucket"), "buckets")
-        live = live.withColumn("leads", F.pmod(F.xxhash64("rep", "bucket", F.lit(lead)), F.col("size")) < lead)
-        leaders = live.filter("leads").select("bucket", F.col("rep").alias("x"), F.col("part").alias("px"))
-        pairs = live.join(leaders, "bucket").filter("part != px").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        if live.isEmpty():
-            break
-        more = written(links(pairs, near, full, percent), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            parts = connected_components(edges)
-        live, lead = live.filter("not leads").select("bucket", "rep"), lead * 4
+    parts = bucket_components(live, lambda pairs: links(pairs, near, full, percent))
 
     place = known.groupBy("h1", "h2").agg(F.min("id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
