@@ -7,12 +7,14 @@ registers are about as likely as the sets are similar. Bands of ROWS registers a
 bucket is estimated from its counts of greater, smaller and equal registers by maximum likelihood with the known set
 sizes, and what may reach the threshold is verified on the full sets.
 
-A pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6; the estimate lets everything
-within six standard deviations of the threshold through.
+A pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6; the estimate, from 512 registers,
+lets everything within 4.5 standard deviations of the threshold through (a miss of 3e-6).
 
-A bucket never yields all its pairs: members meet leaders, round by round, until the bucket is one component or every
-member has led (see common.bucket_components), so nothing is dropped and no bucket is capped; a group of n near copies
-costs about n comparisons.
+A bucket never yields all its pairs. First its members meet its least id only. Buckets that are then in one component
+are done. In the others, members of different components are compared by their registers inside tasks (large buckets
+in pairs of blocks, so no task holds a bucket), a pair only in the first band that it shares: first each member's three
+likeliest partners are verified, then everything that the estimate leaves open between the components that remain. No
+bucket or partner is capped.
 
 Defined cases: null or empty text, or text without words, has n_shingles 0 and is alone; fewer words than a shingle make
 one shingle of them all; equal sets are linked (by a 128-bit hash of the whole set) before anything else; rows that
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import bucket_components, written
+from lattice.llm.common import connected_components, written
 
 BANDS, ROWS = 32, 4
-M = BANDS * ROWS
-#: The register scale: base, rate and greatest value.
-BASE, RATE, Q = 1.001, 20.0, 65534
+#: Registers that are banded, and registers that estimate (the banded ones are the first of them).
+BANDED, M = BANDS * ROWS, 512
+#: The register scale: base, rate and greatest value less one; registers are bytes.
+BASE, RATE, Q = 1.1, 20.0, 254
+#: Standard deviations below the threshold from which an estimate is verified, and rows of a block.
+MARGIN, BLOCK = 4.5, 1024
 
 _RNG = np.random.default_rng(20240501)
 _MULTIPLY = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
@@ -74,20 +79,20 @@ def shingles(text: str | None, size: int, words: _Words) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def registers(h: np.ndarray) -> np.ndarray:
+def registers(h: np.ndarray, m: int = M) -> np.ndarray:
     low, high = h.astype(np.uint32)[:, None], (h >> np.uint64(32)).astype(np.uint32)[:, None]
-    least = np.full(M, 2**32 - 1, np.uint32)
+    least = np.full(m, 2**32 - 1, np.uint32)
     for s in range(0, len(h), 512):
-        x = high[s : s + 512] * _HIGH
-        x += low[s : s + 512] * _LOW
-        x += _ADD
+        x = high[s : s + 512] * _HIGH[:m]
+        x += low[s : s + 512] * _LOW[:m]
+        x += _ADD[:m]
         np.minimum(least, x.min(axis=0), out=least)
     minimum = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(minimum) / math.log(BASE)), 0, Q + 1).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(minimum) / math.log(BASE)), 0, Q + 1).astype(np.uint8)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """(id, n_shingles, h1, h2, registers): h1, h2 hash the whole set; registers is null for an empty set."""
+    """(id, n_shingles, h1, h2, registers): h1, h2 hash the whole set; the banded registers, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -99,7 +104,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFr
                 n.append(len(h))
                 one.append(int.from_bytes(digest[:8], "big", signed=True))
                 two.append(int.from_bytes(digest[8:], "big", signed=True))
-                regs.append(registers(h).tobytes() if len(h) else None)
+                regs.append(registers(h, BANDED).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], ["id", "n_shingles", "h1", "h2", "registers"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -107,18 +112,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(id, shingles array<long>) of (id, text)."""
+    """(id, shingles array<long>, registers) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
-                sets = [shingles(t.as_py(), size, words).view(np.int64) for t in part.column(1)]
+                sets = [shingles(t.as_py(), size, words) for t in part.column(1)]
+                regs = [registers(h).tobytes() for h in sets]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())), pa.array(regs, pa.binary())], ["id", "shingles", "registers"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>, registers binary")
 
 
 def estimated(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int = M) -> np.ndarray:
@@ -138,30 +144,95 @@ def estimated(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np
     return (low + high) / 2
 
 
+def _cutoff(percent: int) -> float:
+    share = percent / 100
+    return share - MARGIN * math.sqrt(share * (1 - share) / M)
+
+
+def _estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for s in range(0, len(a), 4096):
+        x, y = a[s : s + 4096], b[s : s + 4096]
+        out[s : s + 4096] = estimated((x > y).sum(1), (x < y).sum(1), na[s : s + 4096].astype(float), nb[s : s + 4096].astype(float))
+    return out
+
+
+def _registers_of(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, M)
+
+
 @F.pandas_udf(T.DoubleType())
 def _estimate(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    if not len(ra):
-        return pd.Series([], dtype=float)
-    a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, M) for x in (ra, rb))
-    return pd.Series(estimated((a > b).sum(1), (a < b).sum(1), na.to_numpy(float), nb.to_numpy(float)))
+    return pd.Series(_estimates(_registers_of(ra), _registers_of(rb), na.to_numpy(), nb.to_numpy()))
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, rep) for each band of each distinct set."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    return sets.select(F.explode(band).alias("bucket"), "rep")
+def links(pairs: DataFrame, full: DataFrame, percent: int, estimate: bool = False) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= percent * union; full is (id, n, shingles, registers)."""
+    if estimate:
+        side = lambda x: full.select(F.col("id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = pairs.filter(_estimate("ra", "rb", "na", "nb") >= _cutoff(percent)).select("a", "b")
+    whole = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def links(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union: estimate first, then the full sets."""
-    share = percent / 100
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    near = near.filter(_estimate("ra", "rb", "na", "nb") >= share - 6 * math.sqrt(share * (1 - share) / M)).select("a", "b", "na", "nb")
-    whole = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = near.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+def _block_pairs(rows: pd.DataFrame, percent: int, best: int | None) -> pd.DataFrame | None:
+    """Pairs of one group (a block of a bucket, or two) to verify: of different parts, in the first band that both share,
+    of a sufficient estimate; with best, only the so many likeliest of each row."""
+    n, part, side, rep = rows["n"].to_numpy(), rows["part"].to_numpy(), rows["side"].to_numpy(), rows["rep"].to_numpy()
+    regs = _registers_of(rows["registers"])
+    band = np.ascontiguousarray(regs[:, :BANDED]).view(np.uint32)
+    t, found = int(rows["band"].iloc[0]), []
+    for i in range(len(rows)):
+        j = np.arange(i + 1, len(rows)) if not side.any() else np.flatnonzero(side > side[i])
+        j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        j = j[~(band[j, :t] == band[i, :t]).any(axis=1)]
+        if len(j):
+            e = _estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), n[i]), n[j])
+            fine = e >= _cutoff(percent)
+            if fine.any():
+                found.append((np.full(fine.sum(), i), j[fine], e[fine]))
+    if not found:
+        return None
+    a, b, e = (np.concatenate(x) for x in zip(*found))
+    if best is not None:
+        both = pd.DataFrame({"x": np.concatenate([a, b]), "k": np.tile(np.arange(len(a)), 2), "e": np.tile(e, 2)}).sort_values("e", ascending=False, kind="stable")
+        keep = np.unique(both.groupby("x").head(best)["k"])
+        a, b = a[keep], b[keep]
+    x, y = rep[a], rep[b]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _compare(groups: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """groups is sorted by bucket, bi, bj within its partitions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf[["bucket", "bi", "bj"]].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
+            found = [x for s, e in zip(starts, starts[1:]) if e - s > 1 and (x := _block_pairs(pdf.iloc[s:e], percent, best)) is not None]
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            if found:
+                yield pd.concat(found, ignore_index=True)
+        if rest is not None and len(rest) > 1 and (x := _block_pairs(rest, percent, best)) is not None:
+            yield x
+
+    kind = groups.schema["rep"].dataType.simpleString()
+    return groups.mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def _cross_pairs(live: DataFrame, parts: DataFrame, full: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs to verify from the buckets whose members are in several parts, each bucket dealt into pairs of blocks."""
+    placed = live.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component_id", "rep").alias("part"))
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
+    rows = placed.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(full.select(F.col("id").alias("rep"), "n", "registers"), "rep")
+    rows = rows.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "band", "rep", "part", "n", "registers")
+    return _compare(rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"), percent, best).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -170,14 +241,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketches.filter(F.col("registers").isNotNull() & F.col("id").isNotNull())
     sets = written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "sets")
 
-    buckets = _buckets(sets)
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    live = written(buckets.join(many, "bucket").select("bucket", "rep"), "buckets")
+    code = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
+    buckets = sets.select(F.posexplode(code).alias("band", "bucket"), "rep")
+    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
+    live = written(buckets.join(many, "bucket"), "buckets")
     ids = live.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-    full = written(shingle_sets(texts, size), "shingles")
-    near = written(sets.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi"), "near")
-    parts = bucket_components(live, lambda pairs: links(pairs, near, full, percent))
+    full = written(shingle_sets(texts, size).withColumn("n", F.size("shingles").cast("long")), "shingles")
+
+    star = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = written(links(star, full, percent, estimate=True), "links")
+    parts = connected_components(edges)
+    live = live.filter("size > 2 and rep != leader")
+    for best in (3, None):
+        more = written(links(_cross_pairs(live, parts, full, percent, best), full, percent), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            parts = connected_components(edges)
 
     place = known.groupBy("h1", "h2").agg(F.min("id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))

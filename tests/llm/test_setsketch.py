@@ -55,13 +55,14 @@ def test_planted_groups_chains_and_odd_texts(spark):
     check(spark, rows)
 
 
-def test_a_group_of_near_copies_around_one_text(spark):
+def test_a_group_of_near_copies_around_one_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
     rnd = random.Random(4)
     base = [f"b{i}" for i in range(200)]
     rows = []
     for i in range(120):
         copy = list(base)
-        for _ in range(rnd.randint(2, 5)):
+        for _ in range(rnd.randint(0, 9)):
             copy[rnd.randrange(200)] = f"e{rnd.random()}"
         rows.append((i, " ".join(copy)))
     check(spark, rows)
