@@ -140,15 +140,15 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
         for pdf in batches:
             for s in range(0, len(pdf), 2_000):
                 part = pdf.iloc[s : s + 2_000]
-                unit = profiles(part["_text"].tolist())
+                unit = profiles(part[text_col if text_col in keep else "_text"].tolist())
                 found = unit.any(axis=1) & bool(names)
                 cosine = unit @ matrix if names else np.zeros((len(part), 1))
                 best = cosine.argmax(axis=1)
                 score = np.where(found, np.clip(cosine[np.arange(len(part)), best], 0, 1), 0.0)
-                yield part.drop(columns="_text").assign(lang_pred=[names[b] if f else UNKNOWN for b, f in zip(best, found)], score=score)
+                yield part[list(keep)].assign(lang_pred=[names[b] if f else UNKNOWN for b, f in zip(best, found)], score=score)
 
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    rows = df.select(*keep, *([] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInPandas(run, schema + ", lang_pred string, score double")
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import bpe, chat, language, setsketch, spotsigs, urls, vectors
-from lattice.llm.common import read
+from lattice.llm import bpe, chat, html, language, mixing, setsketch, spotsigs, tokencount, urls, vectors
+from lattice.llm.common import read, shared_dir
 
 #: Folder of the tokenizer files, and the rank file in it.
 RANKS = os.environ.get("LATTICE_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -149,8 +150,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: Target share of each domain of the label table in the mix.
+SHARES = {"high": 0.82, "low": 0.15, "toxic": 0.03}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    return labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mix(read(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), SHARES)
+    return rates.select("doc_id", "n_tokens", *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(SHARES)), "rate")
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files are made from the whole table, then counted without looking at it again."""
+    path = f"{shared_dir(spark)}/lattice/tokens-{uuid.uuid4().hex}"
+    tokencount.write_tokens(bpe.encode(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN), path)
+    return tokencount.count_tokens(spark, path)
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
-    "op2_byte_bpe": op2_byte_bpe, "op3_spotsigs": op3_spotsigs, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch, "op6_chat_tree": op6_chat_tree,
-    "op7_language": op7_language, "op8_vectors": op8_vectors,
+    "op1_mixing": op1_mixing, "op2_byte_bpe": op2_byte_bpe, "op3_spotsigs": op3_spotsigs, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch,
+    "op6_chat_tree": op6_chat_tree, "op7_language": op7_language, "op8_vectors": op8_vectors, "op9_separator_scan": op9_separator_scan, "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op6_chat_tree": OP6, "op8_vectors": OP8}
