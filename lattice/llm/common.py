@@ -31,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> str:
+    """Write df as a table bucketed by key, so that joins on it move the other side only; returns the table's name."""
+    n, table = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"lattice_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
+    return table
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

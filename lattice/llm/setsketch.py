@@ -7,7 +7,7 @@ registers are about as likely as the sets are similar. Bands of ROWS registers a
 bucket is estimated from its counts of greater, smaller and equal registers by maximum likelihood with the known set
 sizes, and what may reach the threshold is verified on the full sets.
 
-A pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6; the estimate, from 512 registers,
+A pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6; the estimate, from 1024 registers,
 lets everything within 4.5 standard deviations of the threshold through (a miss of 3e-6).
 
 A bucket never yields all its pairs. First its members meet its least id only. Buckets that are then in one component
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import connected_components, written
+from lattice.llm.common import bucketed, connected_components, written
 
 BANDS, ROWS = 32, 4
 #: Registers that are banded, and registers that estimate (the banded ones are the first of them).
-BANDED, M = BANDS * ROWS, 512
+BANDED, M = BANDS * ROWS, 1024
 #: The register scale: base, rate and greatest value less one; registers are bytes.
 BASE, RATE, Q = 1.1, 20.0, 254
 #: Standard deviations below the threshold from which an estimate is verified, and rows of a block.
@@ -150,11 +150,7 @@ def _cutoff(percent: int) -> float:
 
 
 def _estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a))
-    for s in range(0, len(a), 4096):
-        x, y = a[s : s + 4096], b[s : s + 4096]
-        out[s : s + 4096] = estimated((x > y).sum(1), (x < y).sum(1), na[s : s + 4096].astype(float), nb[s : s + 4096].astype(float))
-    return out
+    return estimated((a > b).sum(1), (a < b).sum(1), na.astype(float), nb.astype(float))
 
 
 def _registers_of(column: pd.Series) -> np.ndarray:
@@ -183,19 +179,19 @@ def _block_pairs(rows: pd.DataFrame, percent: int, best: int | None) -> pd.DataF
     n, part, side, rep = rows["n"].to_numpy(), rows["part"].to_numpy(), rows["side"].to_numpy(), rows["rep"].to_numpy()
     regs = _registers_of(rows["registers"])
     band = np.ascontiguousarray(regs[:, :BANDED]).view(np.uint32)
-    t, found = int(rows["band"].iloc[0]), []
+    t, left, right = int(rows["band"].iloc[0]), [], []
     for i in range(len(rows)):
         j = np.arange(i + 1, len(rows)) if not side.any() else np.flatnonzero(side > side[i])
         j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
         j = j[~(band[j, :t] == band[i, :t]).any(axis=1)]
-        if len(j):
-            e = _estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), n[i]), n[j])
-            fine = e >= _cutoff(percent)
-            if fine.any():
-                found.append((np.full(fine.sum(), i), j[fine], e[fine]))
-    if not found:
+        left.append(np.full(len(j), i))
+        right.append(j)
+    a, b = np.concatenate(left), np.concatenate(right)
+    e = np.concatenate([_estimates(regs[x], regs[y], n[x], n[y]) for x, y in ((a[s : s + 4096], b[s : s + 4096]) for s in range(0, max(1, len(a)), 4096))])
+    fine = e >= _cutoff(percent)
+    a, b, e = a[fine], b[fine], e[fine]
+    if not len(a):
         return None
-    a, b, e = (np.concatenate(x) for x in zip(*found))
     if best is not None:
         both = pd.DataFrame({"x": np.concatenate([a, b]), "k": np.tile(np.arange(len(a)), 2), "e": np.tile(e, 2)}).sort_values("e", ascending=False, kind="stable")
         keep = np.unique(both.groupby("x").head(best)["k"])
@@ -247,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = written(buckets.join(many, "bucket"), "buckets")
     ids = live.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-    full = written(shingle_sets(texts, size).withColumn("n", F.size("shingles").cast("long")), "shingles")
+    table = bucketed(shingle_sets(texts, size).withColumn("n", F.size("shingles").cast("long")), "id", "shingles")
+    full = docs.sparkSession.table(table)
 
     star = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     edges = written(links(star, full, percent, estimate=True), "links")
@@ -258,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             edges = edges.unionByName(more)
             parts = connected_components(edges)
+    docs.sparkSession.sql(f"DROP TABLE {table}")
 
     place = known.groupBy("h1", "h2").agg(F.min("id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
