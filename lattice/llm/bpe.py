@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces up to this length are remembered, up to so many; then the memory starts afresh.
-CACHED_CHARS, CACHED_PIECES = 48, 150_000
+CACHED_CHARS, CACHED_PIECES = 48, 600_000
 #: Characters of text, and ids, that go into one output batch.
 BATCH_CHARS = 2_000_000
 
@@ -35,10 +36,10 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain merging, lowest rank first and leftmost on ties; used for short byte strings only."""
+def merge(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
+    """Plain merging, lowest rank first and leftmost on ties, down to `least` parts; used for short byte strings only."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > least:
         rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
         if rank == 1 << 60:
             break
@@ -74,6 +75,7 @@ class Encoder:
                 self.length[rank] = len(token)
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.known = _Pieces(self)
 
@@ -86,12 +88,36 @@ class Encoder:
             found = self.shorter[rank] = next((r for r in cut if r in self.length), -1)
         return found
 
+    def _halves(self, rank: int) -> tuple[int, int]:
+        """The two tokens whose merge made this one; twice itself for a single byte."""
+        found = self.halves.get(rank)
+        if found is None:
+            token = self.bytes_of[rank]
+            found = self.halves[rank] = (rank, rank) if len(token) == 1 else tuple(merge(token, self.ranks, 2))
+        return found
+
     def _fits(self, a: int, b: int) -> bool:
+        """Whether a and b stay apart side by side. Merges are undone across the border, the later one first: the pieces
+        that then touch must not merge before the merge that was undone. On equal ranks the left place merges first."""
         found = self.fits.get((a, b))
         if found is None:
             if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            found = self.fits[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            x, y, before = a, b, 1 << 60
+            while True:
+                joined = self.ranks.get(self.bytes_of[x] + self.bytes_of[y])
+                if joined is not None and joined < before:
+                    found = False
+                    break
+                left, right = self._halves(x)[1], self._halves(y)[0]
+                if left == x and right == y:
+                    found = True
+                    break
+                if right == y or (left != x and x > y):
+                    x, before = left, x
+                else:
+                    y, before = right, y + 1
+            self.fits[a, b] = found
         return found
 
     def encode_bytes(self, piece: bytes) -> list[int]:
@@ -130,6 +156,12 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    """One for each worker process, with what it remembers."""
+    return Encoder(parse_ranks(data), pattern)
+
+
 def _ranks(df: DataFrame, ranks_path: str):
     """The rank file is read once on the driver and broadcast: its size is that of a vocabulary, whatever the data."""
     with open(ranks_path, "rb") as f:
@@ -141,7 +173,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     ranks = _ranks(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_ranks(ranks.value), pattern)
+        encoder = _encoder(ranks.value, pattern)
         for batch in batches:
             start, size, rows = 0, 0, []
             for i, text in enumerate(batch.column(1)):

@@ -36,6 +36,15 @@ def test_every_code_point_splits_as_in_the_library(pair):
             raise AssertionError(sorted(set(bad))[:50])
 
 
+def test_compatibility_is_what_merging_gives(pair):
+    own, rnd = pair[0], random.Random(2)
+    tokens = [r for r in own.length if len(own.bytes_of[r]) <= 8]
+    pairs = [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(20_000)]
+    pairs += [(own.ranks[t[:k]], own.ranks[t[k:]]) for t in list(own.ranks)[300:8_000] for k in range(1, len(t)) if own.ranks.get(t[:k]) in own.length and own.ranks.get(t[k:]) in own.length]
+    for a, b in pairs:
+        assert own._fits(a, b) == (bpe.merge(own.bytes_of[a] + own.bytes_of[b], own.ranks) == [a, b])
+
+
 def test_long_pieces_are_linear(pair):
     own, theirs = pair
     for text in ("a" * 20_000, "ab" * 10_000, " " * 5_000 + "x", "é" * 5_000):
