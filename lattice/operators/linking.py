@@ -96,7 +96,7 @@ def _unique(names: DataFrame, entities: DataFrame) -> DataFrame:
     seg = entities.select(*SNAP, _last("symbol").alias("tail"), "key", "kind").dropDuplicates([*SNAP, "key"])
     stat = seg.groupBy(*SNAP, "tail").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "kind")).alias("lo"), F.max(F.struct("key", "kind")).alias("hi"))
     rows = names.withColumn("tail", _last("name")).join(stat, [*SNAP, "tail"])
-    self_ = F.col("from_key").isin(F.col("lo.key"), F.col("hi.key")) & (_last(F.element_at(F.split("from_key", "::"), -1)) == F.col("tail"))
+    self_ = F.col("from_key").isin(F.col("lo.key"), F.col("hi.key"))
     other = F.when(F.col("n") == 1, F.when(F.col("lo.key") != F.col("from_key"), F.col("lo"))).when((F.col("n") == 2) & self_, F.when(F.col("lo.key") == F.col("from_key"), F.col("hi")).otherwise(F.col("lo")))
     return rows.withColumn("o", other).filter("o is not null").withColumns({"to_key": F.col("o.key"), "to_kind": F.col("o.kind")}).drop("o", "lo", "hi", "n", "tail")
 
