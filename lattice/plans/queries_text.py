@@ -433,3 +433,228 @@ def p9_scope(spark, sf_dir):
     users = c.select("c_name", login.alias("login"), (F.col("c_custkey") % 50 == 0).alias("is_admin"), F.when(F.col("c_custkey") % 7 == 0, "[bad").otherwise(F.concat(F.lit("["), F.col("c_nationkey").cast("string"), F.lit("]"))).alias("installation_ids"))
     repos = s.select(F.col("s_name").alias("repo"), F.col("s_nationkey").cast("long").alias("installation_id"), F.concat(F.lit("CUSTOMER-"), F.col("s_suppkey").cast("string")).alias("created_by"))
     return reviews.scope_repos(repos, users).join(users.select("login", "c_name"), "login").select(F.col("c_name").alias("login"), "repo")
+
+
+# text
+
+def _rels(spark, sf_dir, snap=None):
+    return X.edges(spark, sf_dir, snap).withColumn("ord", F.col("f") * 10000000 + F.col("t"))
+
+
+DEPS = "dp AS (SELECT snap, from_key AS key, string_agg(concat('- ', to_key), chr(10) ORDER BY o) AS l FROM (SELECT snap, from_key, to_key, min(f * 10000000 + t) AS o FROM d_edges GROUP BY ALL) z GROUP BY snap, from_key), rf AS (SELECT snap, to_key AS key, string_agg(concat('- ', from_key), chr(10) ORDER BY o) AS l FROM (SELECT snap, from_key, to_key, min(f * 10000000 + t) AS o FROM d_edges GROUP BY ALL) z GROUP BY snap, to_key)"
+_N = "chr(10)"
+
+
+@query(f"WITH {DEPS} SELECT {RC.replace('snap', 'n.snap')}, n.key, sha256(concat('# ', symbol, {_N}, {_N}, '## Type', {_N}, kind, {_N}, {_N}, '## Responsibilities', {_N}, '- Encapsulates `', symbol, '` (structural analysis; semantic summary pending AI provider)', {_N}, {_N}, '- Source: `', path, '` lines ', start_line, '-', end_line, CASE WHEN dp.l IS NOT NULL THEN concat({_N}, {_N}, '## Dependencies', {_N}, dp.l) ELSE '' END, CASE WHEN rf.l IS NOT NULL THEN concat({_N}, {_N}, '## Incoming references', {_N}, rf.l) ELSE '' END)) AS head FROM d_nodes n LEFT JOIN dp ON dp.snap = n.snap AND dp.key = n.key LEFT JOIN rf ON rf.snap = n.snap AND rf.key = n.key")
+def t1_summaries(spark, sf_dir):
+    from lattice.operators import textgen
+
+    out = textgen.rule_summaries(X.nodes(spark, sf_dir), _rels(spark, sf_dir))
+    return out.select(*SNAP, "key", F.sha2(F.substring_index("content", "\n\n## Architecture", 1), 256).alias("head"))
+
+
+@query(f"WITH o AS (SELECT e.snap, e.from_key, e.to_key, min(f * 10000000 + t) AS o FROM d_edges e JOIN d_nodes n ON n.snap = e.snap AND n.key = e.from_key WHERE n.kind <> 'Method' OR e.type = 'Calls' GROUP BY ALL), k AS (SELECT snap, from_key, count(*) AS n FROM o GROUP BY ALL) SELECT {RC.replace('snap', 'n.snap')}, n.key, kind <> 'Method' AS is_class, CAST(CASE WHEN kind <> 'Method' THEN 4 ELSE 2 END + least(8, coalesce(k.n, 0)) AS BIGINT) AS lines FROM d_nodes n LEFT JOIN k ON k.snap = n.snap AND k.from_key = n.key")
+def t2_diagrams(spark, sf_dir):
+    from lattice.operators import textgen
+
+    d = textgen.node_diagrams(X.nodes(spark, sf_dir), _rels(spark, sf_dir))
+    return d.select(*SNAP, "key", F.col("class_diagram").isNotNull().alias("is_class"), F.size(F.split(F.coalesce("class_diagram", "sequence_diagram"), "\n")).cast("long").alias("lines"))
+
+
+@query("SELECT key, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind = 'Method' THEN NULL WHEN pk % 2 = 0 THEN 'classDiagram' END AS class_diagram, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind <> 'Method' THEN NULL WHEN pk % 2 <> 0 THEN 'classDiagram' END AS sequence_diagram, CAST(CASE WHEN pk % 7 = 0 THEN 0.7 ELSE least(1.0, (pk % 13) / 10.0) END AS DOUBLE) AS confidence, CASE WHEN pk % 7 = 0 THEN 'empty content' END AS error FROM d_nodes WHERE snap = 1998")
+def t3_parse(spark, sf_dir):
+    from lattice.operators import textgen
+
+    n = X.nodes(spark, sf_dir, 1998)
+    kind = F.when(F.col("pk") % 2 == 0, "Class").otherwise("Sequence")
+    text = F.concat(F.lit("```markdown\n# T\n\n## "), kind, F.lit(" diagram\n```mermaid\nclassDiagram\n```\n\n## Confidence\nConfidence: "), ((F.col("pk") % 13) / 10).cast("string"), F.lit("\n```"))
+    return textgen.parse_summaries(n.withColumn("response", F.when(F.col("pk") % 7 != 0, text).otherwise(" "))).select("key", "class_diagram", "sequence_diagram", "confidence", "error")
+
+
+def _overviews(spark, sf_dir):
+    """A Markdown overview of each snapshot that names its ten busiest entities, and one that is unknown."""
+    n, e = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
+    top = graph.top_by_degree(n, e)
+    lines = top.groupBy(*SNAP).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: F.concat(F.lit("- ["), x["key"], F.lit("] busy"))), "\n").alias("l"))
+    return n, e, lines.select(*SNAP, F.concat(F.lit("## Summary\nAll is well.\n\n## MAIN components\n- [ghost] gone\n"), "l", F.lit("\n\n## Component diagram\nold\n\n## Notes\n- one\n* two\n\n```mermaid\nflowchart LR\n```\n")).alias("content"))
+
+
+_DEG = "deg AS (SELECT snap, k AS key, count(*) AS degree FROM (SELECT snap, from_key AS k FROM d_edges UNION ALL SELECT snap, to_key FROM d_edges) z GROUP BY snap, k), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY snap ORDER BY degree DESC, key) AS INT) AS rank FROM deg)"
+
+
+@query(f"WITH {_DEG} SELECT {RC}, rank AS position, key, 'busy' AS role FROM top WHERE rank <= 10")
+def t4_components(spark, sf_dir):
+    from lattice.operators import textgen
+
+    n, _, o = _overviews(spark, sf_dir)
+    return textgen.md_components(o, n).select(*SNAP, "position", "key", "role")
+
+
+@query(f"SELECT {RC}, key, kind AS role, 'unknown' AS context, substr(content, instr(content, chr(10)) + 3) AS responsibility FROM d_nodes")
+def t5_digest(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.node_digest(X.nodes(spark, sf_dir))
+
+
+@query(f"WITH t AS (SELECT snap, key FROM (SELECT *, row_number() OVER (PARTITION BY snap ORDER BY confidence DESC, key) AS r FROM d_nodes) z WHERE r <= 300) SELECT {RC}, from_key, to_key, type, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY snap ORDER BY confidence DESC, from_key, to_key, type) AS INT) AS rank FROM d_edges WHERE (snap, from_key) IN (SELECT snap, key FROM t) AND (snap, to_key) IN (SELECT snap, key FROM t)) z WHERE rank <= 120")
+def t6_inventory(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.overview_inventory(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))[1].select(*SNAP, "from_key", "to_key", "type", "rank")
+
+
+CHUNKS = "cn AS (SELECT snap, key, language, string_split(path, '/')[1] AS module, row_number() OVER (PARTITION BY snap, string_split(path, '/')[1] ORDER BY key) - 1 AS n FROM d_nodes), ce AS (SELECT e.snap, a.module, CAST(floor(a.n / 60) AS INT) AS chunk, count(*) AS n FROM d_edges e JOIN cn a ON a.snap = e.snap AND a.key = e.from_key JOIN cn b ON b.snap = e.snap AND b.key = e.to_key WHERE a.module = b.module AND floor(a.n / 60) = floor(b.n / 60) GROUP BY ALL)"
+
+
+@query(f"WITH {CHUNKS} SELECT {RC.replace('snap', 'c.snap')}, c.module, c.chunk, CAST(1 + c.n + least(40, coalesce(ce.n, 0)) AS BIGINT) AS lines FROM (SELECT snap, module, CAST(floor(n / 60) AS INT) AS chunk, count(*) AS n FROM cn GROUP BY ALL) c LEFT JOIN ce ON ce.snap = c.snap AND ce.module = c.module AND ce.chunk = c.chunk")
+def t7_component_diagrams(spark, sf_dir):
+    from lattice.operators import textgen
+
+    d = textgen.component_diagrams(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))
+    return d.select(*SNAP, "module", "chunk", F.size(F.split("diagram", "\n")).cast("long").alias("lines"))
+
+
+@query(f"SELECT {RC}, FALSE AS has_old, count(DISTINCT string_split(path, '/')[1]) > 0 AS has_new FROM d_nodes GROUP BY snap")
+def t8_ensure_diagram(spark, sf_dir):
+    from lattice.operators import textgen
+
+    n, e, o = _overviews(spark, sf_dir)
+    out = textgen.ensure_diagram(o, textgen.component_diagrams(n, e))
+    return out.select(*SNAP, F.contains("content", F.lit("diagram\nold")).alias("has_old"), F.contains("content", F.lit("flowchart LR\n  n0")).alias("has_new"))
+
+
+@query(f"SELECT {RC}, 0 AS section, '' AS sort1, '' AS sort2, 'flowchart LR' AS line FROM (SELECT DISTINCT snap FROM d_nodes) s UNION ALL SELECT {RC}, 1, key, '', concat('  \"', key, '\"[\"', symbol, '<br/>', path, '\"]') FROM d_nodes UNION ALL SELECT {RC}, 2, from_key, to_key, concat('  \"', from_key, '\" -->|', type, '| \"', to_key, '\"') FROM d_edges")
+def t9_flowchart(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.flowchart_lines(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))
+
+
+@query(f"SELECT {RC}, string_split(path, '/')[1] AS module, sha256(concat('### ', string_split(path, '/')[1], chr(10), chr(10), '| Key | Symbol | Kind | Location |', chr(10), '|-----|--------|------|----------|', chr(10), string_agg(concat('| `', key, '` | ', symbol, ' | ', kind, ' | `', path, ':', start_line, '` |'), chr(10) ORDER BY key))) AS body FROM d_nodes GROUP BY snap, string_split(path, '/')[1]")
+def t10_architecture(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.report_architecture(X.nodes(spark, sf_dir)).withColumn("body", F.sha2("body", 256))
+
+
+@query(f"WITH o AS (SELECT snap, from_key AS key, count(*) AS dependencies, string_agg(DISTINCT to_key, ', ' ORDER BY to_key) AS depends_on FROM d_edges GROUP BY ALL), i AS (SELECT snap, to_key AS key, string_agg(DISTINCT from_key, ', ' ORDER BY from_key) AS used_by FROM d_edges GROUP BY ALL) SELECT {RC.replace('snap', 'z.snap')}, rank, z.key, dependencies, depends_on, coalesce(used_by, '') AS used_by FROM (SELECT *, CAST(row_number() OVER (PARTITION BY snap ORDER BY dependencies DESC, key) AS INT) AS rank FROM o) z LEFT JOIN i ON i.snap = z.snap AND i.key = z.key WHERE rank <= 20")
+def t11_dependencies(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.report_dependencies(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))
+
+
+def _impact_sql() -> str:
+    from lattice.plans.queries_graph import BACK, _levels, _top_sql
+
+    return f"WITH {_top_sql(10)}, {_levels(BACK, 10)} SELECT {RC}, source, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS severity, count(*) AS n FROM hits WHERE depth > 0 GROUP BY snap, source, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END"
+
+
+@query(_impact_sql())
+def t12_impact(spark, sf_dir):
+    from lattice.operators import textgen
+
+    return textgen.report_impact(X.nodes(spark, sf_dir), X.edges(spark, sf_dir)).drop("body")
+
+
+def _trace_sql() -> str:
+    from lattice.plans.queries_graph import BACK, _levels, _top_sql
+
+    return f"WITH {_top_sql(1)}, {_levels(BACK, 3)}, x AS (SELECT snap, source, unnest(trace) AS a, unnest(list_append(trace[2:], NULL)) AS b FROM hits WHERE depth > 0) SELECT DISTINCT {RC}, source, 'node' AS part, a, CAST(NULL AS VARCHAR) AS b FROM x UNION SELECT {RC}, source, 'edge', a, b FROM x WHERE b IS NOT NULL"
+
+
+@query(_trace_sql())
+def t13_trace(spark, sf_dir):
+    from lattice.operators import textgen
+    from lattice.plans.queries_graph import _tops
+
+    return textgen.trace_diagram(graph.impact(*_tops(spark, sf_dir), max_depth=3))
+
+
+@query(f"WITH {_DEG} SELECT {RC}, 'All is well.' AS summary, 'one,two' AS notes, 1 AS diagrams, string_agg(concat(rank, ' ', key), ',' ORDER BY rank) AS top FROM top WHERE rank <= 10 GROUP BY snap")
+def t14_explain(spark, sf_dir):
+    from lattice.operators import textgen
+
+    n, e, o = _overviews(spark, sf_dir)
+    out = textgen.explain(X.snapshots(spark, sf_dir), o, n, e)
+    return out.select(*SNAP, "summary", F.array_join("notes", ",").alias("notes"), F.size("diagrams").alias("diagrams"), F.array_join(F.transform("top", lambda x: F.concat(x["rank"].cast("string"), F.lit(" "), x["key"])), ",").alias("top"))
+
+
+def _graph_items(spark, sf_dir):
+    q = routed_questions(spark, sf_dir)
+    n, e = X.nodes(spark, sf_dir, 1998), X.edges(spark, sf_dir, 1998)
+    routed = retrieval.route_questions(q, retrieval.match_entity(q, n)).filter("route = 'graph'")
+    return routed.join(n.select("key", "symbol"), "key"), n, e
+
+
+@query(None)
+def q7_graph_answers(spark, sf_dir):
+    """Each routed question is answered from one multi-source search."""
+    q, n, e = _graph_items(spark, sf_dir)
+    note = F.concat(F.lit("depth "), F.col("depth").cast("string"))
+    src = lambda kind: q.filter(F.col("graph_query") == kind).select(*SNAP, F.col("key").alias("source")).distinct()
+    cols = [*SNAP, "source", F.col("depth").alias("ord"), "key", "symbol", "path", "line", note.alias("note")]
+    items = graph.impact(n, e, src("impact")).select(*cols, F.lit("impact").alias("graph_query")).unionByName(graph.chain(n, e, src("dependencies")).select(*cols, F.lit("dependencies").alias("graph_query")))
+    used = graph.consumers(n, e, src("consumers")).select(*SNAP, F.col("to_key").alias("source"), F.lit(1).alias("ord"), "key", "symbol", "path", "line", F.lower("type").alias("note"), F.lit("consumers").alias("graph_query"))
+    items = items.unionByName(used).join(q.select("qid", F.col("key").alias("source"), "graph_query"), ["source", "graph_query"])
+    return retrieval.answer_from_graph(items, q)
+
+
+@query("SELECT key, 'rule-based' AS model FROM d_nodes WHERE snap = 1998 AND pk % 2 = 0 UNION ALL SELECT key, 'own' FROM d_nodes WHERE snap = 1998 AND pk % 2 <> 0")
+def u1_summarize(spark, sf_dir):
+    from lattice.operators import udf
+
+    def own(pdf):
+        odd = pdf[pdf["pk"] % 2 != 0]
+        return odd[["repo", "commit_sha", "key"]].assign(content="# own", confidence=0.9, model="own", prompt_version="1")
+
+    return udf.summarize_with(X.nodes(spark, sf_dir, 1998), _rels(spark, sf_dir, 1998), own).select("key", "model")
+
+
+@query(None)
+def u2_embed(spark, sf_dir):
+    from lattice.operators import udf
+
+    n = X.nodes(spark, sf_dir, 1998).withColumn("semantic_hash", F.col("structural_hash"))
+    none = n.limit(0)
+    return retrieval.embed_nodes(n, none, none.select("repo", "semantic_hash", "key", F.array(F.lit(0.0).cast("float")).alias("vector")), udf.hashed_words())
+
+
+@query(None)
+def u3_propose(spark, sf_dir):
+    from lattice.operators import udf
+
+    def pairs(pdf):
+        import json
+
+        keys = sorted(pdf["key"])
+        return json.dumps([{"from": a, "to": b, "type": "Calls", "confidence": 0.8} for a, b in zip(keys, keys[1:])])
+
+    n, e = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
+    return linking.accept_proposals(udf.propose_with(linking.link_candidates(n), pairs), n, e)
+
+
+@query(None)
+def l10_members(spark, sf_dir):
+    """Methods of the types of d_symbols: each part also declares a method named after its size."""
+    e = _with("bases", *symbols(spark, sf_dir)).withColumn("owner", F.lit(None).cast("string"))
+    owner = F.concat("symbol", F.lit("#"), F.col("ord").cast("string"))
+    m = e.withColumns({"owner": owner, "symbol": F.concat("symbol", F.lit(".m"), (F.col("ord") % 3).cast("string")), "kind": F.lit("Method"), "bases": F.array().cast("array<string>")})
+    m = m.withColumns({"key": F.concat("path", F.lit("::"), "owner", F.lit(".m"), (F.col("ord") % 3).cast("string")), "ord": F.col("ord") + 1_000_000_000})
+    return linking.link_members(e.unionByName(m)).select("from_key", "to_key", "type", "confidence")
+
+
+@query(f"SELECT {RC}, key FROM d_nodes WHERE snap = 2000")
+def s6_read_snapshot(spark, sf_dir):
+    """The nodes of one commit, found through the snapshot table."""
+    at = snapshots.require_snapshot(X.snapshots(spark, sf_dir), "r0", "c2000")
+    return X.nodes(spark, sf_dir).join(at.select(*SNAP), SNAP, "left_semi").select(*SNAP, "key")
+
+
+@query("SELECT repo, count(*) AS n FROM (SELECT source AS repo FROM documents) z WHERE repo NOT IN ('src0', 'src1') GROUP BY repo")
+def s8_drop_repo(spark, sf_dir):
+    from lattice.sources.scan import drop_repo
+
+    f = files(spark, sf_dir)
+    return drop_repo({"files": f}, f.filter("repo in ('src0', 'src1')"))["files"].groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
