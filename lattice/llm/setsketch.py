@@ -38,10 +38,12 @@ from pyspark.sql import types as T
 from lattice.llm.common import bucketed, connected_components, written
 
 BANDS, ROWS = 32, 4
-#: Registers that are banded, and registers that estimate (the banded ones are the first of them).
+#: Registers that are banded, and registers that estimate.
 BANDED, M = BANDS * ROWS, 1024
-#: The register scale: base, rate and greatest value less one; registers are bytes.
+#: The scale of the registers that estimate: base, rate and greatest value less one; they are bytes.
 BASE, RATE, Q = 1.1, 20.0, 254
+#: Base and greatest value less one of the banded registers, of two bytes: so fine that unlike sets hardly share a value.
+FINE, FINE_Q = 1.001, 65534
 #: Standard deviations below the threshold from which an estimate is verified, and rows of a block.
 MARGIN, BLOCK = 4.5, 1024
 
@@ -79,7 +81,7 @@ def shingles(text: str | None, size: int, words: _Words) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def registers(h: np.ndarray, m: int = M) -> np.ndarray:
+def registers(h: np.ndarray, m: int = M, fine: bool = False) -> np.ndarray:
     low, high = h.astype(np.uint32)[:, None], (h >> np.uint64(32)).astype(np.uint32)[:, None]
     least = np.full(m, 2**32 - 1, np.uint32)
     for s in range(0, len(h), 512):
@@ -88,7 +90,8 @@ def registers(h: np.ndarray, m: int = M) -> np.ndarray:
         x += _ADD[:m]
         np.minimum(least, x.min(axis=0), out=least)
     minimum = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(minimum) / math.log(BASE)), 0, Q + 1).astype(np.uint8)
+    base, q, kind = (FINE, FINE_Q, np.uint16) if fine else (BASE, Q, np.uint8)
+    return np.clip(np.floor(1 - np.log(minimum) / math.log(base)), 0, q + 1).astype(kind)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -104,7 +107,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFr
                 n.append(len(h))
                 one.append(int.from_bytes(digest[:8], "big", signed=True))
                 two.append(int.from_bytes(digest[8:], "big", signed=True))
-                regs.append(registers(h, BANDED).tobytes() if len(h) else None)
+                regs.append(registers(h, BANDED, fine=True).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], ["id", "n_shingles", "h1", "h2", "registers"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -112,7 +115,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(id, shingles array<long>, registers) of (id, text)."""
+    """(id, shingles array<long>, registers, banded) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -120,11 +123,11 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
                 sets = [shingles(t.as_py(), size, words) for t in part.column(1)]
-                regs = [registers(h).tobytes() for h in sets]
+                regs, banded = [registers(h).tobytes() for h in sets], [registers(h, BANDED, fine=True).tobytes() for h in sets]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())), pa.array(regs, pa.binary())], ["id", "shingles", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())), pa.array(regs, pa.binary()), pa.array(banded, pa.binary())], ["id", "shingles", "registers", "banded"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>, registers binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>, registers binary, banded binary")
 
 
 def estimated(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int = M) -> np.ndarray:
@@ -178,7 +181,7 @@ def _block_pairs(rows: pd.DataFrame, percent: int, best: int | None) -> pd.DataF
     of a sufficient estimate; with best, only the so many likeliest of each row."""
     n, part, side, rep = rows["n"].to_numpy(), rows["part"].to_numpy(), rows["side"].to_numpy(), rows["rep"].to_numpy()
     regs = _registers_of(rows["registers"])
-    band = np.ascontiguousarray(regs[:, :BANDED]).view(np.uint32)
+    band = np.frombuffer(b"".join(rows["banded"]), np.uint16).view(np.uint64).reshape(-1, BANDS)  # four registers of 16 bits
     t, left, right = int(rows["band"].iloc[0]), [], []
     for i in range(len(rows)):
         j = np.arange(i + 1, len(rows)) if not side.any() else np.flatnonzero(side > side[i])
@@ -226,8 +229,8 @@ def _cross_pairs(live: DataFrame, parts: DataFrame, full: DataFrame, percent: in
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
     rows = placed.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(full.select(F.col("id").alias("rep"), "n", "registers"), "rep")
-    rows = rows.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "band", "rep", "part", "n", "registers")
+    rows = rows.join(full.select(F.col("id").alias("rep"), "n", "registers", "banded"), "rep")
+    rows = rows.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "band", "rep", "part", "n", "registers", "banded")
     return _compare(rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"), percent, best).distinct()
 
 
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketches.filter(F.col("registers").isNotNull() & F.col("id").isNotNull())
     sets = written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "sets")
 
-    code = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
+    code = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     buckets = sets.select(F.posexplode(code).alias("band", "bucket"), "rep")
     many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
     live = written(buckets.join(many, "bucket"), "buckets")
