@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces up to this length are remembered, up to so many; then the memory starts afresh.
-CACHED_CHARS, CACHED_PIECES = 48, 600_000
+CACHED_CHARS, CACHED_PIECES = 48, 350_000
 #: Characters of text, and ids, that go into one output batch.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -76,7 +76,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known = _Pieces(self)
 
     def _shorter(self, rank: int) -> int:
@@ -99,9 +99,9 @@ class Encoder:
     def _fits(self, a: int, b: int) -> bool:
         """Whether a and b stay apart side by side. Merges are undone across the border, the later one first: the pieces
         that then touch must not merge before the merge that was undone. On equal ranks the left place merges first."""
-        found = self.fits.get((a, b))
+        found = self.fits.get(a << 32 | b)
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             x, y, before = a, b, 1 << 60
             while True:
@@ -117,7 +117,7 @@ class Encoder:
                     x, before = left, x
                 else:
                     y, before = right, y + 1
-            self.fits[a, b] = found
+            self.fits[a << 32 | b] = found
         return found
 
     def encode_bytes(self, piece: bytes) -> list[int]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 DIM, GRAM, TRAIN, MAX_LANGUAGES = 512, 3, 20_000, 1_000
 UNKNOWN = "und"
 #: Characters that are handled at once.
-PIECE = 600_000
+PIECE = 200_000
 
 
 @cache
@@ -86,7 +86,7 @@ def profiles(texts: list[str | None]) -> np.ndarray:
     out, start, size = np.zeros((len(texts), DIM), np.float64), 0, 0
     for i, text in enumerate([*texts, None]):
         n = len(text or "")
-        if i == len(texts) or size + n > PIECE or i - start >= 400:
+        if i == len(texts) or size + n > PIECE or i - start >= 150:
             if i > start:
                 part = [t or "" for t in texts[start:i]]
                 if i - start == 1:
@@ -138,8 +138,8 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for s in range(0, len(pdf), 2_000):
-                part = pdf.iloc[s : s + 2_000]
+            for s in range(0, len(pdf), 1_000):
+                part = pdf.iloc[s : s + 1_000]
                 unit = profiles(part[text_col if text_col in keep else "_text"].tolist())
                 found = unit.any(axis=1) & bool(names)
                 cosine = unit @ matrix if names else np.zeros((len(part), 1))

@@ -56,7 +56,7 @@ class _Words(dict):
     """Word to 64-bit hash; starts afresh when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
