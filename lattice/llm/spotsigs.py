@@ -39,19 +39,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct hashes of the spot signatures of a text. An anchor's place less the number of anchors before it is
     the number of content words before it, so the chain is a slice of the content words."""
-    words = words_of(text)
     common = lambda w: w.isin(*ANCHORS)
-    anchors = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: common(x["w"]))
-    content = F.filter(words, lambda w: ~common(w))
-    spots = lambda c: F.transform(
-        F.filter(F.transform(anchors, lambda a, j: F.struct(a["w"].alias("w"), (a["i"] - j).alias("at"))), lambda a: a["at"] + CHAIN <= F.size(c)),
-        lambda a: F.xxhash64(a["w"], F.slice(c, a["at"] + 1, F.lit(CHAIN))),
-    )
-    found = F.array_sort(F.array_distinct(spots(content)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(F.lit("whole"), text)))
+
+    def of_words(words: Column) -> Column:
+        anchors = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: common(x["w"]))
+        placed = F.transform(anchors, lambda a, j: F.struct(a["w"].alias("w"), (a["i"] - j).alias("at")))
+        content = F.filter(words, lambda w: ~common(w))
+        return _let(F.struct(content.alias("c"), F.size(content).alias("n"), placed.alias("a")), chains)
+
+    def chains(s: Column) -> Column:
+        whole = F.filter(s["a"], lambda a: a["at"] + CHAIN <= s["n"])
+        return F.transform(whole, lambda a: F.xxhash64(a["w"], F.slice(s["c"], a["at"] + 1, F.lit(CHAIN))))
+
+    found = F.array_sort(F.array_distinct(_let(words_of(text), of_words)))
+    return _let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.xxhash64(F.lit("whole"), text))))
 
 
 def fingerprint(sigs: Column) -> Column:
