@@ -8,7 +8,9 @@ headings, list items get a bullet or their number and an indent, preformatted te
 table are padded to aligned columns.
 
 Defined cases: null or empty html gives empty text; markup that never closes is closed at the end; a `<` that starts no
-tag is text; nesting may be of any depth (no recursion). Whole pages are rendered. Only the named columns are read.
+tag is text; nesting may be of any depth (no recursion) and attributes of any length. A quoted value that never closes
+ends with its tag, at the next `>`; a tag cut off by the page's end inside a quoted value is closed there. Whole pages are rendered.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,12 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _PLACE = {"td": "tr", "th": "tr", "tr": "table"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^<>"']*(?:(?:"[^"]{0,20000}"|'[^']{0,20000}')[^<>"']*)*)>""", re.S)
+#: A quote opens a value only after `=`; one that never closes is a character like others. The last group is empty where
+#: no `>` outside of values follows. Possessive throughout: one pass over a tag, whatever its length.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|["'])*+)(>?)""", re.S)
+#: For the rest of a page in which a tag was found without an end: every tag ends at the next `>`.
+_PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?)""", re.S)
+_OPENED = re.compile(r"""=\s*["']""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["']?[^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 
@@ -154,10 +161,16 @@ def render(html: str | None) -> str:
                 break
         return -1
 
-    end = len(html)
+    end, pattern = len(html), _TAG
     skip_to = None  # (tag, depth) of an element that is not shown
     while at < end:
-        m = _TAG.search(html, at)
+        m = pattern.search(html, at)
+        if m and m[2] and not m[4]:
+            if html.find(">", m.end(2)) >= 0:  # all that follow are in values
+                pattern = _PLAIN
+                m = pattern.search(html, at)
+            elif not _OPENED.search(m[3]):
+                m = None
         text = html[at : m.start() if m else end]
         if text and skip_to is None:
             emit(unescape(text))

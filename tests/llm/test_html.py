@@ -1,3 +1,5 @@
+import time
+
 from lattice.llm import html as H
 
 
@@ -27,6 +29,24 @@ def test_odd_markup():
     assert H.render("<a href='x>y'>t</a><a \"broken>u") .startswith("t")
 
 
+def test_long_attributes():
+    long = "QUJD" * 250_000
+    assert H.render(f'<p>a<img src="data:image/png;base64,{long}">b</p>c') == "ab\n\nc"
+    assert H.render(f"<div style='background:url({long});display:none'>gone</div><p title='{long}'>seen") == "seen"
+    assert H.render(f'<p>a<img alt="x" src="{long}') == "ax"
+    assert H.render('<p>a<a title="1 > 0" href="x>b</a><p>c') == "ab\n\nc"
+    assert H.render("<p>a<b title='1 > 0'") == "a 0'"
+    assert H.render("it's <b>5</b> x=<i>6") == "it's 5 x=6"
+
+
+def test_broken_quotes_take_one_pass():
+    n = 100_000
+    for page in ('<a c="<a" ' * n, "<a d='>\" c=\"" * n, '<a b="' * n, "<a b='\"" * n, "<a" * n, "<a =" * n):
+        began = time.process_time()
+        H.render(page)
+        assert time.process_time() - began < 20
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "x"), (2, None, "x"), (None, "b", "x")], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in H.extract(df).collect()] == [(1, "a"), (2, ""), (2, ""), (None, "b")]
