@@ -2,7 +2,9 @@
 
 A tree builder keeps the stack of open elements; start tags close what they imply (a block closes an open paragraph, an
 item its sibling, a cell or row the one before), end tags close what is open inside. Elements that are not shown are
-left out: head, scripts, styles and the like, and anything hidden by attribute or inline style. Visible text is emitted
+left out: head, scripts, styles and the like, and anything hidden by attribute or inline style. They stand on the same
+stack, so that what ends a shown element ends them too; a head also ends at the first text or element that is none of
+its own. Visible text is emitted
 as laid out: inline white space collapses, blocks stand on lines of their own with blank lines around paragraphs and
 headings, list items get a bullet or their number and an indent, preformatted text keeps its lines, and the cells of a
 table are padded to aligned columns.
@@ -29,11 +31,16 @@ RAW = frozenset("script style title textarea iframe noscript xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center details dd div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup section summary caption tr thead tbody tfoot td th".split())
+#: What may stand in a head without ending it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: What implied end tags do not reach out of; those of a paragraph.
+_WALLS = frozenset("template object select foreignobject".split())
+_SCOPE = _WALLS | {"table", "td", "th", "li", "div", "button"}
 #: What a start tag closes, up to the nearest of the elements after it.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "li": ({"li"}, _WALLS | {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, _WALLS | {"dl", "table"}), "dd": ({"dt", "dd"}, _WALLS | {"dl", "table"}),
+    "td": ({"td", "th"}, {"tr", "table", "template"}), "th": ({"td", "th"}, {"tr", "table", "template"}), "tr": ({"tr"}, {"table", "template"}),
+    "thead": ({"thead", "tbody", "tfoot"}, {"table", "template"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table", "template"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table", "template"}),
     "option": ({"option"}, {"select"}),
 }
 _PLACE = {"td": "tr", "th": "tr", "tr": "table"}
@@ -96,13 +103,18 @@ def _table(rows: list[list[str]]) -> list[str]:
 
 def render(html: str | None) -> str:
     html = html or ""
-    outs, stack = [_Out()], []  # stack: [tag, lead, extra]; extra holds a list's number or a table's rows
-    at, pre, lead = 0, 0, ""
+    outs, stack = [_Out()], []  # stack: [tag, lead, extra, unseen]; extra holds a list's number or a table's rows
+    at, pre, lead, unseen = 0, 0, "", 0  # unseen: elements on the stack that are not shown, all above those that are
+    count: dict[str, int] = {}  # open elements by tag
     lists: list[list] = []
 
     def close() -> None:
-        nonlocal pre, lead
-        tag, before, extra = stack.pop()
+        nonlocal pre, lead, unseen
+        tag, before, extra, gone = stack.pop()
+        count[tag] -= 1
+        if gone:
+            unseen -= 1
+            return
         if tag in ("td", "th"):
             cell = outs.pop().text()
             for x in reversed(stack):
@@ -152,8 +164,16 @@ def render(html: str | None) -> str:
         out.put(body, lead)
         out.space = words[-1] == " "
 
+    def push(tag: str, before: str, extra: list | None, gone: bool) -> None:
+        nonlocal unseen
+        stack.append([tag, before, extra, gone])
+        count[tag] = count.get(tag, 0) + 1
+        unseen += gone
+
     def open_until(wanted: set, limit: set) -> int:
         """Place in the stack of the nearest wanted element inside limit, or -1."""
+        if not any(count.get(x) for x in wanted):
+            return -1
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in wanted:
                 return i
@@ -162,7 +182,6 @@ def render(html: str | None) -> str:
         return -1
 
     end, pattern = len(html), _TAG
-    skip_to = None  # (tag, depth) of an element that is not shown
     while at < end:
         m = pattern.search(html, at)
         if m and m[2] and not m[4]:
@@ -172,7 +191,9 @@ def render(html: str | None) -> str:
             elif not _OPENED.search(m[3]):
                 m = None
         text = html[at : m.start() if m else end]
-        if text and skip_to is None:
+        if text and unseen and stack[-1][0] == "head" and text.strip(" \t\n\r\f"):
+            close()
+        if text and not unseen:
             emit(unescape(text))
         if not m:
             break
@@ -180,33 +201,32 @@ def render(html: str | None) -> str:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if not closing and unseen and stack[-1][0] == "head" and tag not in HEAD:
+            close()
         if not closing and tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
             raw, at = html[at : stop.start() if stop else end], stop.end() if stop else end
-            if tag == "xmp" and skip_to is None:
+            if tag == "xmp" and not unseen:
                 emit(raw)
             continue
-        if skip_to is not None:
-            if tag == skip_to[0] and tag not in VOID:
-                skip_to = (tag, skip_to[1] + (-1 if closing else 1))
-                if not skip_to[1]:
-                    skip_to = None
-            elif closing and skip_to[0] != "head" and open_until({tag}, set()) >= 0 and tag in ("body", "html"):
-                skip_to = None
-            elif not closing and skip_to[0] == "head" and tag == "body":
-                skip_to = None
-            continue
         if closing:
             if tag == "p" and open_until({"p"}, {"table", "td", "th"}) < 0:
-                outs[-1].block(1)
+                if not unseen:
+                    outs[-1].block(1)
                 continue
             k = open_until({tag}, set() if tag == "table" else {"table"} if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot") else set())
             while k >= 0 and len(stack) > k:
                 close()
             continue
-        if tag in UNSEEN or m[3] and _HIDDEN.search(m[3]):
-            if tag not in VOID and not m[3].endswith("/"):
-                skip_to = (tag, 1)
+        own = tag in UNSEEN or bool(m[3] and _HIDDEN.search(m[3]))
+        if m[3].endswith("/") and (own and not unseen or tag in ("svg", "math") or count.get("svg") or count.get("math")):
+            continue
+        if tag in ("head", "html") and unseen:
+            continue  # only the first counts
+        if (tag in BLOCK or tag in ("dialog", "hr")) and (k := open_until({"p"}, _SCOPE)) >= 0:
+            while len(stack) > k:
+                close()
+        if tag in VOID and (own or unseen):
             continue
         if tag == "br":
             if not outs[-1].line:
@@ -219,19 +239,19 @@ def render(html: str | None) -> str:
             elif tag == "img" and (alt := re.search(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[3], re.I)):
                 emit(unescape(alt[1] or alt[2] or ""))
             continue
-        if tag in BLOCK and (k := open_until({"p"}, {"table", "td", "th", "li", "div", "button"})) >= 0:
-            while len(stack) > k:
-                close()
         if tag in CLOSES and (k := open_until(*CLOSES[tag])) >= 0:
             while len(stack) > k:
                 close()
         if tag in _PLACE and open_until({_PLACE[tag]}, {"table"} if tag != "tr" else set()) < 0:
             if open_until({"table"}, set()) < 0:
                 continue  # a stray cell or row outside a table
-            stack.append(["tr", lead, []])
+            push("tr", lead, [], unseen > 0)
         extra = None
         before = lead
-        if tag in ("td", "th"):
+        gone = own or unseen > 0
+        if gone:
+            pass
+        elif tag in ("td", "th"):
             outs.append(_Out())
             lead = ""
         elif tag in ("table", "tr"):
@@ -257,7 +277,7 @@ def render(html: str | None) -> str:
                 pre += 1
             elif tag in ("blockquote", "dd"):
                 lead += "    " if tag == "dd" else "> "
-        stack.append([tag, before, extra])
+        push(tag, before, extra, gone)
     while stack:
         close()
     return outs[0].text()

@@ -47,6 +47,27 @@ def test_broken_quotes_take_one_pass():
         assert time.process_time() - began < 20
 
 
+def test_hidden_elements_end_as_others_do():
+    assert H.render("<head><title>t</title><p>text") == "text"
+    assert H.render("<html><head><meta charset=x><script>1</script>\n text <b>on</b>") == "text on"
+    assert H.render("<head><title>t</title><style>s</style><template><p>no</template><link rel=x></head>\n<div>a</div>") == "a"
+    assert H.render("<ul><li hidden>a<li>b</ul>rest") == "- b\n\nrest"
+    assert H.render("<ol><li>a<li hidden>no<ol><li>no</ol><li>b</ol>c") == "1. a\n2. b\n\nc"
+    assert H.render("<p hidden>a<p>b") == H.render("<p hidden>a<div>b</div>") == H.render("<p hidden>a<hr>b") == "b"
+    assert H.render("<table><tr><td style=display:none>a<td>b<tr hidden><td>no<td>no<tr><td>c</table>d") == "b\nc\n\nd"
+    assert H.render("<div><span hidden>a</div>b") == H.render("<div><svg><path d=x><g/></div>b") == "b"
+    assert H.render("<dl><dt hidden>a<dd>b</dl>") == "    b"
+    assert H.render("<p>a<object><p>no</p><ul><li>no</ul></object>b") == "ab"
+    assert H.render("<table><tr><td>a<template><tr><td>no</td></tr></template><td>b</table>") == "a  b"
+    assert H.render("<div hidden><div>no</div><table><tr><td>no</table><pre>no</pre></div><pre>a\nb</pre>") == "a\nb"
+    assert H.render("<ul><li>a<template><li>no</template> b</ul>") == "- a b"
+    assert H.render("<span hidden>" * 50_000 + "no") == ""
+
+
+def test_nested_table():
+    assert H.render("<table><tr><td>a<table><tr><td>in</table><td>b</table>") == "a   b\n\nin"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "x"), (2, None, "x"), (None, "b", "x")], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in H.extract(df).collect()] == [(1, "a"), (2, ""), (2, ""), (None, "b")]
