@@ -14,7 +14,7 @@ SELECT snap, f, t, max(q) AS q FROM (
       CAST(year(l_shipdate) AS INT) AS y0, CAST(l_quantity AS INT) AS q
     FROM lineitem) p
   JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x ON x.k <= p.q % 3
-  WHERE p.t IS NOT NULL AND p.f <> p.t AND p.q >= 31) z
+  WHERE p.t IS NOT NULL AND p.f <> p.t) z
 GROUP BY snap, f, t
 """
 
