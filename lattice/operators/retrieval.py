@@ -12,6 +12,8 @@ from lattice.functions import scalars as C
 SNAP = ["repo", "commit_sha"]
 #: Questions that may be broadcast at once, by their number.
 BROADCAST = 10_000
+#: Blocks a side when all rows of two tables meet.
+BLOCKS = 8
 
 #: How a question is routed (fixed patterns, English and Portuguese).
 REVIEW = r"(?i)(bug|defeito|defect|falha|failure|fault|erro|error|risco|risk|seguranca|segurança|security|vulnerabil|problema|problem|audit|code review|code-review|revis)"
@@ -26,6 +28,16 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
+def in_blocks(few_rows: DataFrame, rows: DataFrame, on: tuple[str, ...] = (), blocks: int = BLOCKS) -> DataFrame:
+    """Every row of few_rows with every row of rows that agrees on `on`. Each side is cut into blocks by a hash, and each
+    block of one meets each of the other in a join on the block: no side is broadcast, and no task sees a whole side."""
+    every = F.array(*map(F.lit, range(blocks)))
+    of = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
+    left = few_rows.withColumn("_a", of(few_rows)).withColumn("_b", F.explode(every))
+    right = rows.withColumn("_b", of(rows)).withColumn("_a", F.explode(every))
+    return left.hint("shuffle_hash").join(right, [*on, "_a", "_b"]).drop("_a", "_b")
+
+
 def embedding_text(symbol: Column, path: Column, start: Column, end: Column, content: Column) -> Column:
     return F.concat(symbol, F.lit("\n"), path, F.lit(" lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("\n"), F.coalesce(content, F.lit("")))
 
@@ -63,7 +75,7 @@ def semantic_scores(questions: DataFrame, nodes: DataFrame, vectors: DataFrame)
     by words. questions also has vector."""
     lacks = nodes.select(*SNAP, "key").join(vectors.select(*SNAP, "key"), [*SNAP, "key"], "left_anti").select(*SNAP).distinct()
     q = questions.select("qid", *SNAP, F.col("vector").alias("qv")).join(lacks, SNAP, "left_anti")
-    scored = vectors.select(*SNAP, "key", "vector").join(few(q), SNAP).select("qid", *SNAP, "key", C.cosine(F.col("qv"), F.col("vector")).alias("score"))
+    scored = in_blocks(q, vectors.select(*SNAP, "key", "vector"), tuple(SNAP)).select("qid", *SNAP, "key", C.cosine(F.col("qv"), F.col("vector")).alias("score"))
     return scored.unionByName(lexical_scores(questions.join(lacks, SNAP, "left_semi"), nodes))
 
 
