@@ -61,13 +61,22 @@ def embed_nodes(nodes: DataFrame, existing: DataFrame, previous: DataFrame, embe
 
 def lexical_scores(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Q2. (qid, SNAP, key, score): share of the question's tokens inside symbol, path or content; 0.1 more if one is in
-    symbol or path. Tokens match inside words, so each node meets each question of its snapshot."""
+    symbol or path. Tokens match inside words: a token is a run of word characters, so it is inside a text if it is inside
+    one of its words. Each distinct word is compared with the tokens that begin with one of its trigrams, and rows of
+    questions and nodes arise only where a token matches. (SNAP, key) names one node."""
     q = questions.select("qid", *SNAP, C.tokenize(F.col("question")).alias("tokens")).filter(F.size("tokens") > 0)
-    n = nodes.select(*SNAP, "key", F.lower(F.concat_ws(" ", "symbol", "path", "content")).alias("text"), F.lower(F.concat_ws("\n", "symbol", "path")).alias("name"))
-    both = n.join(few(q), SNAP).withColumn("hits", F.size(F.filter("tokens", lambda t: F.contains(F.col("text"), t)))).filter("hits > 0")
-    share = F.col("hits") / F.size("tokens")
-    named = F.exists("tokens", lambda t: F.contains(F.col("name"), t))
-    return both.select("qid", *SNAP, "key", F.when(named, F.least(F.lit(1.0), share + 0.1)).otherwise(share).alias("score"))
+    asked = q.select("qid", *SNAP, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    n = nodes.select(*SNAP, "key", words(F.concat_ws(" ", "symbol", "path", "content")).alias("words"), words(F.concat_ws("\n", "symbol", "path")).alias("names"))
+    held = n.select(*SNAP, "key", "names", F.explode("words").alias("word")).filter(F.length("word") >= 3).select(*SNAP, "key", "word", F.array_contains("names", F.col("word")).alias("named"))
+    vocabulary = held.select("word").distinct()
+    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3))))).alias("gram"))
+    tokens = asked.select("token", F.substring("token", 1, 3).alias("gram")).distinct()
+    match = grams.join(tokens, "gram").filter(F.contains(F.col("word"), F.col("token"))).select("word", "token")
+    has = held.join(match, "word").groupBy(*SNAP, "key", "token").agg(F.max("named").alias("named"))
+    both = has.join(few(asked), [*SNAP, "token"]).groupBy("qid", *SNAP, "key").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.max("named").alias("named"))
+    share = F.col("hits") / F.col("n")
+    return both.select("qid", *SNAP, "key", F.when(F.col("named"), F.least(F.lit(1.0), share + 0.1)).otherwise(share).alias("score"))
 
 
 def semantic_scores(questions: DataFrame, nodes: DataFrame, vectors: DataFrame) -> DataFrame:

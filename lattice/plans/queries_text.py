@@ -286,12 +286,12 @@ def q5_route(spark, sf_dir):
 LEX = f"""tk AS (SELECT qid, list_distinct({TOKENS('question')}) AS t FROM qn),
   lx AS (SELECT qid, key, h, n, nm FROM (SELECT k.qid, d.key, len(k.t) AS n, len(list_filter(k.t, lambda w: contains(lower(concat_ws(' ', d.symbol, d.path, d.content)), w))) AS h, len(list_filter(k.t, lambda w: contains(lower(d.symbol), w) OR contains(lower(d.path), w))) > 0 AS nm FROM tk k JOIN c d ON len(k.t) > 0) z WHERE h > 0),
   sc AS (SELECT qid, key, CASE WHEN nm THEN least(1.0, CAST(h AS DOUBLE) / n + 0.1) ELSE CAST(h AS DOUBLE) / n END AS score FROM lx)"""
-CORPUS = "c AS (SELECT CAST(item_id AS VARCHAR(20)) AS key, 'Item' AS symbol, concat('bench/', CAST(item_id % 7 AS VARCHAR(20))) AS path, text AS content FROM benchmark)"
+CORPUS = "c AS (SELECT CAST(doc_id AS VARCHAR(20)) AS key, source AS symbol, lang AS path, text AS content FROM documents)"
 
 
 def corpus(spark, sf_dir):
-    b = _read(spark, sf_dir, "benchmark")
-    return b.select(F.lit("r0").alias("repo"), F.lit("c1998").alias("commit_sha"), F.col("item_id").cast("string").alias("key"), F.lit("Item").alias("symbol"), F.concat(F.lit("bench/"), (F.col("item_id") % 7).cast("string")).alias("path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.when(F.col("item_id") % 3 == 0, "stale").otherwise("none").alias("review_status"), ((F.col("item_id") % 10) / 10).alias("confidence"))
+    d = _read(spark, sf_dir, "documents")
+    return d.select(F.lit("r0").alias("repo"), F.lit("c1998").alias("commit_sha"), F.col("doc_id").cast("string").alias("key"), F.col("source").alias("symbol"), F.col("lang").alias("path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.when(F.col("doc_id") % 3 == 0, "stale").otherwise("none").alias("review_status"), ((F.col("doc_id") % 10) / 10).alias("confidence"))
 
 
 @query(f"WITH {QN}, {CORPUS}, {LEX} SELECT qid, key, round(score, 9) AS score FROM sc")
@@ -323,9 +323,9 @@ def q8_context(spark, sf_dir):
     return retrieval.pack_context(_retrieved(spark, sf_dir), corpus(spark, sf_dir))
 
 
-@query(f"WITH {RET}, an AS (SELECT qid, 'see item 1 and 2' AS a FROM qn WHERE qid % 2 = 0), h AS (SELECT rt.qid, rt.key, rank, contains(a, rt.key) OR contains(a, 'item') AS hit FROM rt JOIN an ON an.qid = rt.qid) SELECT qid, key FROM (SELECT *, max(hit) OVER (PARTITION BY qid) AS any_ FROM h) z WHERE CASE WHEN any_ THEN hit ELSE rank = 1 END")
+@query(f"WITH {RET}, an AS (SELECT qid, 'see src0, 1 and 2' AS a FROM qn WHERE qid % 2 = 0), h AS (SELECT rt.qid, rt.key, rank, contains(a, rt.key) OR (length(symbol) >= 3 AND contains(a, lower(symbol))) AS hit FROM rt JOIN an ON an.qid = rt.qid JOIN c ON c.key = rt.key) SELECT qid, key FROM (SELECT *, max(hit) OVER (PARTITION BY qid) AS any_ FROM h) z WHERE CASE WHEN any_ THEN hit ELSE rank = 1 END")
 def q9_cite(spark, sf_dir):
-    answers = questions(spark, sf_dir).filter("qid % 2 = 0").select("qid", F.lit("See Item 1 and 2").alias("answer"))
+    answers = questions(spark, sf_dir).filter("qid % 2 = 0").select("qid", F.lit("See Src0, 1 and 2").alias("answer"))
     return retrieval.cite(answers, _retrieved(spark, sf_dir), corpus(spark, sf_dir))
 
 
