@@ -199,9 +199,9 @@ def g15_classify(spark, sf_dir):
     return graph.classify_impact(nodes.select(*SNAP, "key", "path"), nodes, X.edges(spark, sf_dir)).select(*SNAP, "key", "classification")
 
 
-@query(f"SELECT {RC}, path, key, start_line FROM d_nodes WHERE snap = 1998 AND (path ILIKE '%p1_controller%' OR key ILIKE '%p1_controller%' OR symbol ILIKE '%p1_controller%' OR kind ILIKE '%p1_controller%') ORDER BY path, start_line LIMIT 200")
+@query(f"SELECT {RC}, path, key, start_line FROM d_nodes WHERE (path ILIKE '%p1_controller%' OR key ILIKE '%p1_controller%' OR symbol ILIKE '%p1_controller%' OR kind ILIKE '%p1_controller%') ORDER BY path, start_line LIMIT 200")
 def g16_search(spark, sf_dir):
-    return graph.search_nodes(X.nodes(spark, sf_dir, 1998), " P1_Controller ", 500).select(*SNAP, "path", "key", "start_line")
+    return graph.search_nodes(X.nodes(spark, sf_dir), " P1_Controller ", 500).select(*SNAP, "path", "key", "start_line")
 
 
 @query(f"WITH v AS (SELECT snap, key FROM d_nodes WHERE NOT {TEST} AND {NODE_TIER} = 'verified') SELECT {RC.replace('snap', 'e.snap')}, from_key, to_key, type FROM d_edges e WHERE type IN ('Calls', 'HasMethod') AND (snap, from_key) IN (SELECT snap, key FROM v) AND (snap, to_key) IN (SELECT snap, key FROM v)")
@@ -336,7 +336,7 @@ def m5_semantic_hash_layers(spark, sf_dir):
 
 @query(None)
 def m5_semantic_hash(spark, sf_dir):
-    return snapshots.semantic_hash(X.nodes(spark, sf_dir, 1998), X.edges(spark, sf_dir, 1998))
+    return snapshots.semantic_hash(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))
 
 
 SH = "sh AS (SELECT *, sha256(concat(kind, ':', symbol, ':', CAST(q10 AS VARCHAR(20)))) AS h FROM d_nodes)"

@@ -232,14 +232,14 @@ def l12_ambiguous(spark, sf_dir):
     return linking.ambiguous_refs(r, e).select("from_key", "name", "candidates")
 
 
-@query(f"WITH e AS (SELECT * FROM d_edges WHERE snap = 1998), p AS (SELECT to_key AS f, from_key AS t, CASE WHEN (f + t) % 6 = 0 THEN 'Calls' WHEN (f + t) % 6 = 4 THEN 'InvokesEndpoint' ELSE 'Injected' END AS ty, CASE WHEN f % 5 = 0 THEN NULL WHEN f % 5 = 1 THEN 1.7 ELSE confidence END AS c FROM e) SELECT f AS from_key, t AS to_key, ty AS type, CAST(greatest(0, least(1, coalesce(max(c), 0.7))) AS DOUBLE) AS confidence FROM p WHERE ty IN ('Calls', 'InvokesEndpoint') AND (f, t, ty) NOT IN (SELECT from_key, to_key, type FROM e) GROUP BY f, t, ty")
+@query(f"WITH e AS (SELECT * FROM d_edges), p AS (SELECT snap, to_key AS f, from_key AS t, CASE WHEN (f + t) % 6 = 0 THEN 'Calls' WHEN (f + t) % 6 = 4 THEN 'InvokesEndpoint' ELSE 'Injected' END AS ty, CASE WHEN f % 5 = 0 THEN NULL WHEN f % 5 = 1 THEN 1.7 ELSE confidence END AS c FROM e) SELECT f AS from_key, t AS to_key, ty AS type, CAST(greatest(0, least(1, coalesce(max(c), 0.7))) AS DOUBLE) AS confidence FROM p WHERE ty IN ('Calls', 'InvokesEndpoint') AND (snap, f, t, ty) NOT IN (SELECT snap, from_key, to_key, type FROM e) GROUP BY snap, f, t, ty")
 def l13_proposals(spark, sf_dir):
-    e = X.edges(spark, sf_dir, 1998)
+    e = X.edges(spark, sf_dir)
     kind = F.when((F.col("f") + F.col("t")) % 6 == 0, "Calls").when((F.col("f") + F.col("t")) % 6 == 4, "InvokesEndpoint").otherwise("Injected")
     conf = F.when(F.col("f") % 5 == 1, 1.7).when(F.col("f") % 5 != 0, F.col("confidence"))
     one = F.to_json(F.array(F.struct(F.col("to_key").alias("from"), F.col("from_key").alias("to"), kind.alias("type"), conf.alias("confidence"))))
     proposals = e.select(*SNAP, F.concat(F.lit("```json\n"), one, F.lit("\n```")).alias("json"))
-    return linking.accept_proposals(proposals, X.nodes(spark, sf_dir, 1998), e).select("from_key", "to_key", "type", "confidence")
+    return linking.accept_proposals(proposals, X.nodes(spark, sf_dir), e).select("from_key", "to_key", "type", "confidence")
 
 
 _EP = "regexp_matches(lower(concat(symbol, ' ', path)), 'controller|endpoint|handler|route|/api/|http|fetch|axios|client|service')"
@@ -261,26 +261,26 @@ def questions(spark, sf_dir, commit="c1998"):
 
 
 def routed_questions(spark, sf_dir):
-    """Questions with real symbols: each node of 1998 asks one of six."""
-    n = X.nodes(spark, sf_dir, 1998)
+    """Questions with real symbols: each node of each snapshot asks one of six."""
+    n = X.nodes(spark, sf_dir)
     ask = F.element_at(F.array(*map(F.lit, ["What breaks if I change ", "Who uses ", "What does this depends on: ", "Is there a bug in ", "Explain ", "o que quebra com "])), (F.col("pk") % 6 + 1).cast("int"))
     named = F.when(F.col("pk") % 4 == 0, F.col("path")).when(F.col("pk") % 4 == 1, F.lit("nothing")).otherwise(F.col("symbol"))
-    return n.select(F.col("pk").alias("qid"), *SNAP, F.concat(ask, named, F.lit("?")).alias("question"))
+    return n.select((F.col("snap") * F.lit(10_000_000_000) + F.col("pk")).alias("qid"), *SNAP, F.concat(ask, named, F.lit("?")).alias("question"))
 
 
-RQ = "rq AS (SELECT pk AS qid, concat(CASE pk % 6 WHEN 0 THEN 'What breaks if I change ' WHEN 1 THEN 'Who uses ' WHEN 2 THEN 'What does this depends on: ' WHEN 3 THEN 'Is there a bug in ' WHEN 4 THEN 'Explain ' ELSE 'o que quebra com ' END, CASE pk % 4 WHEN 0 THEN path WHEN 1 THEN 'nothing' ELSE symbol END, '?') AS question FROM d_nodes WHERE snap = 1998)"
-MATCH = "mt AS (SELECT qid, min(struct_pack(c := c, k := k)) AS m FROM (SELECT q.qid, CASE WHEN n.symbol IN (SELECT unnest(list_transform(regexp_extract_all(q.question, '[\\p{L}\\p{N}_.]+'), lambda w: trim(w, '.')))) THEN 1 WHEN contains(q.question, n.path) THEN 2 WHEN contains(q.question, n.key) THEN 3 END AS c, n.key AS k FROM rq q JOIN (SELECT * FROM d_nodes WHERE snap = 1998) n ON contains(q.question, n.symbol) OR contains(q.question, n.path)) z WHERE c IS NOT NULL GROUP BY qid)"
+RQ = "rq AS (SELECT snap, snap * 10000000000 + pk AS qid, concat(CASE pk % 6 WHEN 0 THEN 'What breaks if I change ' WHEN 1 THEN 'Who uses ' WHEN 2 THEN 'What does this depends on: ' WHEN 3 THEN 'Is there a bug in ' WHEN 4 THEN 'Explain ' ELSE 'o que quebra com ' END, CASE pk % 4 WHEN 0 THEN path WHEN 1 THEN 'nothing' ELSE symbol END, '?') AS question FROM d_nodes)"
+MATCH = "mt AS (SELECT qid, min(struct_pack(c := c, k := k)) AS m FROM (SELECT q.qid, CASE WHEN n.symbol IN (SELECT unnest(list_transform(regexp_extract_all(q.question, '[\\p{L}\\p{N}_.]+'), lambda w: trim(w, '.')))) THEN 1 WHEN contains(q.question, n.path) THEN 2 WHEN contains(q.question, n.key) THEN 3 END AS c, n.key AS k FROM rq q JOIN d_nodes n ON n.snap = q.snap AND (contains(q.question, n.symbol) OR contains(q.question, n.path))) z WHERE c IS NOT NULL GROUP BY qid)"
 
 
 @query(f"WITH {RQ}, {MATCH} SELECT qid, CAST(m.c AS INT) AS class, m.k AS key FROM mt")
 def q6_match(spark, sf_dir):
-    return retrieval.match_entity(routed_questions(spark, sf_dir), X.nodes(spark, sf_dir, 1998))
+    return retrieval.match_entity(routed_questions(spark, sf_dir), X.nodes(spark, sf_dir))
 
 
 @query(f"WITH {RQ}, {MATCH}, x AS (SELECT rq.qid, question, m.k AS key, CASE WHEN regexp_matches(question, '{retrieval.REVIEW}') THEN 'review' WHEN regexp_matches(question, '{retrieval.STRUCTURAL}') AND m IS NOT NULL THEN 'graph' ELSE 'retrieval' END AS route FROM rq LEFT JOIN mt ON mt.qid = rq.qid) SELECT qid, route, CASE WHEN route = 'graph' THEN CASE WHEN regexp_matches(question, '{retrieval.IMPACT}') THEN 'impact' WHEN regexp_matches(question, '{retrieval.CONSUMERS}') THEN 'consumers' WHEN regexp_matches(question, '{retrieval.DEPENDENCIES}') THEN 'dependencies' ELSE 'impact' END END AS graph_query FROM x")
 def q5_route(spark, sf_dir):
     q = routed_questions(spark, sf_dir)
-    return retrieval.route_questions(q, retrieval.match_entity(q, X.nodes(spark, sf_dir, 1998))).select("qid", "route", "graph_query")
+    return retrieval.route_questions(q, retrieval.match_entity(q, X.nodes(spark, sf_dir))).select("qid", "route", "graph_query")
 
 
 LEX = f"""tk AS (SELECT qid, list_distinct({TOKENS('question')}) AS t FROM qn),
@@ -371,9 +371,9 @@ def p1_queue(spark, sf_dir):
     return reviews.review_queue(X.nodes(spark, sf_dir)).select(*SNAP, "key", "review_status")
 
 
-@query(f"SELECT {RC}, key, CASE pk % 13 WHEN 0 THEN 'accepted' WHEN 1 THEN 'none' WHEN 2 THEN 'edited' ELSE review_status END AS review_status, CASE WHEN pk % 13 = 2 THEN 'new text' ELSE content END AS content, CASE WHEN pk % 13 = 2 THEN sha256('new text') ELSE 'h' END AS semantic_hash, CASE WHEN pk % 13 = 2 THEN 'h' END AS parent_hash, CASE WHEN pk % 13 = 2 THEN 'dashboard' END AS edited_by FROM d_nodes WHERE snap = 1998")
+@query(f"SELECT {RC}, key, CASE pk % 13 WHEN 0 THEN 'accepted' WHEN 1 THEN 'none' WHEN 2 THEN 'edited' ELSE review_status END AS review_status, CASE WHEN pk % 13 = 2 THEN 'new text' ELSE content END AS content, CASE WHEN pk % 13 = 2 THEN sha256('new text') ELSE 'h' END AS semantic_hash, CASE WHEN pk % 13 = 2 THEN 'h' END AS parent_hash, CASE WHEN pk % 13 = 2 THEN 'dashboard' END AS edited_by FROM d_nodes")
 def p2_apply(spark, sf_dir):
-    n = X.nodes(spark, sf_dir, 1998).withColumns({"semantic_hash": F.lit("h"), "parent_hash": F.lit(None).cast("string"), "edited_by": F.lit(None).cast("string"), "edited_at": F.lit(None).cast("timestamp")})
+    n = X.nodes(spark, sf_dir).withColumns({"semantic_hash": F.lit("h"), "parent_hash": F.lit(None).cast("string"), "edited_by": F.lit(None).cast("string"), "edited_at": F.lit(None).cast("timestamp")})
     d = n.filter("pk % 13 <= 2").select("repo", "key", F.element_at(F.array(F.lit("accept"), F.lit("dismiss"), F.lit("edit")), (F.col("pk") % 13 + 1).cast("int")).alias("action"), F.lit(" new text ").alias("content"), F.lit(None).cast("string").alias("editor"), F.current_timestamp().alias("at"))
     older = d.withColumns({"action": F.lit("dismiss"), "at": F.lit("2000-01-01").cast("timestamp")})
     return reviews.apply_reviews(n, d.unionByName(older)).select(*SNAP, "key", "review_status", "content", "semantic_hash", "parent_hash", "edited_by")
@@ -461,11 +461,11 @@ def t2_diagrams(spark, sf_dir):
     return d.select(*SNAP, "key", F.col("class_diagram").isNotNull().alias("is_class"), F.size(F.split(F.coalesce("class_diagram", "sequence_diagram"), "\n")).cast("long").alias("lines"))
 
 
-@query("SELECT key, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind = 'Method' THEN NULL WHEN pk % 2 = 0 THEN 'classDiagram' END AS class_diagram, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind <> 'Method' THEN NULL WHEN pk % 2 <> 0 THEN 'classDiagram' END AS sequence_diagram, CAST(CASE WHEN pk % 7 = 0 THEN 0.7 ELSE least(1.0, (pk % 13) / 10.0) END AS DOUBLE) AS confidence, CASE WHEN pk % 7 = 0 THEN 'empty content' END AS error FROM d_nodes WHERE snap = 1998")
+@query("SELECT key, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind = 'Method' THEN NULL WHEN pk % 2 = 0 THEN 'classDiagram' END AS class_diagram, CASE WHEN pk % 7 = 0 THEN NULL WHEN kind <> 'Method' THEN NULL WHEN pk % 2 <> 0 THEN 'classDiagram' END AS sequence_diagram, CAST(CASE WHEN pk % 7 = 0 THEN 0.7 ELSE least(1.0, (pk % 13) / 10.0) END AS DOUBLE) AS confidence, CASE WHEN pk % 7 = 0 THEN 'empty content' END AS error FROM d_nodes")
 def t3_parse(spark, sf_dir):
     from lattice.operators import textgen
 
-    n = X.nodes(spark, sf_dir, 1998)
+    n = X.nodes(spark, sf_dir)
     kind = F.when(F.col("pk") % 2 == 0, "Class").otherwise("Sequence")
     text = F.concat(F.lit("```markdown\n# T\n\n## "), kind, F.lit(" diagram\n```mermaid\nclassDiagram\n```\n\n## Confidence\nConfidence: "), ((F.col("pk") % 13) / 10).cast("string"), F.lit("\n```"))
     return textgen.parse_summaries(n.withColumn("response", F.when(F.col("pk") % 7 != 0, text).otherwise(" "))).select("key", "class_diagram", "sequence_diagram", "confidence", "error")
@@ -583,9 +583,9 @@ def t14_explain(spark, sf_dir):
 
 def _graph_items(spark, sf_dir):
     q = routed_questions(spark, sf_dir)
-    n, e = X.nodes(spark, sf_dir, 1998), X.edges(spark, sf_dir, 1998)
+    n, e = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
     routed = retrieval.route_questions(q, retrieval.match_entity(q, n)).filter("route = 'graph'")
-    return routed.join(n.select("key", "symbol"), "key"), n, e
+    return routed.join(n.select(*SNAP, "key", "symbol"), [*SNAP, "key"]), n, e
 
 
 @query(None)
@@ -597,11 +597,11 @@ def q7_graph_answers(spark, sf_dir):
     cols = [*SNAP, "source", F.col("depth").alias("ord"), "key", "symbol", "path", "line", note.alias("note")]
     items = graph.impact(n, e, src("impact")).select(*cols, F.lit("impact").alias("graph_query")).unionByName(graph.chain(n, e, src("dependencies")).select(*cols, F.lit("dependencies").alias("graph_query")))
     used = graph.consumers(n, e, src("consumers")).select(*SNAP, F.col("to_key").alias("source"), F.lit(1).alias("ord"), "key", "symbol", "path", "line", F.lower("type").alias("note"), F.lit("consumers").alias("graph_query"))
-    items = items.unionByName(used).join(q.select("qid", F.col("key").alias("source"), "graph_query"), ["source", "graph_query"])
+    items = items.unionByName(used).join(q.select("qid", *SNAP, F.col("key").alias("source"), "graph_query"), [*SNAP, "source", "graph_query"])
     return retrieval.answer_from_graph(items, q)
 
 
-@query("SELECT key, 'rule-based' AS model FROM d_nodes WHERE snap = 1998 AND pk % 2 = 0 UNION ALL SELECT key, 'own' FROM d_nodes WHERE snap = 1998 AND pk % 2 <> 0")
+@query("SELECT key, 'rule-based' AS model FROM d_nodes WHERE pk % 2 = 0 UNION ALL SELECT key, 'own' FROM d_nodes WHERE pk % 2 <> 0")
 def u1_summarize(spark, sf_dir):
     from lattice.operators import udf
 
@@ -609,14 +609,14 @@ def u1_summarize(spark, sf_dir):
         odd = pdf[pdf["pk"] % 2 != 0]
         return odd[["repo", "commit_sha", "key"]].assign(content="# own", confidence=0.9, model="own", prompt_version="1")
 
-    return udf.summarize_with(X.nodes(spark, sf_dir, 1998), _rels(spark, sf_dir, 1998), own).select("key", "model")
+    return udf.summarize_with(X.nodes(spark, sf_dir), _rels(spark, sf_dir), own).select("key", "model")
 
 
 @query(None)
 def u2_embed(spark, sf_dir):
     from lattice.operators import udf
 
-    n = X.nodes(spark, sf_dir, 1998).withColumn("semantic_hash", F.col("structural_hash"))
+    n = X.nodes(spark, sf_dir).withColumn("semantic_hash", F.col("structural_hash"))
     none = n.limit(0)
     return retrieval.embed_nodes(n, none, none.select("repo", "semantic_hash", "key", F.array(F.lit(0.0).cast("float")).alias("vector")), udf.hashed_words())
 
