@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces up to this length are remembered, up to so many; then the memory starts afresh.
-CACHED_CHARS, CACHED_PIECES = 48, 350_000
+CACHED_CHARS, CACHED_PIECES = 48, 200_000
 #: Characters of text, and ids, that go into one output batch.
 BATCH_CHARS = 1_000_000
 
@@ -101,7 +102,7 @@ class Encoder:
         that then touch must not merge before the merge that was undone. On equal ranks the left place merges first."""
         found = self.fits.get(a << 32 | b)
         if found is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             x, y, before = a, b, 1 << 60
             while True:
@@ -162,49 +163,87 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return Encoder(parse_ranks(data), pattern)
 
 
+@lru_cache(maxsize=1)
+def _table(data: bytes) -> dict[int, bytes]:
+    return {r: t for t, r in parse_ranks(data).items()}
+
+
 def _ranks(df: DataFrame, ranks_path: str):
     """The rank file is read once on the driver and broadcast: its size is that of a vocabulary, whatever the data."""
     with open(ranks_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) for every row of df."""
+def _encoded(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, schema: str, make: Callable) -> DataFrame:
+    """One pass over df: make(encoder, packed ids of some rows) gives the columns after id_col. Rows go in slices of about
+    BATCH_CHARS ids."""
     ranks = _ranks(df, ranks_path)
+    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    kind = T.StructType([rows.schema[0], *T.StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
-            start, size, rows = 0, 0, []
+            start, size, packed = 0, 0, []
             for i, text in enumerate(batch.column(1)):
-                rows.append(encoder.packed(text.as_py() or ""))
-                size += len(rows[-1])
-                if size > 4 * BATCH_CHARS:
-                    yield _batch(batch, start, rows)
-                    start, size, rows = i + 1, 0, []
-            yield _batch(batch, start, rows)
-
-    def _batch(batch, start, rows):
-        ends = np.cumsum([0, *map(len, rows)]) // 4
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), ids], [id_col, "ids"])
+                packed.append(encoder.packed(text.as_py() or ""))
+                size += len(packed[-1])
+                if size > 4 * BATCH_CHARS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(packed)), *make(encoder, packed)], names)
+                    start, size, packed = i + 1, 0, []
 
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    names = kind.names
+    return rows.mapInArrow(run, kind)
+
+
+def _lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids array<int>) for every row of df."""
+    return _encoded(df, ranks_path, pattern, id_col, text_col, "ids array<int>", lambda encoder, packed: [_lists(packed)])
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids array<int>, decoded binary) for every row of df: encode, and decode of what it gave, in one pass."""
+
+    def make(encoder: Encoder, packed: list[bytes]) -> list[pa.Array]:
+        return [_lists(packed), pa.array([encoder.decode(np.frombuffer(x, np.int32).tolist()) for x in packed], pa.binary())]
+
+    return _encoded(df, ranks_path, pattern, id_col, text_col, "ids array<int>, decoded binary", make)
+
+
+def gathered(df: DataFrame, ranks_path: str, pattern: str, gather: Callable, pack: Callable, text_col: str = "text") -> DataFrame:
+    """(gathered binary): each task makes a gather(); its add(pack(ids of a text, as int32 bytes)) and its end() give rows."""
+    ranks = _ranks(df, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, to = _encoder(ranks.value, pattern), gather()
+        for batch in batches:
+            for text in batch.column(0):
+                for row in to.add(pack(encoder.packed(text.as_py() or ""))):
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["gathered"])
+        yield pa.RecordBatch.from_arrays([pa.array(to.end(), pa.binary())], ["gathered"])
+
+    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gathered binary")
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, keep..., decoded binary) for every row of df; null ids decode to no bytes."""
+    """(id_col, keep..., decoded binary) for every row of df; null ids decode to no bytes; decoded replaces a kept column
+    of that name."""
     ranks = _ranks(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {r: t for t, r in parse_ranks(ranks.value).items()}
+        bytes_of = _table(ranks.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                column = part.column(part.num_columns - 1)
-                texts = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in column]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], [*part.schema.names[:-1], "decoded"])
+                texts = [b"".join(map(bytes_of.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["kept", "decoded"])
 
-    rows = df.select(id_col, *keep, F.col(ids_col).alias("_ids"))
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", decoded binary")
+    cols = [id_col, *(c for c in keep if c.lower() != "decoded")]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("kept"), F.col(ids_col).cast("array<int>").alias("ids"))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("decoded", T.BinaryType())]))
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in cols), "decoded")

@@ -17,11 +17,9 @@ RANKS = os.environ.get("LATTICE_RANKS") or public_tokenizers.path("byte_bpe_mult
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    out = bpe.decode(ids, RANKS, keep=("n_tokens", "ids_sha256"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.round_trip(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +165,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files are made from the whole table, then counted without looking at it again."""
     path = f"{shared_dir(spark)}/lattice/tokens-{uuid.uuid4().hex}"
-    tokencount.write_tokens(bpe.encode(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN), path)
+    tokencount.write_texts(read(spark, sf_dir, "documents"), path, RANKS, public_tokenizers.PATTERN)
     return tokencount.count_tokens(spark, path)
 
 

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,8 +94,13 @@ def registers(h: np.ndarray, m: int = M, fine: bool = False) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(minimum) / math.log(base)), 0, q + 1).astype(kind)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows that repeat an id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """(id, n_shingles, h1, h2, registers): h1, h2 hash the whole set; the banded registers, null for an empty set."""
+    """(id, text_hash, n_shingles, h1, h2, registers): h1, h2 hash the whole set; the banded registers, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -108,10 +113,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFr
                 one.append(int.from_bytes(digest[:8], "big", signed=True))
                 two.append(int.from_bytes(digest[8:], "big", signed=True))
                 regs.append(registers(h, BANDED, fine=True).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], ["id", "n_shingles", "h1", "h2", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], ["id", "text_hash", "n_shingles", "h1", "h2", "registers"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, h1 long, h2 long, registers binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, text_hash long, n_shingles long, h1 long, h2 long, registers binary")
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -234,8 +239,8 @@ def _cross_pairs(live: DataFrame, parts: DataFrame, full: DataFrame, percent: in
     return _compare(rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"), percent, best).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row of docs."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, text_hash: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row of docs, and the row's text_hash if asked for."""
     sketches = written(sketch(docs, id_col, text_col, size), "sketches")
     known = sketches.filter(F.col("registers").isNotNull() & F.col("id").isNotNull())
     sets = written(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "sets")
@@ -262,6 +267,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     place = known.groupBy("h1", "h2").agg(F.min("id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketches.select("id", "n_shingles", *(F.when(F.col("registers").isNotNull() & F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("h1", "h2")))
+    out = sketches.select("id", "text_hash", "n_shingles", *(F.when(F.col("registers").isNotNull() & F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("h1", "h2")))
     out = out.join(place, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *(["text_hash"] if text_hash else []))

@@ -5,12 +5,13 @@ header. Files are cut into blocks, each block is searched for the reserved id wi
 scan over the blocks of a file stitches documents that cross block boundaries: what is open when a block begins is the
 tail of the last block that had an end, plus all blocks since.
 
-Defined cases: an empty document (two ends in a row) counts 0 tokens; tokens after the last end of a file are one more
-document; an empty file or folder has no documents; a document may span any number of blocks. A file must be smaller
-than 2 GiB (one binary value); the writer makes one file per task.
+Defined cases: an empty document (two ends in a row) counts 0 tokens, as does one whose ids are null; tokens after the last
+end of a file are one more document; an empty file or folder has no documents; a document may span any number of blocks.
+An id that is negative, or END or above, is refused, as it could not be told from an end or would not fit. The writer
+makes files of about FILE bytes, more only where one document or row is longer; a reader task holds one file at a time.
 
 The end id is 50304: its two bytes C4 80 are one character of UTF-8, so Spark's text sink writes it as the line separator
-and the packed ids as the line.
+and the packed ids as the line. A line holds the documents of about ROW bytes, with the end id between them.
 """
 
 from __future__ import annotations
@@ -22,22 +23,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattice.llm import bpe
+
 END = 0xC480
-#: Bytes of a block.
-BLOCK = 1 << 20
+#: Bytes of a block, of a line that is written, and of a file.
+BLOCK, ROW, FILE = 1 << 20, 1 << 19, 1 << 24
+_END = END.to_bytes(2, "big")
+
+
+def pack(ids: np.ndarray) -> bytes:
+    if len(ids) and not (0 <= ids.min() and ids.max() < END):
+        raise ValueError(f"token ids must be 0 to {END - 1}")
+    return ids.astype(">u2").tobytes()
+
+
+class Lines:
+    """Joins packed documents to lines of `row` bytes or more."""
+
+    def __init__(self, row: int = ROW):
+        self.row, self.docs, self.size = row, [], 0
 
+    def add(self, doc: bytes) -> list[bytes]:
+        self.docs.append(doc)
+        self.size += len(doc) + 2
+        return self.end() if self.size >= self.row else []
 
-def write_tokens(ids: DataFrame, path: str, ids_col: str = "ids") -> None:
+    def end(self) -> list[bytes]:
+        line = [_END.join(self.docs)] if self.docs else []
+        self.docs, self.size = [], 0
+        return line
+
+
+def _write(lines: DataFrame, path: str, row: int, file: int) -> None:
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", chr(0x100)).option("maxRecordsPerFile", max(1, file // row)).text(path)
+
+
+def write_tokens(ids: DataFrame, path: str, ids_col: str = "ids", row: int = ROW, file: int = FILE) -> None:
     """Write array<int> ids (each below END) as token files, one document a row in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = Lines(row)
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                rows = (x.values.to_numpy(zero_copy_only=False).astype(">u2").tobytes() if x.is_valid else b"" for x in batch.column(0).slice(s, 1000))
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary())], ["b"])
+            for x in batch.column(0):
+                for line in lines.add(pack(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
+        yield pa.RecordBatch.from_arrays([pa.array(lines.end(), pa.binary())], ["line"])
+
+    _write(ids.select(F.col(ids_col).alias("ids")).mapInArrow(run, "line binary"), path, row, file)
+
 
-    packed = ids.select(F.col(ids_col).alias("ids")).mapInArrow(run, "b binary")
-    packed.select(F.col("b").cast("string").alias("value")).write.option("lineSep", chr(0x100)).text(path)
+def write_texts(docs: DataFrame, path: str, ranks_path: str, pattern: str, text_col: str = "text") -> None:
+    """As write_tokens, with the ids of whole texts: encoded and packed in one pass, so that no id list leaves a task."""
+    _write(bpe.gathered(docs, ranks_path, pattern, Lines, lambda ids: pack(np.frombuffer(ids, np.int32)), text_col).withColumnRenamed("gathered", "line"), path, ROW, FILE)
 
 
 def read_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:

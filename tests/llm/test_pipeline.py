@@ -38,3 +38,19 @@ def test_stages_against_brute_force(spark):
     for r in out:
         assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_odd_tables(spark):
+    """Repeated and null ids, clashing column names, an empty table."""
+    text = " ".join(f"word{i}" for i in range(40))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, times int, copy string, _id int, doc string, text_hash long, score double"
+    rows = [(1, text, "en", "s", 1, 7, "a", 1, "d", 5, 0.5), (1, text, "en", "s", 1, 7, "b", 1, "d", 5, 0.5), (1, "quite another text of its own", "en", "s", 1, 7, "c", 1, "d", 5, 0.5), (2, text + " more", "en", "s", 1, 7, "d", 1, "d", 5, 0.5), (None, text, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in P.STAGES[:3]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    assert sorted(map(tuple, P.keep_known_languages(spark, docs, SF).collect()), key=str) == sorted(rows, key=str)
+    kept = P.keep_one_of_each_group(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, text), (1, "quite another text of its own"), (1, text)]
+    assert P.encode_and_decode(spark, docs, SF).count() == 5
