@@ -55,3 +55,43 @@ def test_empty_and_clashing_columns(spark):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(df).collect()}
     assert got == {(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)}
     assert V.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components_of_any_size(spark):
+    base = [[x * s for x in v] for s in (1e200, 1e-200, 5e-324 * 2**20, 1.0) for v in ([1.0, 2.0, 3.0], [3.0, -1.0, 0.5])]
+    rows = list(enumerate(base))
+    scaled = [(i, [x / max(map(abs, v)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.near_duplicates(df).collect()} == brute(scaled)
+
+
+def test_small_groups_and_large_ones_agree():
+    rng = np.random.default_rng(3)
+    rows = V.unit(np.repeat(rng.standard_normal((40, 8)), 3, axis=0) + 0.1 * rng.standard_normal((120, 8)))
+    ends = np.array([2, 10, 26, 60, 62, 120])
+    starts = np.concatenate([[0], ends[:-1]])
+    side = np.zeros(120, int)
+    side[26:60] = rng.integers(0, 2, 34)
+    code = rng.integers(0, 4, (120, 2))
+    a, b, first = V._links(rows, code, side, starts, ends, 0.9)
+    want = set()
+    for s, e in zip(starts, ends):
+        for i in range(s, e):
+            for j in range(i + 1, e):
+                if rows[i] @ rows[j] >= 0.9 and (not side[s:e].any() or side[i] != side[j]):
+                    want.add((i, j, not (code[i] == code[j]).any()))
+    assert set(zip(a.tolist(), b.tolist(), first.tolist())) == want and len(a) == len(want)
+
+
+def test_recall_at_the_threshold_does_not_depend_on_the_number_of_vectors():
+    rng = np.random.default_rng(4)
+    a = V.unit(rng.standard_normal((2000, 32)))
+    o = rng.standard_normal((2000, 32))
+    o -= (o * a).sum(axis=1)[:, None] * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * V.unit(o)
+    for n in (100, 50_000, 10**9):
+        tables, bits = V.scheme(n, 0.95)
+        few = min(tables, 60)  # the chance per table, from fewer of them
+        share = (V.codes(a, few, bits) == V.codes(b, few, bits)).mean()
+        assert (1 - share) ** tables < 1e-4
+    assert V.scheme(50_000, 0.95) == (101, 20) and V.scheme(50_000 << 20, 0.95)[0] < 1000
