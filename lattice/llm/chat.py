@@ -72,7 +72,8 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     ranked = written(paths.orderBy("path").withColumn("run", F.monotonically_increasing_id()), "paths")
 
     nodes = ranked.select("run", F.posexplode("path").alias("pos", "node")).select("run", (F.col("pos") + 1).alias("pos"), F.col("node.node").alias("node"), F.col("node.chars").alias("chars"))
-    owner = nodes.groupBy("node").agg(F.min("run").alias("owner"))
+    # written, so that Spark can split the join where very many conversations share a node
+    owner = written(nodes.groupBy("node").agg(F.min("run").alias("owner")), "owners")
     pieces = nodes.join(owner, "node").groupBy("run", "owner").agg(F.sum("chars").alias("chars"), F.min("pos").alias("first"))
     runs = written(
         pieces.groupBy("run").agg(
@@ -98,7 +99,7 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         "run", F.array_join(F.transform("t", lambda x: x["seg"]), "").alias("text"),
         F.transform(F.filter("t", lambda x: x["counts"]), lambda x: F.struct((x["start"] + x["head"]).alias("start"), (x["chars"] - x["head"] - tail).alias("length"))).alias("loss"),
     )
-    out = placed.join(text, "run").select("run", "packed_start", "position_start", "n_chars", "text", "loss", "ancestors")
+    out = written(placed.join(text, "run").select("run", "packed_start", "position_start", "n_chars", "text", "loss", "ancestors"), "tree")
     return out, leaves.join(ranked.select("leaf", "run"), "leaf").select(F.col("conv").alias(conv_col), "run")
 
 

@@ -232,7 +232,8 @@ def _cross_pairs(live: DataFrame, parts: DataFrame, full: DataFrame, percent: in
     """Pairs to verify from the buckets whose members are in several parts, each bucket dealt into pairs of blocks."""
     placed = live.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component_id", "rep").alias("part"))
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
-    rows = placed.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    mixed = written(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = placed.join(mixed, "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.join(full.select(F.col("id").alias("rep"), "n", "registers", "banded"), "rep")
     rows = rows.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "band", "rep", "part", "n", "registers", "banded")
@@ -247,23 +248,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     code = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     buckets = sets.select(F.posexplode(code).alias("band", "bucket"), "rep")
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
+    # written, so that Spark can split the join where a bucket is hot
+    many = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1"), "many")
     live = written(buckets.join(many, "bucket"), "buckets")
     ids = live.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
     table = bucketed(shingle_sets(texts, size).withColumn("n", F.size("shingles").cast("long")), "id", "shingles")
     full = docs.sparkSession.table(table)
 
-    star = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = written(links(star, full, percent, estimate=True), "links")
-    parts = connected_components(edges)
-    live = live.filter("size > 2 and rep != leader")
-    for best in (3, None):
-        more = written(links(_cross_pairs(live, parts, full, percent, best), full, percent), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            parts = connected_components(edges)
-    docs.sparkSession.sql(f"DROP TABLE {table}")
+    try:
+        star = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        edges = written(links(star, full, percent, estimate=True), "links")
+        parts = connected_components(edges)
+        live = live.filter("size > 2 and rep != leader")
+        for best in (3, None):
+            more = written(links(_cross_pairs(live, parts, full, percent, best), full, percent), "links")
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                parts = connected_components(edges)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
     place = known.groupBy("h1", "h2").agg(F.min("id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
