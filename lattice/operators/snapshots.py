@@ -70,12 +70,10 @@ def scc(edges: DataFrame) -> DataFrame:
     nodes = cut(pairs.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct())
     left, done = cut(pairs.filter("src != dst")), None
     while True:
-        while True:  # trim
-            inside = left.join(left.select(*SNAP, F.col("dst").alias("src")).distinct(), [*SNAP, "src"], "left_semi").join(left.select(*SNAP, F.col("src").alias("dst")).distinct(), [*SNAP, "dst"], "left_semi")
-            inside = cut(inside)
-            before, left, now = left.count(), inside, inside.count()
-            if now == before:
-                break
+        before, now = None, left.count()
+        while now != before and now:  # trim
+            left = cut(left.join(left.select(*SNAP, F.col("dst").alias("src")), [*SNAP, "src"], "left_semi").join(left.select(*SNAP, F.col("src").alias("dst")), [*SNAP, "dst"], "left_semi"))
+            before, now = now, left.count()
         if not now:
             break
         live = left.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct()
@@ -83,14 +81,14 @@ def scc(edges: DataFrame) -> DataFrame:
         colour = lambda c, name: forward.select(*SNAP, F.col("key").alias(c), F.col("label").alias(name))
         same = cut(left.join(colour("src", "c"), [*SNAP, "src"]).join(colour("dst", "d"), [*SNAP, "dst"]).filter("c = d"))
         # backward from the label's own node, inside the colour
-        reached = cut(forward.filter("key = label").select(*SNAP, "key", F.col("label").alias("component")))
-        front = reached
+        reached = front = cut(forward.filter("key = label").select(*SNAP, "key", F.col("label").alias("component")))
         while True:
             step = same.join(front.select(*SNAP, F.col("key").alias("dst"), "component"), [*SNAP, "dst"]).select(*SNAP, F.col("src").alias("key"), "component").distinct()
             front = cut(step.join(reached, [*SNAP, "key"], "left_anti"))
             if front.isEmpty():
                 break
-            reached = cut(reached.unionByName(front))
+            reached = reached.unionByName(front)
+        reached = cut(reached)
         done = reached if done is None else done.unionByName(reached)
         out = reached.select(*SNAP, F.col("key").alias("src"))
         left = cut(left.join(out, [*SNAP, "src"], "left_anti").join(out.withColumnRenamed("src", "dst"), [*SNAP, "dst"], "left_anti"))
@@ -110,43 +108,67 @@ def semantic_hash(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | Non
     Inside a cycle a member's local hash has its outside children with hashes and its inside children by key and type;
     the component's digest hashes the sorted locals; a member hashes its local and the digest. So a change in one member
     reaches all, and a change anywhere reaches every ancestor. overrides (SNAP, key, semantic_hash) are taken as known.
-    Components are hashed in levels: one whose children all have hashes is next.
+    Components are hashed in levels. A level's hashes go up the edges as messages, which are kept, and are taken off
+    the number that each component above still waits for; one that waits for none is next. So a level moves its own
+    nodes and edges and the narrow table of what still waits, and nothing that is done is written again.
     """
     e = edges.join(nodes.select(*SNAP, F.col("key").alias("from_key")), [*SNAP, "from_key"], "left_semi").join(nodes.select(*SNAP, F.col("key").alias("to_key")), [*SNAP, "to_key"], "left_semi")
-    e = e.select(*SNAP, "from_key", "to_key", "type").distinct()
-    parts = scc(e)
+    e = cut(e.select(*SNAP, "from_key", "to_key", "type").distinct())
+    parts = cut(scc(e))
+    place = lambda c, name: parts.select(*SNAP, F.col("key").alias(c), F.col("component").alias(name))
     own = nodes.select(*SNAP, "key", F.coalesce("content", F.lit("")).alias("content")).join(parts, [*SNAP, "key"], "left").withColumn("component", F.coalesce("component", "key"))
-    own = cut(own)
-    comp = lambda c, name: own.select(*SNAP, F.col("key").alias(c), F.col("component").alias(name))
-    e = cut(e.join(comp("from_key", "cf"), [*SNAP, "from_key"]).join(comp("to_key", "ct"), [*SNAP, "to_key"]))
-    looped = e.filter("cf = ct").select(*SNAP, F.col("cf").alias("component")).distinct().withColumn("loop", F.lit(True))
-    known = cut(overrides.select(*SNAP, "key", "semantic_hash")) if overrides is not None else None
-    todo = own if known is None else own.join(known, [*SNAP, "key"], "left_anti")
-    todo = cut(todo.join(looped, [*SNAP, "component"], "left").withColumn("loop", F.coalesce("loop", F.lit(False))))
-    done = known
-    while not todo.isEmpty():
-        waits = todo.select(*SNAP, F.col("key").alias("to_key"), F.col("component").alias("ct"))
-        blocked = e.filter("cf != ct").join(waits.select(*SNAP, "to_key"), [*SNAP, "to_key"], "left_semi").select(*SNAP, F.col("cf").alias("component")).distinct()
-        ready = todo.join(blocked, [*SNAP, "component"], "left_anti")
-        kids = e.join(ready.select(*SNAP, F.col("key").alias("from_key")), [*SNAP, "from_key"], "left_semi")
-        if done is not None:
-            kids = kids.join(done.select(*SNAP, F.col("key").alias("to_key"), "semantic_hash"), [*SNAP, "to_key"], "left")
-        else:
-            kids = kids.withColumn("semantic_hash", F.lit(None).cast("string"))
-        part = _framed(F.col("to_key"), F.col("type"), F.when(F.col("cf") == F.col("ct"), "").otherwise(F.coalesce("semantic_hash", F.lit(""))))
-        lists = kids.groupBy(*SNAP, F.col("from_key").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(part)), "").alias("kids"))
+    e = cut(e.join(place("from_key", "cf"), [*SNAP, "from_key"]).join(place("to_key", "ct"), [*SNAP, "to_key"]))
+    inside = e.filter("cf = ct")
+    looped = inside.select(*SNAP, F.col("cf").alias("component")).distinct().withColumn("loop", F.lit(True))
+    todo = own.join(looped, [*SNAP, "component"], "left").withColumn("loop", F.coalesce("loop", F.lit(False)))
+    if overrides is not None:
+        todo = todo.join(overrides.select(*SNAP, "key"), [*SNAP, "key"], "left_anti")
+    todo, out = cut(todo), cut(e.filter("cf != ct").drop("ct"))
+    part = lambda h: _framed(F.col("to_key"), F.col("type"), h)
+    told = cut(inside.select(*SNAP, F.col("cf").alias("component"), F.col("from_key").alias("key"), part(F.lit("")).alias("part")))
+
+    def send(new: DataFrame) -> DataFrame:
+        up = out.join(new.select(*SNAP, F.col("key").alias("to_key"), "semantic_hash"), [*SNAP, "to_key"])
+        return cut(up.select(*SNAP, F.col("cf").alias("component"), F.col("from_key").alias("key"), part(F.col("semantic_hash")).alias("part")))
+
+    waits = todo.select(*SNAP, "component").distinct().join(out.groupBy(*SNAP, F.col("cf").alias("component")).agg(F.count(F.lit(1)).alias("n")), [*SNAP, "component"], "left")
+    waits, done = waits.select(*SNAP, "component", F.coalesce("n", F.lit(0)).alias("n")), None
+    if overrides is not None:
+        done = cut(overrides.select(*SNAP, "key", "semantic_hash"))
+        news = send(done)
+        told = told.unionByName(news)
+        waits = _less(waits, news)
+    waits = cut(waits)
+    while True:
+        next_ = waits.filter("n = 0").select(*SNAP, "component")
+        ready = todo.join(next_, [*SNAP, "component"], "left_semi")
+        lists = told.join(next_, [*SNAP, "component"], "left_semi").groupBy(*SNAP, "key").agg(F.array_join(F.array_sort(F.collect_list("part")), "").alias("kids"))
         local = ready.join(lists, [*SNAP, "key"], "left").withColumn("local", F.sha2(_framed(F.col("content"), F.coalesce("kids", F.lit(""))), 256))
         loops = local.filter("loop").groupBy(*SNAP, "component").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_framed(F.col("key"), F.col("local")))), ""), 256).alias("digest"))
         new = local.join(loops, [*SNAP, "component"], "left")
         new = cut(new.select(*SNAP, "key", F.when(F.col("loop"), F.sha2(_framed(F.col("local"), F.col("digest")), 256)).otherwise(F.col("local")).alias("semantic_hash")))
-        done = new if done is None else cut(done.unionByName(new))
-        todo = cut(todo.join(new, [*SNAP, "key"], "left_anti"))
-    return done if done is not None else own.select(*SNAP, "key", F.lit("").alias("semantic_hash"))
+        done = new if done is None else done.unionByName(new)
+        left = waits.filter("n > 0")
+        if left.isEmpty():
+            return done
+        news = send(new)
+        told = told.unionByName(news)
+        waits = cut(_less(left, news))
+
+
+def _less(waits: DataFrame, news: DataFrame) -> DataFrame:
+    """What components (SNAP, component, n) still wait for once the messages of news have come."""
+    came = news.groupBy(*SNAP, "component").agg(F.count(F.lit(1)).alias("c"))
+    return waits.join(came, [*SNAP, "component"], "left").select(*SNAP, "component", (F.col("n") - F.coalesce("c", F.lit(0))).alias("n"))
 
 
 def snapshot_root(nodes: DataFrame, hash_col: str = "semantic_hash") -> DataFrame:
-    """M6. SHA-256 of a snapshot's node hashes, sorted, joined by newlines."""
-    return nodes.groupBy(*SNAP).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), "\n"), 256).alias("root_hash"))
+    """M6. Root of a snapshot's node hashes: those that begin with the same four hex digits are sorted, joined by newlines
+    and hashed; so are these digests by two digits; so are the digests of all. No row gathers a whole snapshot."""
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    four = nodes.groupBy(*SNAP, F.substring(hash_col, 1, 4).alias("four")).agg(digest(hash_col).alias("h"))
+    two = four.groupBy(*SNAP, F.substring("four", 1, 2).alias("two")).agg(digest("h").alias("h"))
+    return two.groupBy(*SNAP).agg(digest("h").alias("root_hash"))
 
 
 def provenance(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
