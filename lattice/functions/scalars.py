@@ -83,8 +83,11 @@ def infer_role(kind: Column, symbol: Column) -> Column:
 
 
 def infer_context(path: Column) -> Column:
-    """First folder that is no mere container, in PascalCase; Root if there is none."""
-    folders = F.filter(F.split(F.regexp_replace(path, r"[^/\\]*$", ""), r"[/\\]"), lambda s: s != "")
+    """First folder that is no mere container, in PascalCase; Root if there is none. The last segment with a dot is the
+    file, and what stands before it are folders; without a dot all segments are folders."""
+    segments = F.filter(F.transform(F.split(path, r"[/\\]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    dotted = F.filter(F.transform(segments, lambda s, i: F.when(F.contains(s, F.lit(".")), i)), lambda i: i.isNotNull())
+    folders = F.when(F.size(dotted) > 0, F.slice(segments, F.lit(1), F.element_at(dotted, -1))).otherwise(segments)
     named = F.filter(folders, lambda s: ~F.lower(s).isin(*CONTAINERS))
     words = F.filter(F.split(F.get(named, F.lit(0)), r"[-_ ]+"), lambda w: w != "")
     return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), ""), F.lit("Root"))

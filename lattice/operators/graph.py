@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
 from lattice.functions.tables import cut
+from lattice.operators import snapshots as S
 
 SNAP = ["repo", "commit_sha"]
 STORAGE_TYPES, API_TYPES = ("Injected", "FieldDependency"), ("InvokesEndpoint", "Publishes", "Consumes")
@@ -104,30 +105,44 @@ def graph(nodes: DataFrame, edges: DataFrame, entity: str | None = None, module:
 def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
     """G7. SNAP + cycle, length: simple cycles of up to max_len edges, from the least key, which ends the array again.
 
-    Edges of nodes that cannot lie on a cycle (no way in or out) go first; then paths that start at their least key grow
-    by equi-joins, so no cycle is found twice."""
-    pairs = edges.select(*SNAP, "from_key", "to_key").distinct()
-    core = cut(trimmed(pairs))
-    step = core.select(*SNAP, F.col("from_key").alias("last"), F.col("to_key").alias("next"))
-    paths = core.filter("from_key < to_key").select(*SNAP, F.array("from_key", "to_key").alias("p"))
+    Edges of nodes that cannot lie on a cycle (no way in or out) go first. A cycle of n edges is a path of ceil(n / 2) edges
+    from its least key that meets a path of floor(n / 2) edges back to it, so paths grow to half of max_len only, and no
+    cycle is found twice. Longer cycles show as components: see cycle_groups."""
+    core = cut(trimmed(edges.select(*SNAP, "from_key", "to_key").distinct()))
+    out = core.select(*SNAP, F.col("from_key").alias("end"), F.col("to_key").alias("next"))
+    back = core.select(*SNAP, F.col("to_key").alias("end"), F.col("from_key").alias("next"))
     found = core.filter("from_key = to_key").select(*SNAP, F.array("from_key", "to_key").alias("cycle"))
+
+    def grow(paths: DataFrame, by: DataFrame) -> DataFrame:
+        """Paths (least, end, p) one step longer; p holds the keys after the least one."""
+        longer = paths.join(by, [*SNAP, "end"]).filter((F.col("next") > F.col("least")) & ~F.array_contains("p", F.col("next")))
+        return cut(longer.select(*SNAP, "least", F.col("next").alias("end"), F.concat("p", F.array("next")).alias("p")))
+
+    first = lambda a, b: core.filter(f"{a} < {b}").select(*SNAP, F.col(a).alias("least"), F.col(b).alias("end"), F.array(b).alias("p"))
+    ahead, behind = first("from_key", "to_key"), first("to_key", "from_key")
     for n in range(2, max_len + 1):
-        grown = cut(paths.withColumn("last", F.element_at("p", -1)).join(step, [*SNAP, "last"]).filter(F.col("next") >= F.get("p", F.lit(0))))
-        found = found.unionByName(grown.filter(F.col("next") == F.get("p", F.lit(0))).select(*SNAP, F.concat("p", F.array("next")).alias("cycle")))
-        if n < max_len:
-            paths = grown.filter(~F.array_contains("p", F.col("next"))).select(*SNAP, F.concat("p", F.array("next")).alias("p"))
+        if n > 2:
+            ahead, behind = (grow(ahead, out), behind) if n % 2 else (ahead, grow(behind, back))
+        ends = behind.select(*SNAP, "least", "end", F.col("p").alias("q"))
+        met = ahead.join(ends, [*SNAP, "least", "end"]).withColumn("q", F.slice(F.reverse("q"), F.lit(2), F.size("q"))).filter(~F.arrays_overlap("p", "q"))
+        found = found.unionByName(met.select(*SNAP, F.concat(F.array("least"), "p", "q", F.array("least")).alias("cycle")))
     return found.withColumn("length", F.size("cycle") - 1)
 
 
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """G7. SNAP + component, size: the strongly connected components that hold a cycle, of any length."""
+    groups = S.scc(edges).groupBy(*SNAP, "component").agg(F.count(F.lit(1)).alias("size"))
+    loops = edges.filter("from_key = to_key").select(*SNAP, F.col("from_key").alias("component"), F.lit(True).alias("loop")).distinct()
+    return groups.join(loops, [*SNAP, "component"], "left").filter("size > 1 or loop").select(*SNAP, "component", "size")
+
+
 def trimmed(pairs: DataFrame) -> DataFrame:
     """Edges left when nodes without a way in or a way out are taken away again and again."""
-    size = -1
-    while True:
-        ends = lambda c, a: pairs.select(*SNAP, F.col(c).alias(a)).distinct()
-        less = cut(pairs.join(ends("to_key", "from_key"), [*SNAP, "from_key"], "left_semi").join(ends("from_key", "to_key"), [*SNAP, "to_key"], "left_semi"))
-        pairs, before, size = less, size, less.count()
-        if size == before or not size:
-            return pairs
+    before, now = None, pairs.count()
+    while now and now != before:
+        pairs = cut(pairs.join(pairs.select(*SNAP, F.col("to_key").alias("from_key")), [*SNAP, "from_key"], "left_semi").join(pairs.select(*SNAP, F.col("from_key").alias("to_key")), [*SNAP, "to_key"], "left_semi"))
+        before, now = now, pairs.count()
+    return pairs
 
 
 def new_cycles(old: DataFrame, new: DataFrame, max_len: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ SNAP = ["repo", "commit_sha"]
 
 
 def _blank(c: str):
-    return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    return ~F.coalesce(F.col(c), F.lit("")).rlike(r"[^\s\p{Z}]")
 
 
 def _errors(df: DataFrame, key: str, *checks) -> DataFrame:

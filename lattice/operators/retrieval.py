@@ -105,15 +105,17 @@ def route_questions(questions: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def match_entity(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Q6. (qid, class, key): a symbol that is a word of the question; else a path (longer than 3) inside it; else a key."""
+    """Q6. (qid, class, key): a symbol that is a word of the question; else a path (longer than 3) inside it; else a key. Empty
+    keys match nothing."""
     words = questions.select("qid", *SNAP, F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0)))).alias("word"))
     words = words.withColumn("word", F.explode(F.array_distinct(F.array("word", F.regexp_replace("word", r"^\.+|\.+$", ""))))).distinct()
     by_symbol = words.join(nodes.select(*SNAP, F.col("symbol").alias("word"), "key"), [*SNAP, "word"]).select("qid", F.lit(1).alias("class"), "key")
-    rest = few(questions.select("qid", *SNAP, "question"))
-    inside = nodes.select(*SNAP, "key", "path").join(rest, SNAP)
-    by_path = inside.filter((F.length("path") > 3) & F.contains(F.col("question"), F.col("path"))).select("qid", F.lit(2).alias("class"), "key")
-    by_key = inside.filter(F.contains(F.col("question"), F.col("key"))).select("qid", F.lit(3).alias("class"), "key")
-    found = by_symbol.unionByName(by_path).unionByName(by_key)
+    # equi-joins on the parts of a question that are as long as some path or key
+    names = nodes.filter(F.length("path") > 3).select(*SNAP, F.col("path").alias("part"), F.lit(2).alias("class"), "key").unionByName(nodes.select(*SNAP, F.col("key").alias("part"), F.lit(3).alias("class"), "key"))
+    long = names.select(*SNAP, F.length("part").alias("n")).filter("n > 0").distinct()
+    asked = questions.select("qid", *SNAP, "question").join(long, SNAP).filter(F.col("n") <= F.length("question"))
+    parts = asked.select("qid", *SNAP, F.explode(F.transform(F.sequence(F.lit(1), F.length("question") - F.col("n") + 1), lambda i: F.substring(F.col("question"), i, F.col("n")))).alias("part"))
+    found = by_symbol.unionByName(parts.join(names, [*SNAP, "part"]).select("qid", "class", "key"))
     return found.groupBy("qid").agg(F.min(F.struct("class", "key")).alias("m")).select("qid", "m.class", "m.key")
 
 

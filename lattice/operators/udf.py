@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lattice.operators.textgen import rule_summaries
 
@@ -36,19 +33,19 @@ def summarize_with(entities: DataFrame, rels: DataFrame, fn: Callable[[pd.DataFr
 
 
 def hashed_words(dim: int = 64) -> Callable[[Column], Column]:
-    """U2. The default embedder: signed hashed words, unit length; a text without words has no vector."""
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(text):
-            v = np.zeros(dim, np.float32)
-            for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1 if h >> 63 else -1
-            n = float(np.sqrt(v @ v))
-            return (v / n).tolist() if n else None
-
-        return texts.map(one)
+    """U2. The default embedder, in built-in functions: signed hashed words, unit length; a text without words, or whose
+    words cancel out, has no vector."""
+
+    def embed(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+"), lambda w: w != "")
+        hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+        at = lambda i: F.aggregate(F.filter(hashes, lambda h: F.floor(h / 2) % dim == i), F.lit(0).cast("long"), lambda acc, h: acc + F.when(h % 2 == 1, 1).otherwise(-1))
+        v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
+        return F.get(F.transform(F.array(F.struct(v.alias("v"))), lambda s: unit(s["v"])), F.lit(0))
+
+    def unit(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x * x))
+        return F.when(size > 0, F.transform(v, lambda x: x / size))
 
     return embed
 

@@ -325,13 +325,54 @@ _H = lambda level, below, kids: f"{level} AS (SELECT n.key, sha256(concat(length
 def m5_semantic_hash_layers(spark, sf_dir):
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "orders")}
 
-    def frame(name):
-        text = LAYERS[name]
-        for t in tables:
-            text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-        return spark.sql(text, **{t: df for t, df in tables.items() if f"{{{t}}}" in text}).select(F.lit("r0").alias("repo"), F.lit("c0").alias("commit_sha"), "*")
+    return snapshots.semantic_hash(_frame(spark, tables, LAYERS["nodes"]), _frame(spark, tables, LAYERS["edges"]))
 
-    return snapshots.semantic_hash(frame("nodes"), frame("edges"))
+
+def _frame(spark: SparkSession, tables: dict[str, DataFrame], text: str) -> DataFrame:
+    for t in tables:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(text, **{t: df for t, df in tables.items() if f"{{{t}}}" in text}).select(F.lit("r0").alias("repo"), F.lit("c0").alias("commit_sha"), "*")
+
+
+#: A graph with known cycles: nations hold customers, five customers in a row form a ring, customers hold orders.
+RINGS = {
+    "nodes": "SELECT concat('n', n_nationkey) AS key, n_name AS content FROM nation UNION ALL SELECT concat('c', c_custkey), c_mktsegment FROM customer UNION ALL SELECT concat('o', o_orderkey), o_orderpriority FROM orders",
+    "edges": "SELECT concat('n', c_nationkey) AS from_key, concat('c', c_custkey) AS to_key, 'Calls' AS type FROM customer UNION ALL SELECT concat('c', o_custkey), concat('o', o_orderkey), 'Calls' FROM orders UNION ALL SELECT concat('c', c), concat('c', coalesce(nxt, low)), 'Injected' FROM (SELECT c_custkey AS c, lead(c_custkey) OVER (PARTITION BY floor(c_custkey / 5) ORDER BY c_custkey) AS nxt, min(c_custkey) OVER (PARTITION BY floor(c_custkey / 5)) AS low, count(*) OVER (PARTITION BY floor(c_custkey / 5)) AS size FROM customer) z WHERE size > 1",
+}
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer", "orders")}
+    return _frame(spark, tables, RINGS["nodes"]), _frame(spark, tables, RINGS["edges"])
+
+
+_RING = "ring AS (SELECT concat('c', c_custkey) AS key, min(concat('c', c_custkey)) OVER (PARTITION BY floor(c_custkey / 5)) AS low, count(*) OVER (PARTITION BY floor(c_custkey / 5)) AS size FROM customer)"
+
+
+@query(f"WITH le AS ({RINGS['edges']}), {_RING} SELECT 'r0' AS repo, 'c0' AS commit_sha, k.key, coalesce(ring.low, k.key) AS component FROM (SELECT from_key AS key FROM le UNION SELECT to_key FROM le) k LEFT JOIN ring ON ring.key = k.key")
+def m4_scc_rings(spark, sf_dir):
+    return snapshots.scc(_rings(spark, sf_dir)[1])
+
+
+@query(f"WITH {_RING} SELECT 'r0' AS repo, 'c0' AS commit_sha, low AS component, count(*) AS size FROM ring GROUP BY low HAVING count(*) > 1")
+def g7_cycle_groups(spark, sf_dir):
+    return graph.cycle_groups(_rings(spark, sf_dir)[1])
+
+
+_KIDS = "concat(length(e.to_key), ':', e.to_key, length(e.type), ':', e.type, {hash})"
+_LOCAL = "sha256(concat(length(n.content), ':', n.content, length(coalesce(k.l, '')), ':', coalesce(k.l, '')))"
+
+
+@query(f"""WITH ln AS ({RINGS['nodes']}), le AS ({RINGS['edges']}), {_RING}, h0 AS (SELECT key, sha256(concat(length(content), ':', content, '0:')) AS h FROM ln WHERE key LIKE 'o%'),
+  kc AS (SELECT from_key, string_agg(part, '' ORDER BY part) AS l FROM (SELECT e.from_key, {_KIDS.format(hash="CASE WHEN h0.h IS NULL THEN '0:' ELSE concat('64:', h0.h) END")} AS part FROM le e LEFT JOIN h0 ON h0.key = e.to_key WHERE e.from_key LIKE 'c%') z GROUP BY from_key),
+  lc AS (SELECT n.key, r.low, r.size, {_LOCAL} AS h FROM ln n JOIN ring r ON r.key = n.key LEFT JOIN kc k ON k.from_key = n.key),
+  dg AS (SELECT low, sha256(string_agg(concat(length(key), ':', key, '64:', h), '' ORDER BY concat(length(key), ':', key, '64:', h))) AS d FROM lc GROUP BY low),
+  h1 AS (SELECT key, CASE WHEN size > 1 THEN sha256(concat('64:', lc.h, '64:', dg.d)) ELSE lc.h END AS h FROM lc JOIN dg ON dg.low = lc.low),
+  kn AS (SELECT from_key, string_agg(part, '' ORDER BY part) AS l FROM (SELECT e.from_key, {_KIDS.format(hash="'64:', h1.h")} AS part FROM le e JOIN h1 ON h1.key = e.to_key WHERE e.from_key LIKE 'n%') z GROUP BY from_key),
+  h2 AS (SELECT n.key, {_LOCAL} AS h FROM ln n LEFT JOIN kn k ON k.from_key = n.key WHERE n.key LIKE 'n%')
+  SELECT 'r0' AS repo, 'c0' AS commit_sha, key, h AS semantic_hash FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) z""")
+def m5_semantic_hash_rings(spark, sf_dir):
+    return snapshots.semantic_hash(*_rings(spark, sf_dir))
 
 
 @query(None)
@@ -342,7 +383,10 @@ def m5_semantic_hash(spark, sf_dir):
 SH = "sh AS (SELECT *, sha256(concat(kind, ':', symbol, ':', CAST(q10 AS VARCHAR(20)))) AS h FROM d_nodes)"
 
 
-@query(f"WITH {SH} SELECT {RC}, sha256(string_agg(h, chr(10) ORDER BY h)) AS root_hash FROM sh GROUP BY snap")
+ROOT = "r4 AS (SELECT snap, h[1:4] AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM sh GROUP BY ALL), r2 AS (SELECT snap, p[1:2] AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM r4 GROUP BY ALL), root AS (SELECT snap, sha256(string_agg(d, chr(10) ORDER BY d)) AS root_hash FROM r2 GROUP BY snap)"
+
+
+@query(f"WITH {SH}, {ROOT} SELECT {RC}, root_hash FROM root")
 def m6_snapshot_root(spark, sf_dir):
     return snapshots.snapshot_root(X.nodes(spark, sf_dir), "structural_hash")
 
@@ -364,7 +408,7 @@ def m9_flag(spark, sf_dir):
     return snapshots.flag_for_review(X.nodes(spark, sf_dir)).select(*SNAP, "key", "review_status")
 
 
-@query(f"WITH {SH}, n AS (SELECT snap, sha256(string_agg(h, chr(10) ORDER BY h)) AS root_hash, count(*) AS node_count FROM sh GROUP BY snap), e AS (SELECT snap, count(*) AS edge_count FROM d_edges GROUP BY snap) SELECT s.repo, s.commit_sha, lag(s.commit_sha) OVER (ORDER BY s.snap) AS parent_commit, root_hash, node_count, edge_count FROM d_snapshots s JOIN n ON n.snap = s.snap JOIN e ON e.snap = s.snap")
+@query(f"WITH {SH}, {ROOT}, n AS (SELECT sh.snap, any_value(root_hash) AS root_hash, count(*) AS node_count FROM sh JOIN root ON root.snap = sh.snap GROUP BY sh.snap), e AS (SELECT snap, count(*) AS edge_count FROM d_edges GROUP BY snap) SELECT s.repo, s.commit_sha, lag(s.commit_sha) OVER (ORDER BY s.snap) AS parent_commit, root_hash, node_count, edge_count FROM d_snapshots s JOIN n ON n.snap = s.snap JOIN e ON e.snap = s.snap")
 def m10_headers(spark, sf_dir):
     return snapshots.snapshot_headers(X.nodes(spark, sf_dir), X.edges(spark, sf_dir), X.snapshots(spark, sf_dir), "structural_hash").drop("created_at")
 
@@ -423,10 +467,13 @@ def b1_cost(spark, sf_dir):
     return cost.cost_estimate(X.nodes(spark, sf_dir), X.snapshots(spark, sf_dir), 0.28)
 
 
-@query(None)
+@query("""WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS repo, CAST(ts AS DATE) AS day, event_id AS ord, CAST(floor(value) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+  f AS (SELECT repo, day, ord, tokens, i, tokens <= 1000 AS admitted, CASE WHEN tokens <= 1000 THEN tokens ELSE 0 END AS used FROM r WHERE i = 1
+    UNION ALL SELECT r.repo, r.day, r.ord, r.tokens, r.i, f.used + r.tokens <= 1000, f.used + CASE WHEN f.used + r.tokens <= 1000 THEN r.tokens ELSE 0 END FROM f JOIN r ON r.repo = f.repo AND r.day = f.day AND r.i = f.i + 1)
+  SELECT repo, CAST(day AS VARCHAR) AS day, ord, tokens, admitted FROM f""")
 def b2_admit(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return cost.admit_requests(ev.select(F.col("user_id").cast("string").alias("repo"), "ts", F.struct("ts", "event_id").alias("ord"), F.floor("value").alias("tokens")), 1_000).withColumn("ord", F.col("ord.event_id"))
+    return cost.admit_requests(ev.select(F.col("user_id").cast("string").alias("repo"), "ts", F.struct("ts", "event_id").alias("ord"), F.floor("value").alias("tokens")), 1_000).withColumns({"ord": F.col("ord.event_id"), "day": F.col("day").cast("string")})
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey > 0 THEN CAST(least(100, round(100.0 * o_totalprice / (o_custkey * 500))) AS INT) ELSE 0 END AS percent, CAST(epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate) AS BIGINT) AS elapsed_seconds FROM orders")

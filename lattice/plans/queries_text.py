@@ -89,6 +89,19 @@ def c6_context(spark, sf_dir):
     return X.nodes(spark, sf_dir).select(*SNAP, "key", C.infer_context(F.col("path")).alias("context"))
 
 
+#: Paths without a dot, with a dotted folder, padded, and with backslashes.
+ODD_PATHS = "SELECT p_partkey AS pk, concat(CASE p_partkey % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/v1.2/' WHEN 2 THEN 'app/core/' WHEN 3 THEN ' lib / ' ELSE '' END, lower(replace(p_type, ' ', CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '/' ELSE chr(92) END)), CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/Makefile' WHEN 2 THEN '/a.cs' ELSE '/x.y/b' END) AS path FROM part"
+_CONTAINERS = ", ".join(f"'{c}'" for c in sorted(C.CONTAINERS))
+
+
+@query(f"""WITH o AS ({ODD_PATHS}), sg AS (SELECT pk, path, list_filter(list_transform(regexp_split_to_array(path, '[/\\\\]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM o),
+  fo AS (SELECT pk, path, CASE WHEN len(list_filter(s, lambda x: contains(x, '.'))) > 0 THEN s[:list_max(list_transform(s, lambda x, i: CASE WHEN contains(x, '.') THEN i ELSE 0 END)) - 1] ELSE s END AS f FROM sg)
+  SELECT pk, path, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(list_filter(f, lambda x: lower(x) NOT IN ({_CONTAINERS}))[1], '[-_ ]+'), lambda w: w <> ''), lambda w: concat(upper(w[1]), w[2:])), ''), 'Root') AS context FROM fo""")
+def c6_context_odd_paths(spark, sf_dir):
+    rows = spark.sql(ODD_PATHS.replace("FROM part", "FROM {part}"), part=_read(spark, sf_dir, "part"))
+    return rows.select("pk", "path", C.infer_context(F.col("path")).alias("context"))
+
+
 @query(f"SELECT {RC}, from_key, to_key, CASE type WHEN 'Calls' THEN 'calls' WHEN 'FieldDependency' THEN 'uses' WHEN 'Injected' THEN 'injects' WHEN 'Implements' THEN 'implements' WHEN 'InvokesEndpoint' THEN 'calls endpoint' ELSE 'contains' END AS verb FROM d_edges")
 def c8_labels(spark, sf_dir):
     return X.edges(spark, sf_dir).select(*SNAP, "from_key", "to_key", C.edge_label(F.col("type")).alias("verb"))
@@ -358,12 +371,15 @@ def q1_reuse(spark, sf_dir):
 
 # reviews
 
-PRS = "pr AS (SELECT 1 + n AS pr, CASE WHEN n = 4 THEN 'c1800' ELSE 'c1997' END AS base_commit FROM (SELECT unnest(range(5)) AS n) z), ch AS (SELECT pk % 97 AS pr, path FROM d_nodes WHERE snap = 1998 AND pk % 97 BETWEEN 1 AND 5)"
+_NL = "chr(10)"
+#: Pull requests: one for each snapshot and twenty parts in a row, from the snapshot before; their nodes are what changed.
+PRS = "ch AS (SELECT CAST(snap AS BIGINT) * 1000000000 + pk // 20 AS pr, snap, path FROM d_nodes), pr AS (SELECT DISTINCT pr, snap, 'r0' AS repo, concat('c', snap - 1) AS base_commit, concat('c', snap) AS head_commit FROM ch)"
 
 
 def _prs(spark, sf_dir):
-    prs = spark.range(5).select((F.col("id") + 1).alias("pr"), F.lit("r0").alias("repo"), F.when(F.col("id") == 4, "c1800").otherwise("c1997").alias("base_commit"), F.lit("c1998").alias("head_commit"))
-    return prs, X.nodes(spark, sf_dir, 1998).filter("pk % 97 between 1 and 5").select((F.col("pk") % 97).alias("pr"), "path")
+    rows = X.nodes(spark, sf_dir).select((F.col("snap").cast("long") * F.lit(1_000_000_000) + F.floor(F.col("pk") / 20)).cast("long").alias("pr"), "repo", "snap", "path")
+    prs = rows.select("pr", "repo", F.concat(F.lit("c"), F.col("snap") - 1).alias("base_commit"), F.concat(F.lit("c"), F.col("snap")).alias("head_commit")).distinct()
+    return prs, rows.select("pr", "path")
 
 
 @query(f"SELECT {RC}, key, review_status FROM d_nodes WHERE review_status = 'stale'")
@@ -379,31 +395,52 @@ def p2_apply(spark, sf_dir):
     return reviews.apply_reviews(n, d.unionByName(older)).select(*SNAP, "key", "review_status", "content", "semantic_hash", "parent_hash", "edited_by")
 
 
-@query(f"""WITH RECURSIVE {PRS}, st AS (SELECT * FROM (SELECT pr, n.key, row_number() OVER (PARTITION BY pr ORDER BY n.key) AS r FROM (SELECT DISTINCT c.pr, n.key FROM ch c JOIN d_nodes n ON n.snap = 1998 AND starts_with(n.path, c.path)) n) z WHERE r <= 30),
-  w(pr, src, k, d) AS (SELECT pr, key, key, 0 FROM st UNION SELECT w.pr, w.src, e.from_key, d + 1 FROM w JOIN d_edges e ON e.snap = 1998 AND e.to_key = w.k WHERE d < 3)
-  SELECT pr, k AS key, min(d) AS depth FROM (SELECT pr, src, k, min(d) AS d FROM w GROUP BY pr, src, k) z WHERE k <> src GROUP BY pr, k""")
+IMPACTED = """st AS (SELECT * FROM (SELECT pr, snap, key, row_number() OVER (PARTITION BY pr ORDER BY key) AS r FROM (SELECT DISTINCT c.pr, c.snap, n.key FROM ch c JOIN d_nodes n ON n.snap = c.snap AND starts_with(n.path, c.path)) n) z WHERE r <= 30),
+  back AS (SELECT DISTINCT snap, to_key, from_key FROM d_edges),
+  w1 AS (SELECT DISTINCT pr, s.snap, key AS src, from_key AS k FROM st s JOIN back b ON b.snap = s.snap AND b.to_key = s.key WHERE from_key <> key),
+  w2 AS (SELECT DISTINCT pr, w.snap, src, from_key AS k FROM w1 w JOIN back b ON b.snap = w.snap AND b.to_key = w.k WHERE from_key <> src),
+  w3 AS (SELECT DISTINCT pr, w.snap, src, from_key AS k FROM w2 w JOIN back b ON b.snap = w.snap AND b.to_key = w.k WHERE from_key <> src),
+  im AS (SELECT pr, k AS key, min(d) AS depth FROM (SELECT pr, k, 1 AS d FROM w1 UNION ALL SELECT pr, k, 2 FROM w2 UNION ALL SELECT pr, k, 3 FROM w3) z GROUP BY pr, k)"""
+
+
+@query(f"WITH {PRS}, {IMPACTED} SELECT pr, key, depth FROM im")
 def p3_pr_impact(spark, sf_dir):
     prs, changed = _prs(spark, sf_dir)
-    return reviews.pr_impact(prs, changed, X.nodes(spark, sf_dir, 1998), X.edges(spark, sf_dir, 1998)).select("pr", "key", "depth")
+    return reviews.pr_impact(prs, changed, X.nodes(spark, sf_dir), X.edges(spark, sf_dir)).select("pr", "key", "depth")
+
+
+ADDED = """pairs AS (SELECT DISTINCT snap, repo, base_commit, head_commit FROM pr), ty AS (SELECT DISTINCT snap, from_key, to_key, type FROM d_edges),
+  ad AS (SELECT p.repo, p.base_commit, p.head_commit, from_key, to_key, type, TRUE AS available FROM pairs p JOIN (SELECT * FROM ty EXCEPT SELECT snap + 1, from_key, to_key, type FROM ty) a ON a.snap = p.snap WHERE p.snap - 1 IN (SELECT snap FROM ty)
+    UNION ALL SELECT repo, base_commit, head_commit, NULL, NULL, NULL, FALSE FROM pairs WHERE snap - 1 NOT IN (SELECT snap FROM ty))"""
 
 
-@query(f"WITH {PRS} SELECT pr, from_key, to_key, type, TRUE AS available FROM pr, (SELECT from_key, to_key, type FROM d_edges WHERE snap = 1998 EXCEPT SELECT from_key, to_key, type FROM d_edges WHERE snap = 1997) a WHERE base_commit = 'c1997' UNION ALL SELECT pr, NULL, NULL, NULL, FALSE FROM pr WHERE base_commit = 'c1800'")
+@query(f"WITH {PRS}, {ADDED} SELECT * FROM ad")
 def p4_pr_delta(spark, sf_dir):
     return reviews.pr_edge_delta(_prs(spark, sf_dir)[0], X.edges(spark, sf_dir), X.snapshots(spark, sf_dir))
 
 
 def _report(spark, sf_dir):
     prs, changed = _prs(spark, sf_dir)
-    nodes, edges = X.nodes(spark, sf_dir, 1998), X.edges(spark, sf_dir)
-    return reviews.pr_report(prs, changed, reviews.pr_impact(prs, changed, nodes, edges.filter("snap = 1998")), reviews.pr_edge_delta(prs, edges, X.snapshots(spark, sf_dir)))
+    nodes, edges = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
+    return reviews.pr_report(prs, changed, reviews.pr_impact(prs, changed, nodes, edges), reviews.pr_edge_delta(prs, edges, X.snapshots(spark, sf_dir)))
 
 
-@query(None)
+REPORT = f"""WITH {PRS}, {IMPACTED}, {ADDED},
+  rep AS (SELECT p.pr, p.repo, p.base_commit, p.head_commit, f.files, coalesce(i.impacted, 0) AS impacted, coalesce(i.direct, 0) AS direct, coalesce(i.max_depth, 0) AS max_depth, coalesce(d.added_edges, 0) AS added_edges, coalesce(d.base_known, TRUE) AS base_known,
+    CASE WHEN coalesce(d.base_known, TRUE) THEN ['rules not evaluated'] ELSE ['base snapshot unavailable', 'rules not evaluated'] END AS notes
+    FROM pr p JOIN (SELECT pr, list_sort(list(DISTINCT path)) AS files FROM ch GROUP BY pr) f ON f.pr = p.pr
+    LEFT JOIN (SELECT pr, count(*) AS impacted, count(*) FILTER (depth = 1) AS direct, max(depth) AS max_depth FROM im GROUP BY pr) i ON i.pr = p.pr
+    LEFT JOIN (SELECT base_commit, head_commit, count(*) FILTER (available) AS added_edges, bool_and(available) AS base_known FROM ad GROUP BY ALL) d ON d.base_commit = p.base_commit AND d.head_commit = p.head_commit)"""
+
+
+@query(f"{REPORT} SELECT pr, repo, base_commit, head_commit, array_to_string(files, ',') AS files, impacted, direct, max_depth, added_edges, base_known, CAST(NULL AS BIGINT) AS violations, array_to_string(notes, ',') AS notes FROM rep")
 def p5_pr_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return _report(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("files", "notes")})
 
 
-@query(None)
+@query(f"""{REPORT} SELECT pr, concat_ws({_NL}, '## Changed files', array_to_string(list_transform(files[:20], lambda f: concat('- `', f, '`')), {_NL}) || CASE WHEN len(files) > 20 THEN concat({_NL}, '- ... and ', len(files) - 20, ' more') ELSE '' END,
+  '## Impact', concat(impacted, ' entities, ', direct, ' direct, depth ', max_depth), '## New dependencies', CASE WHEN base_known THEN CAST(added_edges AS VARCHAR) ELSE 'unavailable' END,
+  '## Rule violations', 'not evaluated', '## Notes', array_to_string(notes, '; ')) AS body FROM rep""")
 def p6_render_pr(spark, sf_dir):
     return reviews.render_pr(_report(spark, sf_dir))
 
@@ -588,17 +625,40 @@ def _graph_items(spark, sf_dir):
     return routed.join(n.select(*SNAP, "key", "symbol"), [*SNAP, "key"]), n, e
 
 
-@query(None)
+ROUTED = f"""x AS (SELECT rq.qid, rq.snap, question, m.k AS key, CASE WHEN regexp_matches(question, '{retrieval.REVIEW}') THEN 'review' WHEN regexp_matches(question, '{retrieval.STRUCTURAL}') AND m IS NOT NULL THEN 'graph' ELSE 'retrieval' END AS route FROM rq LEFT JOIN mt ON mt.qid = rq.qid),
+  g AS (SELECT x.qid, x.snap, x.key, n.symbol, CASE WHEN regexp_matches(question, '{retrieval.IMPACT}') THEN 'impact' WHEN regexp_matches(question, '{retrieval.CONSUMERS}') THEN 'consumers' WHEN regexp_matches(question, '{retrieval.DEPENDENCIES}') THEN 'dependencies' ELSE 'impact' END AS graph_query FROM x JOIN d_nodes n ON n.snap = x.snap AND n.key = x.key WHERE route = 'graph'),
+  sr AS (SELECT DISTINCT snap, key, graph_query FROM g)"""
+
+
+def _reach(name: str, kind: str, at: str, to: str) -> str:
+    """CTEs of what lies within three steps of a source; <name> has snap, src, k, d."""
+    step = lambda i, start: f"{name}{i} AS (SELECT DISTINCT w.snap, w.src, e.{to} AS k FROM {start} w JOIN d_edges e ON e.snap = w.snap AND e.{at} = w.k WHERE e.{to} <> w.src)"
+    first = f"(SELECT snap, key AS src, key AS k FROM sr WHERE graph_query = '{kind}')"
+    every = " UNION ALL ".join(f"SELECT *, {i} AS d FROM {name}{i}" for i in (1, 2, 3))
+    return ", ".join([step(1, first), step(2, f"{name}1"), step(3, f"{name}2"), f"{name} AS (SELECT snap, src, k, min(d) AS d FROM ({every}) z GROUP BY snap, src, k)"])
+
+
+#: Steps of an answer's search; an answer lists everything that it finds.
+ANSWER_DEPTH = 3
+
+
+@query(f"""WITH {RQ}, {MATCH}, {ROUTED}, {_reach('im', 'impact', 'to_key', 'from_key')}, {_reach('ch', 'dependencies', 'from_key', 'to_key')},
+  it AS (SELECT snap, src, 'impact' AS graph_query, k, d, concat('depth ', d) AS note FROM im UNION ALL SELECT snap, src, 'dependencies', k, d, concat('depth ', d) FROM ch
+    UNION ALL SELECT e.snap, e.to_key, 'consumers', e.from_key, 1, lower(e.type) FROM d_edges e JOIN sr ON sr.snap = e.snap AND sr.key = e.to_key AND sr.graph_query = 'consumers'),
+  ln AS (SELECT it.*, concat('- `', n.symbol, '` (', n.path, ':', n.start_line, ') — ', note) AS line, concat(n.path, ':', n.start_line) AS spot FROM it JOIN d_nodes n ON n.snap = it.snap AND n.key = it.k),
+  ag AS (SELECT snap, src, graph_query, string_agg(line, chr(10) ORDER BY d, k, line) AS lines, string_agg(spot, ',' ORDER BY d, k, spot) AS ats FROM ln GROUP BY snap, src, graph_query)
+  SELECT qid, CASE WHEN lines IS NULL THEN concat('`', symbol, '` has no known ', g.graph_query, ' in the graph.') ELSE concat('`', symbol, CASE g.graph_query WHEN 'consumers' THEN '` is referenced by:' WHEN 'dependencies' THEN '` depends on:' ELSE '` affects:' END, chr(10), lines) END AS answer, coalesce(ats, '') AS citations
+  FROM g LEFT JOIN ag ON ag.snap = g.snap AND ag.src = g.key AND ag.graph_query = g.graph_query""")
 def q7_graph_answers(spark, sf_dir):
     """Each routed question is answered from one multi-source search."""
     q, n, e = _graph_items(spark, sf_dir)
     note = F.concat(F.lit("depth "), F.col("depth").cast("string"))
     src = lambda kind: q.filter(F.col("graph_query") == kind).select(*SNAP, F.col("key").alias("source")).distinct()
     cols = [*SNAP, "source", F.col("depth").alias("ord"), "key", "symbol", "path", "line", note.alias("note")]
-    items = graph.impact(n, e, src("impact")).select(*cols, F.lit("impact").alias("graph_query")).unionByName(graph.chain(n, e, src("dependencies")).select(*cols, F.lit("dependencies").alias("graph_query")))
+    items = graph.impact(n, e, src("impact"), ANSWER_DEPTH).select(*cols, F.lit("impact").alias("graph_query")).unionByName(graph.chain(n, e, src("dependencies"), ANSWER_DEPTH).select(*cols, F.lit("dependencies").alias("graph_query")))
     used = graph.consumers(n, e, src("consumers")).select(*SNAP, F.col("to_key").alias("source"), F.lit(1).alias("ord"), "key", "symbol", "path", "line", F.lower("type").alias("note"), F.lit("consumers").alias("graph_query"))
     items = items.unionByName(used).join(q.select("qid", *SNAP, F.col("key").alias("source"), "graph_query"), [*SNAP, "source", "graph_query"])
-    return retrieval.answer_from_graph(items, q)
+    return retrieval.answer_from_graph(items, q).withColumn("citations", F.array_join("citations", ","))
 
 
 @query("SELECT key, 'rule-based' AS model FROM d_nodes WHERE pk % 2 = 0 UNION ALL SELECT key, 'own' FROM d_nodes WHERE pk % 2 <> 0")
@@ -612,16 +672,23 @@ def u1_summarize(spark, sf_dir):
     return udf.summarize_with(X.nodes(spark, sf_dir), _rels(spark, sf_dir), own).select("key", "model")
 
 
-@query(None)
+@query(f"""WITH w AS (SELECT snap, key, list_filter(regexp_split_to_array(lower(concat(symbol, chr(10), path, ' lines ', start_line, '-', end_line, chr(10), coalesce(content, ''))), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM d_nodes),
+  u AS (SELECT snap, key, unnest(w) AS w FROM w), h AS (SELECT snap, key, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) AS h FROM u),
+  d AS (SELECT snap, key, h // 2 % 64 AS i, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL), n AS (SELECT snap, key, sqrt(sum(v * v)) AS n FROM d GROUP BY ALL HAVING sum(v * v) > 0)
+  SELECT {RC.replace('snap', 'd.snap')}, d.key, CAST(i AS INT) AS i, round(v / n, 6) AS x FROM d JOIN n ON n.snap = d.snap AND n.key = d.key WHERE v <> 0""")
 def u2_embed(spark, sf_dir):
+    """The components of the vectors that are not zero."""
     from lattice.operators import udf
 
     n = X.nodes(spark, sf_dir).withColumn("semantic_hash", F.col("structural_hash"))
     none = n.limit(0)
-    return retrieval.embed_nodes(n, none, none.select("repo", "semantic_hash", "key", F.array(F.lit(0.0).cast("float")).alias("vector")), udf.hashed_words())
+    out = retrieval.embed_nodes(n, none, none.select("repo", "semantic_hash", "key", F.array(F.lit(0.0).cast("double")).alias("vector")), udf.hashed_words())
+    return out.select(*SNAP, "key", F.posexplode("vector").alias("i", "x")).filter("x != 0").withColumn("x", F.round("x", 6))
 
 
-@query(None)
+@query(f"""WITH ca AS (SELECT snap, key FROM (SELECT *, row_number() OVER (PARTITION BY snap, endpointish ORDER BY end_line - start_line DESC, key) AS rank FROM (SELECT *, {_EP} AS endpointish FROM d_nodes) x) z WHERE rank <= 60),
+  pr AS (SELECT snap, key AS from_key, lead(key) OVER (PARTITION BY snap ORDER BY key) AS to_key FROM ca)
+  SELECT {RC}, from_key, to_key, 'Calls' AS type, CAST(0.8 AS DOUBLE) AS confidence FROM pr WHERE to_key IS NOT NULL AND (snap, from_key, to_key) NOT IN (SELECT snap, from_key, to_key FROM d_edges WHERE type = 'Calls')""")
 def u3_propose(spark, sf_dir):
     from lattice.operators import udf
 
@@ -632,10 +699,10 @@ def u3_propose(spark, sf_dir):
         return json.dumps([{"from": a, "to": b, "type": "Calls", "confidence": 0.8} for a, b in zip(keys, keys[1:])])
 
     n, e = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
-    return linking.accept_proposals(udf.propose_with(linking.link_candidates(n), pairs), n, e)
+    return linking.accept_proposals(udf.propose_with(linking.link_candidates(n), pairs), n, e).select(*SNAP, "from_key", "to_key", "type", "confidence")
 
 
-@query(None)
+@query(f"WITH {SYM}, {UNIQUE} SELECT DISTINCT concat(u.from_key, '.m', a.pk % 3) AS from_key, concat(u.to_key, '.m', b.pk % 3) AS to_key, 'Implements' AS type, CAST(0.9 AS DOUBLE) AS confidence FROM un u JOIN se a ON a.key = u.from_key JOIN se b ON b.key = u.to_key WHERE u.to_kind = 'Interface' AND a.pk % 3 = b.pk % 3")
 def l10_members(spark, sf_dir):
     """Methods of the types of d_symbols: each part also declares a method named after its size."""
     e = _with("bases", *symbols(spark, sf_dir)).withColumn("owner", F.lit(None).cast("string"))
