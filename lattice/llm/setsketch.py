@@ -12,7 +12,8 @@ lets everything within 4.5 standard deviations of the threshold through (a miss
 
 A bucket never yields all its pairs. First its members meet its least id only. Buckets that are then in one component
 are done. In the others, members of different components are compared by their registers inside tasks (large buckets
-in pairs of blocks, so no task holds a bucket), a pair only in the first band that it shares: first each member's three
+in pairs of blocks, so no task holds a bucket, and none of two blocks of the largest component), a pair only in the
+first band that it shares: first each member's three
 likeliest partners are verified, then everything that the estimate leaves open between the components that remain. No
 bucket or partner is capped.
 
@@ -45,7 +46,7 @@ BASE, RATE, Q = 1.1, 20.0, 254
 #: Base and greatest value less one of the banded registers, of two bytes: so fine that unlike sets hardly share a value.
 FINE, FINE_Q = 1.001, 65534
 #: Standard deviations below the threshold from which an estimate is verified, and rows of a block.
-MARGIN, BLOCK = 4.5, 1024
+MARGIN, BLOCK = 4.5, 512
 
 _RNG = np.random.default_rng(20240501)
 _MULTIPLY = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
@@ -229,12 +230,17 @@ def _compare(groups: DataFrame, percent: int, best: int | None) -> DataFrame:
 
 
 def _cross_pairs(live: DataFrame, parts: DataFrame, full: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs to verify from the buckets whose members are in several parts, each bucket dealt into pairs of blocks."""
+    """Pairs to verify from the buckets whose members are in several parts, each bucket dealt into pairs of blocks. Two of
+    the largest part never need to meet, so its members are copied for the blocks of the others only."""
     placed = live.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component_id", "rep").alias("part"))
-    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
-    mixed = written(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = placed.join(mixed, "bucket")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
+    mixed = sizes.agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("part", F.struct("c", "part")).alias("main")).filter("size > most")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = written(mixed.select("bucket", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("size") - F.col("most")).alias("others")), "mixed")
+    # the blocks of the largest part come first; they meet the others, and these meet all
+    rows, ours = placed.join(mixed, "bucket"), F.col("part") == F.col("main")
+    rows = rows.withColumn("own", F.when(ours, F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.when(ours, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
     rows = rows.join(full.select(F.col("id").alias("rep"), "n", "registers", "banded"), "rep")
     rows = rows.select("bucket", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "band", "rep", "part", "n", "registers", "banded")
     return _compare(rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"), percent, best).distinct()
