@@ -2,12 +2,13 @@
 
 A tree builder keeps the stack of open elements; start tags close what they imply (a block closes an open paragraph, an
 item its sibling, a cell or row the one before), end tags close what is open inside. Elements that are not shown are
-left out: head, scripts, styles and the like, and anything hidden by attribute or inline style. They stand on the same
-stack, so that what ends a shown element ends them too; a head also ends at the first text or element that is none of
-its own. Visible text is emitted
-as laid out: inline white space collapses, blocks stand on lines of their own with blank lines around paragraphs and
-headings, list items get a bullet or their number and an indent, preformatted text keeps its lines, and the cells of a
-table are padded to aligned columns.
+left out: head, scripts, styles and the like, dialogs that are not open, and anything hidden by attribute or inline
+style. They stand on the same stack, so that what ends a shown element ends them too; a head also ends at the first text
+or element that is none of its own. Under visibility:hidden text is left out but keeps its place, up to an element that is
+visible again. Rules of style sheets are not applied. Visible text is emitted as laid out: inline white space collapses,
+blocks stand on lines of their own with blank lines around paragraphs and headings, list items get a bullet or their
+number and an indent, preformatted text keeps its lines, options stand on a line each, and the cells of a table are padded
+to aligned columns, which cells may span; wide characters count as two.
 
 Defined cases: null or empty html gives empty text; markup that never closes is closed at the end; a `<` that starts no
 tag is text; nesting may be of any depth (no recursion) and attributes of any length. A quoted value that never closes
@@ -20,17 +21,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements by how they are laid out (fixed values of HTML).
-UNSEEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video select datalist textarea dialog title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video datalist title meta link".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-BLOCK = PARAGRAPH | frozenset("address article aside body center details dd div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup section summary caption tr thead tbody tfoot td th".split())
+BLOCK = PARAGRAPH | frozenset("address article aside body center details dd div dt dialog fieldset figcaption footer form header hgroup html legend li main nav option optgroup section select textarea summary caption tr thead tbody tfoot td th".split())
 #: What may stand in a head without ending it.
 HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: What implied end tags do not reach out of; those of a paragraph.
@@ -51,7 +54,12 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:
 _PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?)""", re.S)
 _OPENED = re.compile(r"""=\s*["']""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["']?[^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["']?[^"']*(?:display\s*:\s*none)""", re.I)
+_VISIBILITY = re.compile(r"""style\s*=\s*["']?[^"']*\bvisibility\s*:\s*(hidden|collapse|visible)""", re.I)
+_OPEN = re.compile(r"""(?:^|\s)open(?:\s|=|/|$)""", re.I)
+_SPAN = re.compile(r"""(?:^|[\s/"'])(col|row)span\s*=\s*["']?\s*(\d{1,9})""", re.I)
+#: The greatest spans that HTML has (fixed values).
+MOST_SPAN = {"col": 1000, "row": 65534}
 
 
 class _Out:
@@ -85,47 +93,70 @@ class _Out:
         return "\n".join(x.rstrip() for x in self.lines).strip("\n")
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines with aligned columns; a cell of several lines takes as many."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    width: list[int] = []
-    for row in cells:
-        for i, c in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], *map(len, c))
+def _width(text: str) -> int:
+    """Columns of a terminal: two for wide characters, none for those that combine."""
+    return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _table(rows: list[list[tuple]]) -> list[str]:
+    """Rows of cells (text, columns, rows that it spans) as lines with aligned columns; a cell of several lines takes as
+    many, and stands in the first row that it spans."""
+    placed, width, taken = [], [], {}  # taken: column to the rows below that a cell above still covers
+    for row in rows:
+        at, line = 0, []
+        free = {c: n for c, n in taken.items() if n}
+        taken = {c: n - 1 for c, n in free.items()}
+        for text, span, down in row:
+            while at in free:
+                at += 1
+            line.append((at, span, text.split("\n")))
+            if down > 1:
+                taken |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
+        width += [0] * (at - len(width))
+        placed.append(line)
+    for line in placed:
+        for at, span, lines in line:
+            if span == 1:
+                width[at] = max(width[at], *map(_width, lines))
+    for line in placed:
+        for at, span, lines in line:
+            if span > 1:  # what does not fit widens its last column
+                width[at + span - 1] += max(0, max(map(_width, lines)) - sum(width[at : at + span]) - 2 * (span - 1))
+    start = [0, *accumulate(w + 2 for w in width)]
     out = []
-    for row in cells:
-        for k in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip())
+    for line in placed:
+        for k in range(max((len(c) for _, _, c in line), default=0)):
+            text, used = [], 0
+            for at, _, lines in line:
+                if k < len(lines) and lines[k]:
+                    text.append(" " * (start[at] - used) + lines[k])
+                    used = start[at] + _width(lines[k])
+            out.append("".join(text).rstrip())
     return out
 
 
 def render(html: str | None) -> str:
     html = html or ""
-    outs, stack = [_Out()], []  # stack: [tag, lead, extra, unseen]; extra holds a list's number or a table's rows
-    at, pre, lead, unseen = 0, 0, "", 0  # unseen: elements on the stack that are not shown, all above those that are
-    count: dict[str, int] = {}  # open elements by tag
+    outs, stack = [_Out()], []  # stack: [tag, lead, extra, unseen, visible]; extra holds a table's or a row's cells, or a cell's spans
+    at, pre, lead, unseen, visible = 0, 0, "", 0, True  # unseen: elements on the stack that are not shown, all above those that are
+    places: dict[str, list[int]] = {}  # of the open elements of a tag in the stack
     lists: list[list] = []
 
     def close() -> None:
-        nonlocal pre, lead, unseen
-        tag, before, extra, gone = stack.pop()
-        count[tag] -= 1
+        nonlocal pre, lead, unseen, visible
+        tag, before, extra, gone, visible = stack.pop()
+        places[tag].pop()
         if gone:
             unseen -= 1
             return
         if tag in ("td", "th"):
             cell = outs.pop().text()
-            for x in reversed(stack):
-                if x[0] == "tr":
-                    x[2].append(cell)
-                    break
+            if places.get("tr"):
+                stack[places["tr"][-1]][2].append((cell, *extra))
         elif tag == "tr":
-            for x in reversed(stack):
-                if x[0] == "table":
-                    x[2].append(extra)
-                    break
+            if places.get("table"):
+                stack[places["table"][-1]][2].append(extra)
         elif tag == "table":
             lead = before
             outs[-1].block(1)
@@ -144,6 +175,8 @@ def render(html: str | None) -> str:
         lead = before
 
     def emit(text: str) -> None:
+        if not visible:
+            return
         out = outs[-1]
         if pre:
             for i, line in enumerate(text.split("\n")):
@@ -164,22 +197,17 @@ def render(html: str | None) -> str:
         out.put(body, lead)
         out.space = words[-1] == " "
 
-    def push(tag: str, before: str, extra: list | None, gone: bool) -> None:
+    def push(tag: str, before: str, extra: list | None, gone: bool, was_visible: bool) -> None:
         nonlocal unseen
-        stack.append([tag, before, extra, gone])
-        count[tag] = count.get(tag, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append([tag, before, extra, gone, was_visible])
         unseen += gone
 
     def open_until(wanted: set, limit: set) -> int:
         """Place in the stack of the nearest wanted element inside limit, or -1."""
-        if not any(count.get(x) for x in wanted):
-            return -1
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in wanted:
-                return i
-            if stack[i][0] in limit:
-                break
-        return -1
+        nearest = lambda tags: max((places[x][-1] for x in tags if places.get(x)), default=-1)
+        found = nearest(wanted)
+        return found if found >= 0 and found >= nearest(limit) else -1
 
     end, pattern = len(html), _TAG
     while at < end:
@@ -206,8 +234,12 @@ def render(html: str | None) -> str:
         if not closing and tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
             raw, at = html[at : stop.start() if stop else end], stop.end() if stop else end
-            if tag == "xmp" and not unseen:
-                emit(raw)
+            if tag in ("xmp", "textarea") and not unseen and not _HIDDEN.search(m[3]):
+                outs[-1].block(0)
+                pre += 1
+                emit(raw if tag == "xmp" else unescape(raw))
+                pre -= 1
+                outs[-1].block(0)
             continue
         if closing:
             if tag == "p" and open_until({"p"}, {"table", "td", "th"}) < 0:
@@ -218,8 +250,8 @@ def render(html: str | None) -> str:
             while k >= 0 and len(stack) > k:
                 close()
             continue
-        own = tag in UNSEEN or bool(m[3] and _HIDDEN.search(m[3]))
-        if m[3].endswith("/") and (own and not unseen or tag in ("svg", "math") or count.get("svg") or count.get("math")):
+        own = tag in UNSEEN or bool(m[3] and _HIDDEN.search(m[3])) or tag == "dialog" and not _OPEN.search(m[3])
+        if m[3].endswith("/") and (own and not unseen or tag in ("svg", "math") or places.get("svg") or places.get("math")):
             continue
         if tag in ("head", "html") and unseen:
             continue  # only the first counts
@@ -236,7 +268,7 @@ def render(html: str | None) -> str:
         if tag in VOID:
             if tag == "hr":
                 outs[-1].block(1)
-            elif tag == "img" and (alt := re.search(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[3], re.I)):
+            elif tag == "img" and (alt := re.search(r"""(?:^|[\s/"'])alt\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[3], re.I)):
                 emit(unescape(alt[1] or alt[2] or ""))
             continue
         if tag in CLOSES and (k := open_until(*CLOSES[tag])) >= 0:
@@ -245,22 +277,24 @@ def render(html: str | None) -> str:
         if tag in _PLACE and open_until({_PLACE[tag]}, {"table"} if tag != "tr" else set()) < 0:
             if open_until({"table"}, set()) < 0:
                 continue  # a stray cell or row outside a table
-            push("tr", lead, [], unseen > 0)
-        extra = None
-        before = lead
+            push("tr", lead, [], unseen > 0, visible)
+        extra, before, was_visible = None, lead, visible
         gone = own or unseen > 0
+        if m[3] and (veil := _VISIBILITY.search(m[3])):
+            visible = veil[1].lower() == "visible"
         if gone:
             pass
         elif tag in ("td", "th"):
             outs.append(_Out())
-            lead = ""
+            lead, spans = "", dict.fromkeys(MOST_SPAN, 1) | {k.lower(): int(n) for k, n in _SPAN.findall(m[3])}
+            extra = [max(1, min(spans[k], most)) for k, most in MOST_SPAN.items()]
         elif tag in ("table", "tr"):
             if tag == "table":
                 outs[-1].block(1)
             extra = []
         elif tag in ("ul", "ol"):
             outs[-1].block(0 if lists else 1)
-            start = re.search(r"""\bstart\s*=\s*["']?(-?\d{1,9})""", m[3])
+            start = re.search(r"""(?:^|[\s/"'])start\s*=\s*["']?(-?\d{1,9})""", m[3])
             lists.append([int(start[1]) if start else 1] if tag == "ol" else [None])
         elif tag == "li":
             outs[-1].block(0)
@@ -268,7 +302,8 @@ def render(html: str | None) -> str:
             if lists and lists[-1][0] is not None:
                 mark = f"{lists[-1][0]}. "
                 lists[-1][0] += 1
-            outs[-1].put(mark, lead)
+            if visible:
+                outs[-1].put(mark, lead)
             lead += " " * len(mark)
         elif tag in BLOCK:
             if not (stack and stack[-1][0] == "li" and outs[-1].line and outs[-1].line[-1][-2:] in ("- ", ". ")):
@@ -277,7 +312,7 @@ def render(html: str | None) -> str:
                 pre += 1
             elif tag in ("blockquote", "dd"):
                 lead += "    " if tag == "dd" else "> "
-        push(tag, before, extra, gone)
+        push(tag, before, extra, gone, was_visible)
     while stack:
         close()
     return outs[0].text()
