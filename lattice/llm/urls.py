@@ -3,10 +3,12 @@
 A rule names a host and a path: it fits the host and its subdomains where the url's path starts with the rule's, and the
 longest rule that fits decides. Urls that redirect to each other, or name each other as canonical, are aliases: connected
 components over these edges. A url without a rule of its own is blocked if a rule blocks any of its aliases; a url with a
-rule keeps its own verdict, so an explicit allow stands inside a blocked component. Everything else is allowed.
+rule keeps its own verdict, so an explicit allow stands inside a blocked component; of an allow and a block of the same
+host and path the allow counts. Everything else is allowed.
 
-Edges come from <link rel="canonical">, from <meta http-equiv="refresh">, and from a table of redirects if one is given.
-Aliases are compared without scheme and fragment and with a lower-cased host.
+Edges come from <link rel="canonical">, from <meta http-equiv="refresh"> (both outside of comments and scripts), and from a
+table of redirects if one is given. Aliases are compared without scheme and fragment and with a lower-cased host; relative
+links are resolved against the page's url, without <base> and with `..` left as it is.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; it is allowed. A null page has no
 edges. Repeated rows get equal verdicts. Empty tables give empty results. Only the named columns are read. The rules may
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import connected_components
+from lattice.llm.common import connected_components, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +46,8 @@ def alias_key(url: Column) -> Column:
 
 def targets(url: Column, html: Column) -> Column:
     """Absolute urls that a page redirects to or names as canonical (array<string>)."""
+    telling = html.rlike(r"(?i)\bcanonical\b|http-equiv")
+    html = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template)\b.*?(?:</\1\s*>|\z)", "")
     canonical = F.transform(
         F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")),
         lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
@@ -61,7 +65,7 @@ def targets(url: Column, html: Column) -> Column:
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(origin, F.lit("/"))), t))
     )
     found = F.transform(F.filter(F.concat(canonical, refresh), lambda t: t != ""), lambda t: whole(F.replace(t, F.lit("&amp;"), F.lit("&"))))
-    return F.when(html.rlike(r"(?i)\bcanonical\b|http-equiv"), found)
+    return F.when(telling, found)
 
 
 def decide(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def decide(places: DataFrame, rules: DataFrame) -> DataFrame:
     spread = places.filter("host <> ''").select("host", "path").distinct().withColumn("suffix", F.explode(suffix))
     own = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "action", F.concat("host", "path").alias("rule"))
     fits = spread.join(own, "suffix").filter(F.col("path").startswith(F.col("start")))
-    best = F.max(F.struct(F.length("rule").alias("length"), "rule", "action")).alias("best")
+    best = F.max(F.struct(F.length("rule").alias("length"), "rule", (F.col("action") == "allow").alias("allows"), "action")).alias("best")
     return fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
 
 
@@ -83,6 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     linked = rows.select("url", F.explode(targets(url, F.col("html"))).alias("target"))
     if redirects is not None:
         linked = linked.unionByName(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("target")))
+    linked = written(linked, "aliases")  # pages are searched once
     edges = linked.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"))
     parts = connected_components(edges)  # (id, component_id) of the keys that have an alias
     ends = linked.select(F.explode(F.array("url", "target")).alias("url")).select(host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key")).distinct()
