@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,33 +74,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)
-
-
-def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component_id) of the links that verify keeps among ids that share a bucket.
-
-    buckets: (bucket long, rep), each pair once. verify: (a, b) to those of its rows that are links. A bucket never
-    yields all its pairs: each round compares its members with few leaders (first the least id, then 4, 16, ... drawn by
-    hash) and goes on only with buckets whose members are not yet in one component. A bucket is done when it is one
-    component or when every member has led, so no pair that could join two components is left out.
-    """
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
-    live = written(buckets.join(many, "bucket"), "buckets")
-    pairs = live.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = written(verify(pairs), "links")
-    parts = connected_components(edges)
-    live, lead = live.filter("size > 2 and rep != leader").select("bucket", "rep"), 4
-    while True:
-        placed = live.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component_id", "rep").alias("part"))
-        mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1")
-        live = written(placed.join(mixed.select("bucket", "size"), "bucket"), "buckets")
-        if live.isEmpty():
-            return parts
-        live = live.withColumn("leads", F.pmod(F.xxhash64("rep", "bucket", F.lit(lead)), F.col("size")) < lead)
-        leaders = live.filter("leads").select("bucket", F.col("rep").alias("x"), F.col("part").alias("px"))
-        pairs = live.join(leaders, "bucket").filter("part != px").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        more = written(verify(pairs), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            parts = connected_components(edges)
-        live, lead = live.filter("not leads").select("bucket", "rep"), lead * 4

@@ -116,6 +116,11 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_digest(read(spark, sf_dir, "documents"))
 
 
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints compared through length partitions and pruned Jaccard: components of documents."""
+    return spotsigs.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def chat_digest(turns: DataFrame) -> DataFrame:
     runs, conversations = chat.prefix_tree(turns)
     back = chat.read_back(runs, conversations).withColumn("turns", chat.turns_of(F.col("formatted")))
@@ -177,5 +182,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_byte_bpe": op2_byte_bpe, "op3_spotsigs": op3_spotsigs, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch,
     "op6_chat_tree": op6_chat_tree, "op7_language": op7_language, "op8_vectors": op8_vectors, "op9_separator_scan": op9_separator_scan, "op10_html": op10_html,
+    "spotsigs_near_duplicates": spotsigs_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op6_chat_tree": OP6, "op8_vectors": OP8}

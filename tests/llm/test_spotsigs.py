@@ -64,6 +64,41 @@ def test_next_over_many_buckets(spark):
     assert got == {i * 3: f"text {(i - 1) % 500}" for i in range(500)}
 
 
+def test_next_of_text_ids(spark):
+    rows = [(f"id{i:03}", f"text {i}") for i in range(100)]
+    for buckets in (1, 7, 300):
+        got = {r.id: r.next_text for r in S.with_next(spark.createDataFrame(rows, "doc_id string, text string"), buckets=buckets).collect()}
+        assert got == {f"id{i:03}": f"text {(i - 1) % 100}" for i in range(100)}
+
+
+def test_mixed_buckets_in_blocks(spark, monkeypatch):
+    """Sets that share rare signatures with a leader that is like few of them."""
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rnd, rows = random.Random(7), []
+    core = [f"c{i}" for i in range(40)]
+    for g in range(4):
+        own = core + [f"g{g}x{i}" for i in range(14 + 2 * g)]
+        for _ in range(9):
+            text = [w for w in own if rnd.random() > 0.04]
+            rows.append((len(rows), " ".join(f"the {w} q{w}" for w in text)))
+    rnd.shuffle(rows)
+    sets, parent = [(i, sigs(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and jaccard(a, b) >= 0.75:
+                r, s = sorted((root(i), root(j)))
+                parent[s] = r
+    assert 1 < len({root(i) for i, _ in rows}) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == {i: root(i) for i, _ in rows}
+
+
 def test_near_duplicates_against_brute_force(spark):
     rnd, rows = random.Random(2), []
     words = [f"w{i}" for i in range(200)] + S.ANCHORS[:30] * 4
