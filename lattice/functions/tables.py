@@ -5,20 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the folder of spark.checkpoint.dir (a temporary one only where that is unset) and read
-    back: the lineage of a loop ends here, and lost executors do not matter."""
-    spark = df.sparkSession
+def _place(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lattice-"))
         root = _LOCAL[0]
-    path = f"{root.rstrip('/')}/lattice/loop-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lattice/loop-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the folder of spark.checkpoint.dir (a temporary one only where that is unset) and read
+    back: the lineage of a loop ends here, and lost executors do not matter."""
+    spark = df.sparkSession
+    path = _place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """As cut, with the number of rows (of which the condition holds), counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")))
+    return out, seen.get["n"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
-from lattice.functions.tables import cut
+from lattice.functions.tables import cut, cut_and_count
 from lattice.operators import snapshots as S
 
 SNAP = ["repo", "commit_sha"]
@@ -32,8 +32,8 @@ def search(edges: DataFrame, starts: DataFrame, max_depth: int, carry: tuple[str
         step = frontier.drop(*carry).withColumnRenamed("key", "at").join(ends, [*SNAP, "at"])
         step = step.join(seen.select(*SNAP, "source", F.col("key").alias("next")), [*SNAP, "source", "next"], "left_anti")
         best = step.groupBy(*SNAP, "source", "next").agg(F.min(F.struct(F.concat("trace", F.array("next")).alias("trace"), *carry)).alias("b"))
-        frontier = cut(best.select(*SNAP, "source", F.col("next").alias("key"), F.lit(depth).alias("depth"), "b.trace", *(F.col(f"b.{c}").alias(c) for c in carry)))
-        if frontier.isEmpty():
+        frontier, n = cut_and_count(best.select(*SNAP, "source", F.col("next").alias("key"), F.lit(depth).alias("depth"), "b.trace", *(F.col(f"b.{c}").alias(c) for c in carry)))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -138,10 +138,10 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
 
 def trimmed(pairs: DataFrame) -> DataFrame:
     """Edges left when nodes without a way in or a way out are taken away again and again."""
-    before, now = None, pairs.count()
+    before, now = None, -1
     while now and now != before:
-        pairs = cut(pairs.join(pairs.select(*SNAP, F.col("to_key").alias("from_key")), [*SNAP, "from_key"], "left_semi").join(pairs.select(*SNAP, F.col("from_key").alias("to_key")), [*SNAP, "to_key"], "left_semi"))
-        before, now = now, pairs.count()
+        before = now
+        pairs, now = cut_and_count(pairs.join(pairs.select(*SNAP, F.col("to_key").alias("from_key")), [*SNAP, "from_key"], "left_semi").join(pairs.select(*SNAP, F.col("from_key").alias("to_key")), [*SNAP, "to_key"], "left_semi"))
     return pairs
 
 

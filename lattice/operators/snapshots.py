@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattice.functions.tables import cut
+from lattice.functions.tables import cut, cut_and_count
 from lattice.operators import quality
 
 SNAP = ["repo", "commit_sha"]
@@ -49,52 +49,64 @@ def compose_edges(rels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _least_reached(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """SNAP, key, label: the least node of key's own colour that reaches key. pairs: SNAP, src, dst within a colour."""
-    labels = cut(nodes.select(*SNAP, "key", F.col("key").alias("label")))
+    """(id, label): the least node that reaches id over pairs (src, dst)."""
+    labels = cut(nodes.select("id", F.col("id").alias("label")))
     while True:
-        came = pairs.join(labels.withColumnRenamed("key", "src"), [*SNAP, "src"]).groupBy(*SNAP, F.col("dst").alias("key")).agg(F.min("label").alias("m"))
-        nxt = cut(labels.join(came, [*SNAP, "key"], "left").select(*SNAP, "key", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
+        came = pairs.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
+        nxt, moved = cut_and_count(labels.join(came, "id", "left").select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")), F.col("moved"))
         labels = nxt.drop("moved")
-        if nxt.filter("moved").isEmpty():
+        if not moved:
             return labels
 
 
-def scc(edges: DataFrame) -> DataFrame:
-    """M4. SNAP, key, component (its least key) for every end of an edge.
+def _components(pairs: DataFrame) -> DataFrame:
+    """(id, c) of the nodes whose strongly connected component has several, c naming it. pairs: (src, dst) of whole numbers.
 
     Trimming first takes away what cannot be on a cycle. Then, round by round, each node takes the least label that
     reaches it forward; inside a label the nodes that reach the label's own node backward are its component, leave, and
     the rest goes on. Each round finishes at least one component per label.
     """
-    pairs = edges.select(*SNAP, F.col("from_key").alias("src"), F.col("to_key").alias("dst")).distinct()
-    nodes = cut(pairs.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct())
-    left, done = cut(pairs.filter("src != dst")), None
+    (left, now), done = cut_and_count(pairs.filter("src != dst").distinct()), None
     while True:
-        before, now = None, left.count()
-        while now != before and now:  # trim
-            left = cut(left.join(left.select(*SNAP, F.col("dst").alias("src")), [*SNAP, "src"], "left_semi").join(left.select(*SNAP, F.col("src").alias("dst")), [*SNAP, "dst"], "left_semi"))
-            before, now = now, left.count()
+        before = None
+        while now and (before is None or now < 0.99 * before):  # trim as long as it pays; what stays costs rounds, not results
+            before = now
+            left, now = cut_and_count(left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
         if not now:
-            break
-        live = left.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct()
-        forward = _least_reached(left, live)
-        colour = lambda c, name: forward.select(*SNAP, F.col("key").alias(c), F.col("label").alias(name))
-        same = cut(left.join(colour("src", "c"), [*SNAP, "src"]).join(colour("dst", "d"), [*SNAP, "dst"]).filter("c = d"))
+            return left.select(F.col("src").alias("id"), F.col("dst").alias("c")) if done is None else done
+        forward = _least_reached(left, left.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+        colour = lambda c, name: forward.select(F.col("id").alias(c), F.col("label").alias(name))
+        same = cut(left.join(colour("src", "c"), "src").join(colour("dst", "d"), "dst").filter("c = d").select("src", "dst"))
         # backward from the label's own node, inside the colour
-        reached = front = cut(forward.filter("key = label").select(*SNAP, "key", F.col("label").alias("component")))
+        reached = front = cut(forward.filter("id = label").select("id", F.col("label").alias("c")))
         while True:
-            step = same.join(front.select(*SNAP, F.col("key").alias("dst"), "component"), [*SNAP, "dst"]).select(*SNAP, F.col("src").alias("key"), "component").distinct()
-            front = cut(step.join(reached, [*SNAP, "key"], "left_anti"))
-            if front.isEmpty():
+            step = same.join(front.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            front, n = cut_and_count(step.join(reached, "id", "left_anti"))
+            if not n:
                 break
             reached = reached.unionByName(front)
         reached = cut(reached)
-        done = reached if done is None else done.unionByName(reached)
-        out = reached.select(*SNAP, F.col("key").alias("src"))
-        left = cut(left.join(out, [*SNAP, "src"], "left_anti").join(out.withColumnRenamed("src", "dst"), [*SNAP, "dst"], "left_anti"))
-    if done is None:
-        return nodes.withColumn("component", F.col("key"))
-    return nodes.join(done, [*SNAP, "key"], "left").withColumn("component", F.coalesce("component", "key"))
+        several = reached.join(reached.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "c", "left_semi").select("id", "c")
+        done = several if done is None else done.unionByName(several)
+        out = reached.select(F.col("id").alias("src"))
+        left, now = cut_and_count(left.join(out, "src", "left_anti").join(out.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """nodes with an id, a whole number; written, so that it stays."""
+    return cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """M4. SNAP, key, component (its least key) for every end of an edge. The search runs on numbers; keys come back at
+    the end."""
+    pairs = edges.select(*SNAP, F.col("from_key").alias("src"), F.col("to_key").alias("dst")).distinct()
+    nodes = _numbered(pairs.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct())
+    side = lambda c: nodes.select(*SNAP, F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
+    found = _components(pairs.join(side("src"), [*SNAP, "src"]).join(side("dst"), [*SNAP, "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    placed = nodes.join(found, "id", "left")
+    least = placed.filter("c is not null").groupBy("c").agg(F.min("key").alias("least"))
+    return placed.join(least, "c", "left").select(*SNAP, "key", F.coalesce("least", "key").alias("component"))
 
 
 def _framed(*parts: Column) -> Column:
@@ -112,54 +124,52 @@ def semantic_hash(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | Non
     the number that each component above still waits for; one that waits for none is next. So a level moves its own
     nodes and edges and the narrow table of what still waits, and nothing that is done is written again.
     """
-    e = edges.join(nodes.select(*SNAP, F.col("key").alias("from_key")), [*SNAP, "from_key"], "left_semi").join(nodes.select(*SNAP, F.col("key").alias("to_key")), [*SNAP, "to_key"], "left_semi")
-    e = cut(e.select(*SNAP, "from_key", "to_key", "type").distinct())
-    parts = cut(scc(e))
-    place = lambda c, name: parts.select(*SNAP, F.col("key").alias(c), F.col("component").alias(name))
-    own = nodes.select(*SNAP, "key", F.coalesce("content", F.lit("")).alias("content")).join(parts, [*SNAP, "key"], "left").withColumn("component", F.coalesce("component", "key"))
-    e = cut(e.join(place("from_key", "cf"), [*SNAP, "from_key"]).join(place("to_key", "ct"), [*SNAP, "to_key"]))
+    own = _numbered(nodes.select(*SNAP, "key", F.coalesce("content", F.lit("")).alias("content")))
+    side = lambda c, name: own.select(*SNAP, F.col("key").alias(c), F.col("id").alias(name))
+    e = edges.select(*SNAP, "from_key", "to_key", "type").distinct().join(side("from_key", "f"), [*SNAP, "from_key"]).join(side("to_key", "t"), [*SNAP, "to_key"])
+    e = cut(e.select("f", "t", "to_key", "type"))
+    parts = cut(_components(e.select(F.col("f").alias("src"), F.col("t").alias("dst"))))
+    place = lambda c, name: parts.select(F.col("id").alias(c), F.col("c").alias(name))
+    e = e.join(place("f", "cf"), "f", "left").join(place("t", "ct"), "t", "left")
+    e = cut(e.withColumns({"cf": F.coalesce("cf", "f"), "ct": F.coalesce("ct", "t")}))
     inside = e.filter("cf = ct")
-    looped = inside.select(*SNAP, F.col("cf").alias("component")).distinct().withColumn("loop", F.lit(True))
-    todo = own.join(looped, [*SNAP, "component"], "left").withColumn("loop", F.coalesce("loop", F.lit(False)))
+    looped = inside.select(F.col("cf").alias("c")).distinct().withColumn("loop", F.lit(True))
+    todo = own.join(parts, "id", "left").withColumn("c", F.coalesce("c", "id")).join(looped, "c", "left").withColumn("loop", F.coalesce("loop", F.lit(False)))
     if overrides is not None:
         todo = todo.join(overrides.select(*SNAP, "key"), [*SNAP, "key"], "left_anti")
     todo, out = cut(todo), cut(e.filter("cf != ct").drop("ct"))
     part = lambda h: _framed(F.col("to_key"), F.col("type"), h)
-    told = cut(inside.select(*SNAP, F.col("cf").alias("component"), F.col("from_key").alias("key"), part(F.lit("")).alias("part")))
+    told = cut(inside.select(F.col("cf").alias("c"), F.col("f").alias("id"), part(F.lit("")).alias("part")))
 
     def send(new: DataFrame) -> DataFrame:
-        up = out.join(new.select(*SNAP, F.col("key").alias("to_key"), "semantic_hash"), [*SNAP, "to_key"])
-        return cut(up.select(*SNAP, F.col("cf").alias("component"), F.col("from_key").alias("key"), part(F.col("semantic_hash")).alias("part")))
+        up = out.join(new.select(F.col("id").alias("t"), "semantic_hash"), "t")
+        return cut(up.select(F.col("cf").alias("c"), F.col("f").alias("id"), part(F.col("semantic_hash")).alias("part")))
+
+    def less(waits: DataFrame, news: DataFrame) -> DataFrame:
+        came = news.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+        return waits.join(came, "c", "left").select("c", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n"))
 
-    waits = todo.select(*SNAP, "component").distinct().join(out.groupBy(*SNAP, F.col("cf").alias("component")).agg(F.count(F.lit(1)).alias("n")), [*SNAP, "component"], "left")
-    waits, done = waits.select(*SNAP, "component", F.coalesce("n", F.lit(0)).alias("n")), None
+    waits = todo.select("c").distinct().join(out.groupBy(F.col("cf").alias("c")).agg(F.count(F.lit(1)).alias("n")), "c", "left")
+    waits, done = waits.select("c", F.coalesce("n", F.lit(0)).alias("n")), None
     if overrides is not None:
-        done = cut(overrides.select(*SNAP, "key", "semantic_hash"))
-        news = send(done)
-        told = told.unionByName(news)
-        waits = _less(waits, news)
-    waits = cut(waits)
+        known = cut(overrides.select(*SNAP, "key", "semantic_hash").join(own.select(*SNAP, "key", "id"), [*SNAP, "key"], "left"))
+        done, news = known.drop("id"), send(known)
+        told, waits = told.unionByName(news), less(waits, news)
+    waits, open_ = cut_and_count(waits, F.col("n") > 0)
     while True:
-        next_ = waits.filter("n = 0").select(*SNAP, "component")
-        ready = todo.join(next_, [*SNAP, "component"], "left_semi")
-        lists = told.join(next_, [*SNAP, "component"], "left_semi").groupBy(*SNAP, "key").agg(F.array_join(F.array_sort(F.collect_list("part")), "").alias("kids"))
-        local = ready.join(lists, [*SNAP, "key"], "left").withColumn("local", F.sha2(_framed(F.col("content"), F.coalesce("kids", F.lit(""))), 256))
-        loops = local.filter("loop").groupBy(*SNAP, "component").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_framed(F.col("key"), F.col("local")))), ""), 256).alias("digest"))
-        new = local.join(loops, [*SNAP, "component"], "left")
-        new = cut(new.select(*SNAP, "key", F.when(F.col("loop"), F.sha2(_framed(F.col("local"), F.col("digest")), 256)).otherwise(F.col("local")).alias("semantic_hash")))
-        done = new if done is None else done.unionByName(new)
-        left = waits.filter("n > 0")
-        if left.isEmpty():
+        next_ = waits.filter("n = 0").select("c")
+        ready = todo.join(next_, "c", "left_semi")
+        lists = told.join(next_, "c", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("part")), "").alias("kids"))
+        local = ready.join(lists, "id", "left").withColumn("local", F.sha2(_framed(F.col("content"), F.coalesce("kids", F.lit(""))), 256))
+        loops = local.filter("loop").groupBy("c").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_framed(F.col("key"), F.col("local")))), ""), 256).alias("digest"))
+        new = local.join(loops, "c", "left")
+        new = cut(new.select(*SNAP, "key", "id", F.when(F.col("loop"), F.sha2(_framed(F.col("local"), F.col("digest")), 256)).otherwise(F.col("local")).alias("semantic_hash")))
+        done = new.drop("id") if done is None else done.unionByName(new.drop("id"))
+        if not open_:
             return done
         news = send(new)
         told = told.unionByName(news)
-        waits = cut(_less(left, news))
-
-
-def _less(waits: DataFrame, news: DataFrame) -> DataFrame:
-    """What components (SNAP, component, n) still wait for once the messages of news have come."""
-    came = news.groupBy(*SNAP, "component").agg(F.count(F.lit(1)).alias("c"))
-    return waits.join(came, [*SNAP, "component"], "left").select(*SNAP, "component", (F.col("n") - F.coalesce("c", F.lit(0))).alias("n"))
+        waits, open_ = cut_and_count(less(waits.filter("n > 0"), news), F.col("n") > 0)
 
 
 def snapshot_root(nodes: DataFrame, hash_col: str = "semantic_hash") -> DataFrame:
