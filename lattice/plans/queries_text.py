@@ -297,7 +297,10 @@ def q5_route(spark, sf_dir):
 
 
 LEX = f"""tk AS (SELECT qid, list_distinct({TOKENS('question')}) AS t FROM qn),
-  lx AS (SELECT qid, key, h, n, nm FROM (SELECT k.qid, d.key, len(k.t) AS n, len(list_filter(k.t, lambda w: contains(lower(concat_ws(' ', d.symbol, d.path, d.content)), w))) AS h, len(list_filter(k.t, lambda w: contains(lower(d.symbol), w) OR contains(lower(d.path), w))) > 0 AS nm FROM tk k JOIN c d ON len(k.t) > 0) z WHERE h > 0),
+  cl AS MATERIALIZED (SELECT key, lower(concat_ws(' ', symbol, path, content)) AS body, lower(concat_ws(chr(10), symbol, path)) AS names FROM c),
+  tt AS MATERIALIZED (SELECT DISTINCT unnest(t) AS w FROM tk),
+  ht AS MATERIALIZED (SELECT w, key, contains(names, w) AS nm FROM tt JOIN cl ON contains(body, w)),
+  lx AS (SELECT u.qid, ht.key, any_value(u.n) AS n, count(*) AS h, bool_or(ht.nm) AS nm FROM (SELECT qid, len(t) AS n, unnest(t) AS w FROM tk) u JOIN ht ON ht.w = u.w GROUP BY u.qid, ht.key),
   sc AS (SELECT qid, key, CASE WHEN nm THEN least(1.0, CAST(h AS DOUBLE) / n + 0.1) ELSE CAST(h AS DOUBLE) / n END AS score FROM lx)"""
 CORPUS = "c AS (SELECT CAST(doc_id AS VARCHAR(20)) AS key, source AS symbol, lang AS path, text AS content FROM documents)"
 
