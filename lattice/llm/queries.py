@@ -6,10 +6,10 @@ import os
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import bpe, chat, html, language, mixing, setsketch, spotsigs, tokencount, urls, vectors
+from lattice.llm import anchors, bpe, chat, html, language, mixing, periods, setsketch, spotsigs, tokencount, trie, urls, vectors
 from lattice.llm.common import read, shared_dir
 
 #: Folder of the tokenizer files, and the rank file in it.
@@ -179,9 +179,96 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv, pos, role, text): each conversation c with its first h = crc32(c) % 4 turns taken from conversation c - c % 20.
+    A row without a pos names each conversation."""
+    own = trie.placed(turns)
+    h = F.crc32(F.col("conv").cast("string")) % 4
+    convs = own.select("conv").distinct()
+    heads = own.filter("conv % 20 = 0 and pos <= 3").withColumnRenamed("conv", "base")
+    begun = convs.withColumns({"base": F.col("conv") - F.col("conv") % 20, "h": h}).join(heads, "base").filter("pos <= h").select("conv", "pos", "role", "text")
+    named = convs.select("conv", F.lit(None).cast("int").alias("pos"), F.lit("").alias("role"), F.lit("").alias("text"))
+    return begun.unionByName(own.filter(F.col("pos") > h)).unionByName(named)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt(read(spark, sf_dir, "conversations")))
+
+
+#: Prefixes as lists; the checksum bit by bit.
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(c AS VARCHAR), i, 1))),
+      lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT CAST(c AS BIGINT) AS c FROM t)),
+r AS (
+  SELECT k.c, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
+  UNION ALL SELECT k.c, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, sha256(concat(length(role), ':', role, text)) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+p AS (SELECT c, d, w, sha256(string_agg(key, '' ) OVER (PARTITION BY c ORDER BY d)) AS p FROM n UNION ALL SELECT c, 0, 0, 'root' FROM k),
+g AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved FROM p GROUP BY p, d),
+u AS (SELECT DISTINCT a.p AS p, b.p AS parent FROM p a JOIN p b ON a.c = b.c AND b.d = a.d - 1),
+kids AS (SELECT parent AS p, count(*) AS n FROM u GROUP BY 1),
+s AS (SELECT DISTINCT a.p AS p, b.p AS below FROM p a JOIN p b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT s.p, sum(g.saved) AS saved, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves FROM s JOIN g ON g.p = s.below LEFT JOIN kids ON kids.p = s.below GROUP BY s.p),
+e AS (SELECT p.p, sha256(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c)) AS h FROM p JOIN (SELECT c, max(d) AS d FROM p GROUP BY c) m ON m.c = p.c AND m.d = p.d GROUP BY p.p)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, g.n_convs, coalesce(kids.n, 0) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves,
+  CAST(sums.saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM g JOIN sums ON sums.p = g.p LEFT JOIN kids ON kids.p = g.p LEFT JOIN u ON u.p = g.p LEFT JOIN g q ON q.p = u.parent LEFT JOIN e ON e.p = g.p
+"""
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) % 10 is 0, each word i >= a is word a + (i - a) % p of the text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n, g = F.size("w").cast("long"), F.expr("h div 10")
+    docs = docs.select("doc_id", text.alias("text"), h.alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, _words(F.col("text"))))
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.expr("1 + (size(w) - a) div (3 + h div 10 % 8)"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    edited = F.array_join(F.transform(places, lambda j: F.get(F.col("w"), j.cast("int"))), " ")
+    return docs.select("doc_id", F.when(F.col("p").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_digest(with_periods(read(spark, sf_dir, "documents")))
+
+
+def period_digest(docs: DataFrame) -> DataFrame:
+    best = periods.strongest(F.col("runs"))
+    out = periods.periodic_runs(docs).withColumn("best", best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read(spark, sf_dir, "documents"))
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    found = anchors.find(docs)
+    base = F.filter("spans", lambda s: s["kind"].isin(*anchors.BASE))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in anchors.BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_byte_bpe": op2_byte_bpe, "op3_spotsigs": op3_spotsigs, "op4_urls": op4_urls, "op5_setsketch": op5_setsketch,
     "op6_chat_tree": op6_chat_tree, "op7_language": op7_language, "op8_vectors": op8_vectors, "op9_separator_scan": op9_separator_scan, "op10_html": op10_html,
+    "op11_prefix_trie": op11_prefix_trie, "op12_periodic_runs": op12_periodic_runs, "op13_personal_data": op13_personal_data,
     "spotsigs_near_duplicates": spotsigs_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op6_chat_tree": OP6, "op8_vectors": OP8}
+ORACLES: dict[str, str] = {"op4_urls": OP4, "op5_setsketch": OP5, "op6_chat_tree": OP6, "op8_vectors": OP8, "op11_prefix_trie": OP11}
