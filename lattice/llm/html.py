@@ -2,8 +2,10 @@
 
 A tree builder keeps the stack of open elements; start tags close what they imply (a block closes an open paragraph, an
 item its sibling, a cell or row the one before), end tags close what is open inside. Elements that are not shown are
-left out: head, scripts, styles and the like, dialogs that are not open, and anything hidden by attribute or inline
-style. They stand on the same stack, so that what ends a shown element ends them too; a head also ends at the first text
+left out: head, scripts, styles and the like, what stands in place of scripts, objects and media that a browser would run,
+dialogs that are not open, and anything with the attribute hidden or with display:none in its own style. Attributes are
+read as names and values, so a word inside a value hides nothing, nor does aria-hidden, which speaks to readers aloud
+only; buttons made by input show their value. They stand on the same stack, so that what ends a shown element ends them too; a head also ends at the first text
 or element that is none of its own. Under visibility:hidden text is left out but keeps its place, up to an element that is
 visible again. Rules of style sheets are not applied. Visible text is emitted as laid out: inline white space collapses,
 blocks stand on lines of their own with blank lines around paragraphs and headings, list items get a bullet or their
@@ -12,13 +14,15 @@ to aligned columns, which cells may span; wide characters count as two.
 
 Defined cases: null or empty html gives empty text; markup that never closes is closed at the end; a `<` that starts no
 tag is text; nesting may be of any depth (no recursion) and attributes of any length. A quoted value that never closes
-ends with its tag, at the next `>`; a tag cut off by the page's end inside a quoted value is closed there. Whole pages are rendered.
+ends with its tag, at the next `>`; a tag cut off by the page's end inside a quoted value is closed there. Whole pages are rendered. Indentation and padding are
+bounded (INDENT, PAD, LINE), so the text is in proportion to the page.
 Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -54,14 +58,38 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:
 _PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?)""", re.S)
 _OPENED = re.compile(r"""=\s*["']""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["']?[^"']*(?:display\s*:\s*none)""", re.I)
-_VISIBILITY = re.compile(r"""style\s*=\s*["']?[^"']*\bvisibility\s*:\s*(hidden|collapse|visible)""", re.I)
-_OPEN = re.compile(r"""(?:^|\s)open(?:\s|=|/|$)""", re.I)
-_SPAN = re.compile(r"""(?:^|[\s/"'])(col|row)span\s*=\s*["']?\s*(\d{1,9})""", re.I)
+_PAIR = re.compile(r"""([^\s"'>/=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+|["'/=]""")
+_DECLARED = re.compile(r"""(?:^|[;{])\s*([a-z-]+)\s*:\s*([a-z-]+)""")
+_QUOTES = re.compile(r"""\([^()]*\)|"[^"]*"|'[^']*'|/\*.*?\*/""", re.S)
 #: The greatest spans that HTML has (fixed values).
 MOST_SPAN = {"col": 1000, "row": 65534}
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by name, the first of each name; entities are resolved."""
+    out: dict[str, str] = {}
+    for m in _PAIR.finditer(raw):
+        if m[1]:
+            value = m[2] or m[3] or m[4] or ""
+            out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+def _declared(style: str) -> dict[str, str]:
+    """Keyword of each property of an inline style, the last of each; quoted text and arguments are not looked at."""
+    return dict(_DECLARED.findall(_QUOTES.sub("", style).lower()))
+
+
+def _number(text: str | None) -> int | None:
+    m = re.match(r"\s*(-?[0-9]{1,9})", text or "")
+    return int(m[1]) if m else None
+
+
+#: Indentation stops to grow at so many columns. A table's line is aligned if its cells stand within LINE columns or
+#: within PAD times their text.
+INDENT, PAD, LINE = 64, 8, 256
+
+
 class _Out:
     """Lines of text under construction."""
 
@@ -100,38 +128,48 @@ def _width(text: str) -> int:
 
 def _table(rows: list[list[tuple]]) -> list[str]:
     """Rows of cells (text, columns, rows that it spans) as lines with aligned columns; a cell of several lines takes as
-    many, and stands in the first row that it spans."""
-    placed, width, taken = [], [], {}  # taken: column to the rows below that a cell above still covers
+    many, and stands in the first row that it spans. A column in which no cell starts has no width. A line whose cells
+    would stand more than PAD times their own text apart, and LINE columns, is not aligned."""
+    placed, above = [], []  # above: (first column, end, rows left) of cells that still cover columns, in order
     for row in rows:
-        at, line = 0, []
-        free = {c: n for c, n in taken.items() if n}
-        taken = {c: n - 1 for c, n in free.items()}
+        at, line, k, new = 0, [], 0, []
         for text, span, down in row:
-            while at in free:
-                at += 1
-            line.append((at, span, text.split("\n")))
+            while k < len(above) and above[k][0] <= at:
+                at = max(at, above[k][1])
+                k += 1
+            line.append((at, at + span, text.split("\n")))
             if down > 1:
-                taken |= dict.fromkeys(range(at, at + span), down - 1)
+                new.append((at, at + span, down))
             at += span
-        width += [0] * (at - len(width))
+        above = sorted((s, e, n - 1) for s, e, n in above + new if n > 1)
         placed.append(line)
+    starts = sorted({at for line in placed for at, _, _ in line})
+    width = [0] * len(starts)
+    place = {at: i for i, at in enumerate(starts)}
+    covers = lambda at, end: (place[at], bisect_left(starts, end))
+    wide = []
     for line in placed:
-        for at, span, lines in line:
-            if span == 1:
-                width[at] = max(width[at], *map(_width, lines))
-    for line in placed:
-        for at, span, lines in line:
-            if span > 1:  # what does not fit widens its last column
-                width[at + span - 1] += max(0, max(map(_width, lines)) - sum(width[at : at + span]) - 2 * (span - 1))
+        for at, end, lines in line:
+            i, j = covers(at, end)
+            if j - i == 1:
+                width[i] = max(width[i], *map(_width, lines))
+            else:
+                wide.append((i, j, lines))
+    for i, j, lines in wide:  # what does not fit widens its last column
+        width[j - 1] += max(0, max(map(_width, lines)) - sum(width[i:j]) - 2 * (j - i - 1))
     start = [0, *accumulate(w + 2 for w in width)]
     out = []
     for line in placed:
         for k in range(max((len(c) for _, _, c in line), default=0)):
+            cells = [(start[place[at]], c[k]) for at, _, c in line if k < len(c) and c[k]]
+            own = sum(_width(c) for _, c in cells)
+            if cells and cells[-1][0] > max(LINE, PAD * own):
+                out.append("  ".join(c for _, c in cells).rstrip())
+                continue
             text, used = [], 0
-            for at, _, lines in line:
-                if k < len(lines) and lines[k]:
-                    text.append(" " * (start[at] - used) + lines[k])
-                    used = start[at] + _width(lines[k])
+            for at, c in cells:
+                text.append(" " * (at - used) + c)
+                used = at + _width(c)
             out.append("".join(text).rstrip())
     return out
 
@@ -209,6 +247,10 @@ def render(html: str | None) -> str:
         found = nearest(wanted)
         return found if found >= 0 and found >= nearest(limit) else -1
 
+    def hides(have: dict[str, str] | str) -> bool:
+        have = _attributes(have) if isinstance(have, str) else have
+        return "hidden" in have or "style" in have and _declared(have["style"]).get("display") == "none"
+
     end, pattern = len(html), _TAG
     while at < end:
         m = pattern.search(html, at)
@@ -234,7 +276,7 @@ def render(html: str | None) -> str:
         if not closing and tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
             raw, at = html[at : stop.start() if stop else end], stop.end() if stop else end
-            if tag in ("xmp", "textarea") and not unseen and not _HIDDEN.search(m[3]):
+            if tag in ("xmp", "textarea") and not unseen and not hides(m[3]):
                 outs[-1].block(0)
                 pre += 1
                 emit(raw if tag == "xmp" else unescape(raw))
@@ -250,7 +292,8 @@ def render(html: str | None) -> str:
             while k >= 0 and len(stack) > k:
                 close()
             continue
-        own = tag in UNSEEN or bool(m[3] and _HIDDEN.search(m[3])) or tag == "dialog" and not _OPEN.search(m[3])
+        have = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
+        own = tag in UNSEEN or bool(have) and hides(have) or tag == "dialog" and "open" not in have
         if m[3].endswith("/") and (own and not unseen or tag in ("svg", "math") or places.get("svg") or places.get("math")):
             continue
         if tag in ("head", "html") and unseen:
@@ -258,6 +301,9 @@ def render(html: str | None) -> str:
         if (tag in BLOCK or tag in ("dialog", "hr")) and (k := open_until({"p"}, _SCOPE)) >= 0:
             while len(stack) > k:
                 close()
+        if tag == "input" and not unseen and not (have and hides(have)) and have.get("type", "").strip().lower() in ("submit", "reset", "button"):
+            emit(have.get("value", ""))
+            continue
         if tag in VOID and (own or unseen):
             continue
         if tag == "br":
@@ -268,8 +314,8 @@ def render(html: str | None) -> str:
         if tag in VOID:
             if tag == "hr":
                 outs[-1].block(1)
-            elif tag == "img" and (alt := re.search(r"""(?:^|[\s/"'])alt\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[3], re.I)):
-                emit(unescape(alt[1] or alt[2] or ""))
+            elif tag == "img":
+                emit(have.get("alt", ""))
             continue
         if tag in CLOSES and (k := open_until(*CLOSES[tag])) >= 0:
             while len(stack) > k:
@@ -280,22 +326,22 @@ def render(html: str | None) -> str:
             push("tr", lead, [], unseen > 0, visible)
         extra, before, was_visible = None, lead, visible
         gone = own or unseen > 0
-        if m[3] and (veil := _VISIBILITY.search(m[3])):
-            visible = veil[1].lower() == "visible"
+        if "style" in have and (veil := _declared(have["style"]).get("visibility")) in ("hidden", "collapse", "visible"):
+            visible = veil == "visible"
         if gone:
             pass
         elif tag in ("td", "th"):
             outs.append(_Out())
-            lead, spans = "", dict.fromkeys(MOST_SPAN, 1) | {k.lower(): int(n) for k, n in _SPAN.findall(m[3])}
-            extra = [max(1, min(spans[k], most)) for k, most in MOST_SPAN.items()]
+            lead = ""
+            extra = [max(1, min(_number(have.get(f"{k}span")) or 1, most)) for k, most in MOST_SPAN.items()]
         elif tag in ("table", "tr"):
             if tag == "table":
                 outs[-1].block(1)
             extra = []
         elif tag in ("ul", "ol"):
             outs[-1].block(0 if lists else 1)
-            start = re.search(r"""(?:^|[\s/"'])start\s*=\s*["']?(-?\d{1,9})""", m[3])
-            lists.append([int(start[1]) if start else 1] if tag == "ol" else [None])
+            start = _number(have.get("start"))
+            lists.append([1 if start is None else start] if tag == "ol" else [None])
         elif tag == "li":
             outs[-1].block(0)
             mark = "- "
@@ -304,14 +350,14 @@ def render(html: str | None) -> str:
                 lists[-1][0] += 1
             if visible:
                 outs[-1].put(mark, lead)
-            lead += " " * len(mark)
+            lead += " " * len(mark) if len(lead) < INDENT else ""
         elif tag in BLOCK:
             if not (stack and stack[-1][0] == "li" and outs[-1].line and outs[-1].line[-1][-2:] in ("- ", ". ")):
                 outs[-1].block(1 if tag in PARAGRAPH else 0)
             if tag == "pre":
                 pre += 1
             elif tag in ("blockquote", "dd"):
-                lead += "    " if tag == "dd" else "> "
+                lead += "" if len(lead) >= INDENT else "    " if tag == "dd" else "> "
         push(tag, before, extra, gone, was_visible)
     while stack:
         close()

@@ -8,7 +8,7 @@ def test_layout():
     page = """<html><head><title>no</title><style>p{}</style></head><body>
     <h1>Head  line</h1><p>One <b>two</b>
     three<p>Four<br>five &amp; six<ul><li>a<li>b<ol start=3><li>x</li><li>y</ol><li>c</ul>
-    <div hidden>gone</div><div style="display: none">gone<div>gone</div></div><span aria-hidden="true">gone</span>
+    <div hidden>gone</div><div style="display: none">gone<div>gone</div></div><span style="color:red; DISPLAY : none">gone</span>
     <pre>  keep
      this</pre><table><tr><th>Name<th>N<tr><td>Alpha beta<td>1<tr><td>C<td>22</table><script>var t="</p>";</script>tail</body></html>"""
     assert H.render(page).split("\n") == [
@@ -184,3 +184,30 @@ def test_query(spark):
 
     rows = op10_html(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 50 and all(r.n_chars > 20 and "<p>" not in r.text and "track(" not in r.text for r in rows)
+
+
+def test_words_inside_values_hide_nothing():
+    for shown in (
+        '<div class="menu hidden md:flex"><p>seen</p></div>', '<p title="the hidden door">seen</p>', '<p data-style="display:none">seen</p>', '<p style="background:url(display:none)">seen</p>',
+        "<p style='content:\"; display:none\"'>seen</p>", '<p aria-hidden="true">seen</p>', '<p data-hidden=1>seen</p>', '<p style="display:none;display:block">seen</p>', "<p x='style=display:none'>seen</p>",
+        '<p style="background: url(\'a;visibility:hidden\')">seen</p>', '<dialog title="no" open>seen</dialog>', '<input type=submit value="seen">', "<input value='seen' type='BUTTON'>", '<img title="alt=no" alt=seen>',
+    ):
+        assert H.render(shown) == "seen", shown
+    for gone in (
+        '<dialog title="an open door">no</dialog>', '<p hidden="">no</p>', "<p HIDDEN=until-found>no</p>", '<p title=x style = "color:red;display:none">no</p>', "<p style=display:none>no</p>", '<p style="display:&#110;one">no</p>',
+        '<input type=submit value=no hidden>', '<input type=text value=no>', "<input value=no>", '<p class="open" hidden>no</p>', '<p style="/* ; */ display : none !important">no</p>',
+    ):
+        assert H.render(gone) == "", gone
+    assert H.render('<ol data-start=7 start="3"><li>a</ol>') == "3. a"
+    assert H.render("<table><tr><td data-colspan=9>a<td>b</table>") == "a  b"
+
+
+def test_output_is_in_proportion_to_the_page():
+    began = time.time()
+    for page in (
+        "<ul><li>" * 20_000, "<blockquote>a" * 20_000, "<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 300 + "</table>", "<table><tr>" + "<td colspan=1000>x" * 20_000 + "</table>",
+        "<table><tr><td>" + "y" * 2_000 + "<td>z" + "<tr><td>a<td>b" * 20_000 + "</table>", "<table>" + "".join("<tr>" + "<td>" * i + "x" for i in range(500)) + "</table>",
+    ):
+        assert len(H.render(page)) < 80 * len(page) + 10_000
+    assert time.time() - began < 30
+    assert H.render("<table><tr><td>" + "y" * 2_000 + "<td>z<tr><td>a<td>b</table>").endswith("z\na  b")
