@@ -13,10 +13,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lattice-"))
     return _LOCAL[0]
@@ -31,9 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> str:
-    """Write df as a table bucketed by key, so that joins on it move the other side only; returns the table's name."""
+    """Write df to the shared folder as a table bucketed by key, so that joins on it move the other side only; returns the table's name."""
     n, table = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"lattice_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", f"{shared_dir(df.sparkSession)}/lattice/{table}").saveAsTable(table)
     return table
 
 

@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 
 DIM, GRAM, TRAIN, MAX_LANGUAGES = 512, 3, 20_000, 1_000
 UNKNOWN = "und"
+#: known() rejects a text of LEAST_LETTERS letters or more whose cosine to every prototype is below LEAST_SCORE. Vectors
+#: of DIM that have nothing in common reach 0.13 in one of a thousand pairs; shorter texts say too little to be judged.
+LEAST_SCORE, LEAST_LETTERS = 0.1, 20
 #: Characters, and texts, whose n-grams are counted at once; rows that are handled at once.
 PIECE, GROUP, ROWS = 100_000, 100, 500
 
@@ -164,10 +167,13 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     return out.select(*(F.col("kept").getField(c).alias(c) for c in stay), "lang_pred", "score")
 
 
-def known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns as they are, whose text is in some language: it has a letter."""
-    out = _predicted(df, prototypes, text_col, tuple(df.columns)).filter(F.col("lang_pred") != UNKNOWN)
-    return out.select(*(F.col("kept").getField(c).alias(c) for c in df.columns))
+def known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = LEAST_SCORE, letters: int = LEAST_LETTERS) -> DataFrame:
+    """The rows of df, with all their columns as they are, whose text is in some learned language: it has a letter and is
+    like a prototype, or too short to tell."""
+    rows = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)), F.length(F.regexp_replace(F.col(text_col).cast("string"), r"\P{L}+", "")).alias("letters"), F.col(text_col).alias("judged"))
+    out = _predicted(rows, prototypes, "judged", tuple(rows.columns[:-1]))
+    out = out.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | (F.col("kept.letters") < letters)))
+    return out.select(*(F.col("kept").getField(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

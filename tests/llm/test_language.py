@@ -71,3 +71,12 @@ def test_kept_columns_of_any_name(spark):
     out = L.known(df, protos)
     assert out.schema == df.schema and out.collect() == [df.first()]
     assert L.predict(df, protos, keep=tuple(df.columns)).columns == ["doc_id", "text", "_text", "kept", "lang_pred", "score"]
+
+
+def test_known_follows_the_prototypes(spark):
+    text = {"en": "the cat sat on the mat and looked at the other cats in the house", "ru": "кошка сидела на коврике и смотрела на других кошек в доме"}
+    df = spark.createDataFrame([(1, text["en"]), (2, text["ru"]), (3, "кот"), (4, None), (5, "the cats sat in the house and looked on")], "doc_id long, text string")
+    protos = {k: L.train(spark.createDataFrame([(1, t, k)], "doc_id long, text string, lang string")) for k, t in text.items()}
+    ids = lambda p, **k: [r.doc_id for r in L.known(df, p, **k).collect()]
+    assert ids(protos["en"]) == [1, 3, 5] and ids(protos["ru"]) == [2, 3] and ids(protos["en"] | protos["ru"]) == [1, 2, 3, 5]
+    assert ids(protos["en"], letters=1) == [1, 5] and ids({}) == []

@@ -1,11 +1,12 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as P
-from lattice.llm import bpe
+from lattice.llm import bpe, language
 from lattice.llm.common import written
 from lattice.llm.queries import RANKS
 from tests.llm.test_setsketch import brute
@@ -14,17 +15,24 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_against_brute_force(spark):
-    odd = [(-1, None), (-2, ""), (-3, "12 34 !"), (-4, "one lone word"), (-5, "one lone word")]
+    odd = [(-1, None), (-2, ""), (-3, "12 34 !"), (-4, "one lone word"), (-5, "one lone word"), (-6, "это совсем другой язык и другая азбука")]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in odd], docs.schema)
     rows = written(docs.unionByName(extra), "in")
     texts = {r.doc_id: r.text for r in rows.collect()}
+    learned = docs
     done = {}
     for name, stage in P.STAGES:
         rows = done[name] = written(stage(spark, rows, SF), name)
     assert done["language_id"].columns == done["near_dedup"].columns == done["mixing"].columns == docs.columns
 
-    known = {i for i, t in texts.items() if any(c.isalpha() for c in t or "")}
+    prototypes = language.train(learned.unionByName(extra).filter(~language.held_out()))
+    names = sorted(prototypes)
+    like = (language.profiles([texts[i] for i in sorted(texts)]) @ np.array([prototypes[k] for k in names]).T).max(axis=1)
+    count = {i: sum(c.isalpha() for c in t or "") for i, t in texts.items()}
+    known = {i for i, score in zip(sorted(texts), like) if count[i] and (score >= language.LEAST_SCORE or count[i] < language.LEAST_LETTERS)}
+    assert -6 not in known and {-4, -5} <= known  # another alphabet goes, a few words stay
+    assert len([i for i in texts if i >= 0]) - len([i for i in known if i >= 0]) < 5
     assert {r.doc_id for r in done["language_id"].select("doc_id").collect()} == known
     groups = brute([(i, texts[i]) for i in sorted(known)])
     kept = {i for i, (_, _, k) in groups.items() if k}
