@@ -27,8 +27,8 @@ def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no text, or text without a letter. All other rows stay, repeated rows
-    and rows without an id included."""
+    """Drops documents that language ID rejects: no letter, or unlike every learned language (language.LEAST_SCORE) though
+    long enough to tell (language.LEAST_LETTERS). All other rows stay, repeated rows and rows without an id included."""
     prototypes = language.train(docs.filter(~language.held_out()))
     return language.known(docs, prototypes)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattice.functions.tables import cut, cut_and_count
+from lattice.functions.tables import Pile, cut, cut_and_count
 from lattice.operators import quality
 
 SNAP = ["repo", "commit_sha"]
+#: Edges of a graph that tasks may solve in memory, in all.
+SMALL = 100_000
 PENDING, RULE_BASED = "// analysis pending", "rule-based"
 
 
@@ -59,37 +64,158 @@ def _least_reached(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def _components(pairs: DataFrame) -> DataFrame:
-    """(id, c) of the nodes whose strongly connected component has several, c naming it. pairs: (src, dst) of whole numbers.
+def _trimmed(left: DataFrame, now: int) -> tuple[DataFrame, int]:
+    """Edges (g, src, dst) without the nodes that have no way in or no way out, taken away round by round as long as it
+    pays; what stays costs time, not results."""
+    before = None
+    while now > SMALL and (before is None or now < 0.95 * before):
+        before = now
+        left, now = cut_and_count(left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("g", "src", "dst"))
+    return left, now
+
+
+def _chains(left: DataFrame) -> tuple[DataFrame, int, DataFrame, DataFrame] | None:
+    """Shortcuts over nodes with one way in and one way out, or None if few edges join two of them.
+
+    (edges, their number, chains (id, start, stop), rings (id, c)): pointers ahead and back double their reach each
+    round, so a chain of n nodes takes log n rounds. It becomes an edge from the node before to the node after; nodes
+    whose pointers never leave the chain form a ring, named by its least node."""
+    out = left.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("ahead")).filter("n = 1").select(F.col("src").alias("id"), "ahead")
+    back = left.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("back")).filter("n = 1").select(F.col("dst").alias("id"), "back")
+    links, n = cut_and_count(out.join(back, "id").withColumn("low", F.col("id")))
+    ids = links.select("id")
+    inner = left.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").count() if n else 0
+    if inner < 0.2 * left.count():
+        return None
+    reach, now = 1, links
+    while True:
+        far = now.select(F.col("id").alias("ahead"), F.col("ahead").alias("a2"), F.col("low").alias("l2"))
+        near = now.select(F.col("id").alias("back"), F.col("back").alias("b2"))
+        step = now.join(far, "ahead", "left").join(near, "back", "left")
+        step = step.select("id", F.coalesce("a2", "ahead").alias("ahead"), F.coalesce("b2", "back").alias("back"), F.least("low", "l2").alias("low"), (F.col("a2").isNotNull() | F.col("b2").isNotNull()).alias("on"))
+        now, on = cut_and_count(step, F.col("on"))
+        now, reach = now.drop("on"), 2 * reach
+        if not on or reach > 2 * n:
+            break
+    free = now.join(ids.withColumnRenamed("id", "ahead"), "ahead", "left_anti")
+    chains = cut(free.select("id", F.col("back").alias("start"), F.col("ahead").alias("stop")))
+    rings = cut(now.join(ids.withColumnRenamed("id", "ahead"), "ahead", "left_semi").select("id", F.col("low").alias("c")))
+    group = left.select(F.col("src").alias("start"), "g").distinct()
+    rest = left.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    short = chains.filter("start != stop").select("start", "stop").distinct().join(group, "start").select("g", F.col("start").alias("src"), F.col("stop").alias("dst"))
+    return *cut_and_count(rest.unionByName(short).distinct()), chains, rings
+
+
+def _around_hubs(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (id, c), edges that are left): in each group the component of its best connected node, by a search ahead
+    and a search back that go together; of the rest only edges between nodes that both searches saw alike can lie in a
+    component. When few nodes are left to go on from, all in groups of SMALL edges together, these groups are left as
+    they are."""
+    degree = left.groupBy("g", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o")).join(left.groupBy("g", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i")), ["g", "id"])
+    hubs = cut(degree.groupBy("g").agg(F.max(F.struct(F.least("o", "i").alias("d"), "id")).alias("m")).select("g", F.col("m.id").alias("c")))
+    ends = cut(left.select(F.lit(0).alias("way"), F.col("src").alias("at"), F.col("dst").alias("next")).unionByName(left.select(F.lit(1).alias("way"), F.col("dst").alias("at"), F.col("src").alias("next"))))
+    front = cut(hubs.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("c").alias("id"), "c"))
+    seen = Pile(front)
+    while True:
+        step = front.withColumnRenamed("id", "at").join(ends, ["way", "at"]).select("way", F.col("next").alias("id"), "c").distinct()
+        front, n = cut_and_count(step.join(seen.all(), ["way", "id"], "left_anti"))
+        if not n:
+            break
+        seen.add(front)
+        if n <= SMALL // 50 and left.join(hubs.join(front.select("c").distinct(), "c", "left_semi"), "g", "left_semi").count() <= SMALL:
+            break
+    over = seen.all().join(front.select("c").distinct(), "c", "left_anti")
+    ways = cut(over.groupBy("id").agg(F.sum(F.col("way") + 1).alias("ways"), F.max("c").alias("c")))
+    both = cut(ways.filter("ways = 3").select("id", "c"))
+    alike = lambda end, name: ways.select(F.col("id").alias(end), F.col("ways").alias(name))
+    rest = left.join(alike("src", "ws"), "src", "left").join(alike("dst", "wd"), "dst", "left").filter("coalesce(ws, 0) = coalesce(wd, 0) and coalesce(ws, 0) != 3")
+    return both, rest.select("g", "src", "dst")
+
+
+def _in_tasks(left: DataFrame) -> DataFrame:
+    """(id, c) of components with several nodes, each group (g, src, dst) of edges in one task: for few edges, counted."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        ahead: dict[int, list[int]] = {}
+        back: dict[int, list[int]] = {}
+        for a, b in zip(frame["src"].tolist(), frame["dst"].tolist()):
+            ahead.setdefault(a, []).append(b)
+            back.setdefault(b, []).append(a)
+        ended, seen = [], set()  # nodes by the time at which a walk ahead leaves them
+        for root in ahead:
+            walk = [] if root in seen else [(root, iter(ahead[root]))]
+            seen.add(root)
+            while walk:
+                to = next((x for x in walk[-1][1] if x not in seen), None)
+                if to is None:
+                    ended.append(walk.pop()[0])
+                else:
+                    seen.add(to)
+                    walk.append((to, iter(ahead.get(to, ()))))
+        rows, placed = [], set()
+        for root in reversed(ended):  # what reaches a root back among the nodes not placed yet is its component
+            mine = [] if root in placed else [root]
+            placed.add(root)
+            for x in mine:
+                for y in back.get(x, ()):
+                    if y not in placed:
+                        placed.add(y)
+                        mine.append(y)
+            rows += [(x, root) for x in mine if len(mine) > 1]
+        return pd.DataFrame(rows, columns=["id", "c"]).astype("int64")
+
+    return left.groupBy("g").applyInPandas(solve, "id long, c long")
+
 
-    Trimming first takes away what cannot be on a cycle. Then, round by round, each node takes the least label that
-    reaches it forward; inside a label the nodes that reach the label's own node backward are its component, leave, and
-    the rest goes on. Each round finishes at least one component per label.
+def _components(pairs: DataFrame) -> DataFrame:
+    """(id, c) of the nodes whose strongly connected component has several, c naming it. pairs: (g, src, dst), whole
+    numbers; no edge leaves its group g.
+
+    Trimming first takes away what cannot be on a cycle; chains are cut short, with rounds in the logarithm of their
+    length; then each group's best connected node takes its component away, mostly the one large one. What is left goes
+    by colours: each node takes the least label that reaches it; inside a label the nodes that reach the label's own node
+    are its component. Each round finishes at least one component per label. Once no more than SMALL edges are left, tasks
+    finish the groups.
     """
-    (left, now), done = cut_and_count(pairs.filter("src != dst").distinct()), None
-    while True:
-        before = None
-        while now and (before is None or now < 0.99 * before):  # trim as long as it pays; what stays costs rounds, not results
-            before = now
-            left, now = cut_and_count(left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        if not now:
-            return left.select(F.col("src").alias("id"), F.col("dst").alias("c")) if done is None else done
+    left, now = _trimmed(*cut_and_count(pairs.filter("src != dst").distinct()))
+    done = Pile(cut(left.limit(0).select(F.col("src").alias("id"), F.col("dst").alias("c"))))
+    short = _chains(left) if now > SMALL else None
+    if short:
+        left, now, chains, rings = short
+        done.add(rings)
+        left, now = _trimmed(left, now)
+    if now > SMALL:
+        found, rest = _around_hubs(left)
+        done.add(found)
+        left, now = _trimmed(*cut_and_count(rest))
+    while now:
+        if now <= SMALL:
+            done.add(cut(_in_tasks(left)))
+            break
         forward = _least_reached(left, left.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-        colour = lambda c, name: forward.select(F.col("id").alias(c), F.col("label").alias(name))
+        colour = lambda c, name: forward.select(F.col("id").alias(c), F.col("label").alias(name))  # noqa: E731, B023
         same = cut(left.join(colour("src", "c"), "src").join(colour("dst", "d"), "dst").filter("c = d").select("src", "dst"))
         # backward from the label's own node, inside the colour
-        reached = front = cut(forward.filter("id = label").select("id", F.col("label").alias("c")))
+        front = cut(forward.filter("id = label").select("id", F.col("label").alias("c")))
+        reached = Pile(front)
         while True:
             step = same.join(front.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
-            front, n = cut_and_count(step.join(reached, "id", "left_anti"))
+            front, n = cut_and_count(step.join(reached.all(), "id", "left_anti"))
             if not n:
                 break
-            reached = reached.unionByName(front)
-        reached = cut(reached)
-        several = reached.join(reached.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "c", "left_semi").select("id", "c")
-        done = several if done is None else done.unionByName(several)
-        out = reached.select(F.col("id").alias("src"))
-        left, now = cut_and_count(left.join(out, "src", "left_anti").join(out.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+            reached.add(front)
+        found = cut(reached.all())
+        done.add(found)
+        out = found.select(F.col("id").alias("src"))
+        left, now = _trimmed(*cut_and_count(left.join(out, "src", "left_anti").join(out.withColumnRenamed("src", "dst"), "dst", "left_anti").select("g", "src", "dst")))
+    solved = done.all()
+    if short:  # a chain belongs to a component if both its ends do, or are one node
+        place = lambda end, name: solved.select(F.col("id").alias(end), F.col("c").alias(name))
+        ends = chains.join(place("start", "cs"), "start", "left").join(place("stop", "ce"), "stop", "left")
+        ends = ends.withColumns({"cs": F.coalesce("cs", "start"), "ce": F.coalesce("ce", "stop")}).filter("cs = ce")
+        solved = solved.unionByName(ends.select("id", F.col("cs").alias("c"))).unionByName(ends.select(F.col("start").alias("id"), F.col("cs").alias("c"))).distinct()
+    several = solved.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c")
+    return solved.join(several, "c", "left_semi").select("id", "c")
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
@@ -103,7 +229,7 @@ def scc(edges: DataFrame) -> DataFrame:
     pairs = edges.select(*SNAP, F.col("from_key").alias("src"), F.col("to_key").alias("dst")).distinct()
     nodes = _numbered(pairs.select(*SNAP, F.explode(F.array("src", "dst")).alias("key")).distinct())
     side = lambda c: nodes.select(*SNAP, F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
-    found = _components(pairs.join(side("src"), [*SNAP, "src"]).join(side("dst"), [*SNAP, "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    found = _components(pairs.join(side("src"), [*SNAP, "src"]).join(side("dst"), [*SNAP, "dst"]).select(F.xxhash64(*SNAP).alias("g"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
     placed = nodes.join(found, "id", "left")
     least = placed.filter("c is not null").groupBy("c").agg(F.min("key").alias("least"))
     return placed.join(least, "c", "left").select(*SNAP, "key", F.coalesce("least", "key").alias("component"))
@@ -122,13 +248,14 @@ def semantic_hash(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | Non
     reaches all, and a change anywhere reaches every ancestor. overrides (SNAP, key, semantic_hash) are taken as known.
     Components are hashed in levels. A level's hashes go up the edges as messages, which are kept, and are taken off
     the number that each component above still waits for; one that waits for none is next. So a level moves its own
-    nodes and edges and the narrow table of what still waits, and nothing that is done is written again.
+    nodes and edges and the narrow table of what still waits. When no more than SMALL components wait, with rows and
+    texts in proportion, each snapshot's rest is hashed in one task, level by level there.
     """
     own = _numbered(nodes.select(*SNAP, "key", F.coalesce("content", F.lit("")).alias("content")))
     side = lambda c, name: own.select(*SNAP, F.col("key").alias(c), F.col("id").alias(name))
     e = edges.select(*SNAP, "from_key", "to_key", "type").distinct().join(side("from_key", "f"), [*SNAP, "from_key"]).join(side("to_key", "t"), [*SNAP, "to_key"])
-    e = cut(e.select("f", "t", "to_key", "type"))
-    parts = cut(_components(e.select(F.col("f").alias("src"), F.col("t").alias("dst"))))
+    e = cut(e.select(F.xxhash64(*SNAP).alias("g"), "f", "t", "to_key", "type"))
+    parts = cut(_components(e.select("g", F.col("f").alias("src"), F.col("t").alias("dst"))))
     place = lambda c, name: parts.select(F.col("id").alias(c), F.col("c").alias(name))
     e = e.join(place("f", "cf"), "f", "left").join(place("t", "ct"), "t", "left")
     e = cut(e.withColumns({"cf": F.coalesce("cf", "f"), "ct": F.coalesce("ct", "t")}))
@@ -137,9 +264,9 @@ def semantic_hash(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | Non
     todo = own.join(parts, "id", "left").withColumn("c", F.coalesce("c", "id")).join(looped, "c", "left").withColumn("loop", F.coalesce("loop", F.lit(False)))
     if overrides is not None:
         todo = todo.join(overrides.select(*SNAP, "key"), [*SNAP, "key"], "left_anti")
-    todo, out = cut(todo), cut(e.filter("cf != ct").drop("ct"))
+    todo, out = cut(todo), cut(e.filter("cf != ct").drop("ct", "g"))
     part = lambda h: _framed(F.col("to_key"), F.col("type"), h)
-    told = cut(inside.select(F.col("cf").alias("c"), F.col("f").alias("id"), part(F.lit("")).alias("part")))
+    told = Pile(cut(inside.select(F.col("cf").alias("c"), F.col("f").alias("id"), part(F.lit("")).alias("part"))))
 
     def send(new: DataFrame) -> DataFrame:
         up = out.join(new.select(F.col("id").alias("t"), "semantic_hash"), "t")
@@ -150,28 +277,86 @@ def semantic_hash(nodes: DataFrame, edges: DataFrame, overrides: DataFrame | Non
         return waits.join(came, "c", "left").select("c", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n"))
 
     waits = todo.select("c").distinct().join(out.groupBy(F.col("cf").alias("c")).agg(F.count(F.lit(1)).alias("n")), "c", "left")
-    waits, done = waits.select("c", F.coalesce("n", F.lit(0)).alias("n")), None
+    waits, done = waits.select("c", F.coalesce("n", F.lit(0)).alias("n")), Pile()
     if overrides is not None:
         known = cut(overrides.select(*SNAP, "key", "semantic_hash").join(own.select(*SNAP, "key", "id"), [*SNAP, "key"], "left"))
-        done, news = known.drop("id"), send(known)
-        told, waits = told.unionByName(news), less(waits, news)
+        done.add(known.drop("id"))
+        news = send(known)
+        told.add(news)
+        waits = less(waits, news)
     waits, open_ = cut_and_count(waits, F.col("n") > 0)
+    most = SMALL
     while True:
+        if 0 < open_ <= most:  # a long thin rest has many levels of few nodes
+            late = todo.join(waits.select("c"), "c", "left_semi")
+            none = {k: F.lit(v) for k, v in (("c", -1), ("other", -1), ("key", ""), ("loop", False))}  # no nulls: whole numbers stay whole
+            fields = ["repo", "commit_sha", "kind", "c", "id", "other", "key", "content", "loop"]
+            place = late.select(*SNAP, "id")
+            rest = late.select(*SNAP, F.lit(0).alias("kind"), "c", "id", none["other"].cast("long").alias("other"), "key", "content", "loop")
+            rest = rest.unionByName(told.all().join(place, "id").select(*SNAP, F.lit(1).alias("kind"), none["c"].cast("long").alias("c"), "id", none["other"].cast("long").alias("other"), none["key"].alias("key"), F.col("part").alias("content"), none["loop"].alias("loop")).select(*fields))
+            between = out.join(place.withColumnRenamed("id", "t"), "t")
+            rest = cut(rest.unionByName(between.select(*SNAP, F.lit(2).alias("kind"), F.col("cf").alias("c"), F.col("f").alias("id"), F.col("t").alias("other"), F.col("to_key").alias("key"), F.col("type").alias("content"), none["loop"].alias("loop"))))
+            rows, chars = rest.agg(F.count(F.lit(1)), F.sum(F.length("content"))).first()
+            if rows <= 10 * SMALL and chars <= 1_000 * SMALL:
+                done.add(cut(_hash_in_tasks(rest)))
+                return done.all()
+            most = open_ // 2
         next_ = waits.filter("n = 0").select("c")
         ready = todo.join(next_, "c", "left_semi")
-        lists = told.join(next_, "c", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("part")), "").alias("kids"))
+        lists = told.all().join(next_, "c", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("part")), "").alias("kids"))
         local = ready.join(lists, "id", "left").withColumn("local", F.sha2(_framed(F.col("content"), F.coalesce("kids", F.lit(""))), 256))
         loops = local.filter("loop").groupBy("c").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_framed(F.col("key"), F.col("local")))), ""), 256).alias("digest"))
         new = local.join(loops, "c", "left")
         new = cut(new.select(*SNAP, "key", "id", F.when(F.col("loop"), F.sha2(_framed(F.col("local"), F.col("digest")), 256)).otherwise(F.col("local")).alias("semantic_hash")))
-        done = new.drop("id") if done is None else done.unionByName(new.drop("id"))
+        done.add(new.drop("id"))
         if not open_:
-            return done
+            return done.all()
         news = send(new)
-        told = told.unionByName(news)
+        told.add(news)
         waits, open_ = cut_and_count(less(waits.filter("n > 0"), news), F.col("n") > 0)
 
 
+def _hash_in_tasks(rest: DataFrame) -> DataFrame:
+    """SNAP, key, id, semantic_hash of what waits, each snapshot in one task: for few rows, counted. rest: rows of one
+    snapshot each, kind 0 for a node (c, id, key, content, loop), 1 for a message (id, content), 2 for an edge (c, id from,
+    other to, key, content: the type)."""
+    framed = lambda *parts: "".join(f"{len(p)}:{p}" for p in parts)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        members: dict[int, list] = {}
+        parts: dict[int, list[str]] = {}
+        up: dict[int, list] = {}
+        waits: dict[int, int] = {}
+        for r in frame.itertuples(index=False):
+            if r.kind == 0:
+                members.setdefault(r.c, []).append(r)
+                waits.setdefault(r.c, 0)
+            elif r.kind == 1:
+                parts.setdefault(r.id, []).append(r.content)
+            else:
+                up.setdefault(r.other, []).append(r)
+                waits[r.c] = waits.get(r.c, 0) + 1
+        waits = {c: n for c, n in waits.items() if c in members}  # nodes with a known hash have none to come
+        ready, rows = [c for c, n in waits.items() if not n], []
+        for c in ready:
+            local = {r.id: sha(framed(r.content, "".join(sorted(parts.pop(r.id, []))))) for r in members[c]}
+            digest = sha("".join(sorted(framed(r.key, local[r.id]) for r in members[c])))
+            for r in members[c]:
+                h = sha(framed(local[r.id], digest)) if r.loop else local[r.id]
+                rows.append((r.repo, r.commit_sha, r.key, h))
+                for e in up.get(r.id, ()):
+                    if e.c in waits:
+                        parts.setdefault(e.id, []).append(framed(e.key, e.content, h))
+                        waits[e.c] -= 1
+                        if not waits[e.c]:
+                            ready.append(e.c)
+        return pd.DataFrame(rows, columns=["repo", "commit_sha", "key", "semantic_hash"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rest.schema}
+    return rest.groupBy(*SNAP).applyInPandas(solve, f"repo {kinds['repo']}, commit_sha {kinds['commit_sha']}, key string, semantic_hash string")
+
+
 def snapshot_root(nodes: DataFrame, hash_col: str = "semantic_hash") -> DataFrame:
     """M6. Root of a snapshot's node hashes: those that begin with the same four hex digits are sorted, joined by newlines
     and hashed; so are these digests by two digits; so are the digests of all. No row gathers a whole snapshot."""
