@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
-from lattice.functions.tables import cut, cut_and_count
+from lattice.functions.tables import Pile, cut, cut_and_count
 from lattice.operators import snapshots as S
 
 SNAP = ["repo", "commit_sha"]
@@ -39,6 +39,52 @@ def search(edges: DataFrame, starts: DataFrame, max_depth: int, carry: tuple[str
     return seen
 
 
+def bit_search(edges: DataFrame, groups: DataFrame, max_depth: int, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search from many groups of sources at once, 64 to a word.
+
+    groups: SNAP, key, word, bit; a group is a bit of a word, its sources are the keys of one snapshot that carry it.
+    Returns (levels, names). levels: id, word, depth, bits, came: the groups that reach a node first at that depth, and those
+    that came before (a group's own sources, at depth 0, do not count). names: SNAP, key, id. A frontier row stands for up
+    to 64 groups; the words that meet at a node become one by bit_or, before the shuffle and after it. The edges are
+    written once, as pairs of numbers."""
+    pairs = edges.select(*SNAP, F.col("to_key" if reverse else "from_key").alias("at"), F.col("from_key" if reverse else "to_key").alias("next")).distinct()
+    names = pairs.select(*SNAP, F.explode(F.array("at", "next")).alias("key")).unionByName(groups.select(*SNAP, "key")).distinct()
+    names = cut(names.withColumn("id", F.monotonically_increasing_id()))
+    number = lambda c: names.select(*SNAP, F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
+    ends = cut(pairs.join(number("at"), [*SNAP, "at"]).join(number("next"), [*SNAP, "next"]).select(F.col("at_id").alias("id"), F.col("next_id").alias("next")))
+    front = cut(groups.join(names, [*SNAP, "key"]).groupBy("word", "id").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")))
+    seen, levels = Pile(front.withColumn("came", F.lit(0).cast("long"))), []
+    for depth in range(1, max_depth + 1):
+        step = front.select("word", "id", "bits").join(ends, "id").groupBy("word", F.col("next").alias("id")).agg(F.bit_or("bits").alias("new"))
+        known = seen.all().groupBy("word", "id").agg(F.bit_or("bits").alias("old"), F.bit_or("came").alias("came"))
+        step = step.join(known, ["word", "id"], "left").na.fill(0, ["old", "came"]).withColumn("bits", F.col("new").bitwiseAND(F.bitwise_not("old"))).filter("bits != 0")
+        front, n = cut_and_count(step.select("id", "word", F.lit(depth).alias("depth"), "bits", "came"))
+        if not n:
+            break
+        seen.add(front.select("word", "id", "bits", F.col("bits").alias("came")))
+        levels.append(front)
+    if not levels:
+        levels.append(front.limit(0).select("id", "word", F.lit(0).alias("depth"), "bits", F.lit(0).cast("long").alias("came")))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out, names
+
+
+def in_words(items: DataFrame, a_word: int) -> DataFrame:
+    """items, written, with slot, word and nth: so many neighbouring rows share a word."""
+    own = cut(items.withColumn("slot", F.monotonically_increasing_id()))
+    return own.withColumns({"word": F.expr(f"slot div {a_word}"), "nth": (F.col("slot") % a_word).cast("int")})
+
+
+def counts_of(levels: DataFrame, by: list[str], masks: list[int]) -> DataFrame:
+    """(word, nth, by..., n): rows of each word at which the groups of the n-th mask come first, counted before the shuffle."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    first = lambda m: (F.col("bits").bitwiseAND(F.lit(m).cast("long")) != 0) & (F.col("came").bitwiseAND(F.lit(m).cast("long")) == 0)
+    sums = levels.groupBy("word", *by).agg(*(F.count_if(first(m)).alias(f"n{i}") for i, m in enumerate(signed)))
+    return sums.select("word", *by, F.posexplode(F.array(*(f"n{i}" for i in range(len(masks))))).alias("nth", "n")).filter("n > 0")
+
+
 def _place(items: DataFrame, nodes: DataFrame, key: str = "key") -> DataFrame:
     """Symbol, path and line of a key; an unknown key is its own symbol, at path '' and line 0."""
     own = nodes.select(*SNAP, F.col("key").alias(key), F.col("symbol").alias("_s"), F.col("path").alias("_p"), F.col("start_line").alias("_l"))
@@ -105,28 +151,47 @@ def graph(nodes: DataFrame, edges: DataFrame, entity: str | None = None, module:
 def simple_cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
     """G7. SNAP + cycle, length: simple cycles of up to max_len edges, from the least key, which ends the array again.
 
-    Edges of nodes that cannot lie on a cycle (no way in or out) go first. A cycle of n edges is a path of ceil(n / 2) edges
-    from its least key that meets a path of floor(n / 2) edges back to it, so paths grow to half of max_len only, and no
-    cycle is found twice. Longer cycles show as components: see cycle_groups."""
-    core = cut(trimmed(edges.select(*SNAP, "from_key", "to_key").distinct()))
-    out = core.select(*SNAP, F.col("from_key").alias("end"), F.col("to_key").alias("next"))
-    back = core.select(*SNAP, F.col("to_key").alias("end"), F.col("from_key").alias("next"))
-    found = core.filter("from_key = to_key").select(*SNAP, F.array("from_key", "to_key").alias("cycle"))
+    Edges of nodes that cannot lie on a cycle go first: ends without a way in or out, then edges between components. Nodes
+    are numbered by (degree, key), and a cycle is found from its least number, so no path starts in a hub that could start
+    elsewhere. A cycle of n edges is a path of ceil(n / 2) edges from there that meets a path of floor(n / 2) edges back, so
+    paths grow to half of max_len only, and no cycle is found twice. Paths are whole numbers and lie in written tables, so
+    that Spark can split a join where a hub continues very many; keys come back at the end. Longer cycles show as
+    components: see cycle_groups."""
+    pairs = edges.select(*SNAP, "from_key", "to_key").distinct()
+    loops = pairs.filter("from_key = to_key").select(*SNAP, F.array("from_key", "to_key").alias("cycle"))
+    core = trimmed(pairs.filter("from_key != to_key"))
+    degree = core.select(*SNAP, F.explode(F.array("from_key", "to_key")).alias("key")).groupBy(*SNAP, "key").agg(F.count(F.lit(1)).alias("degree"))
+    names = cut(degree.orderBy("degree", "key").withColumn("id", F.monotonically_increasing_id()))
+    number = lambda c: names.select(*SNAP, F.col("key").alias(f"{c}_key"), F.col("id").alias(c))
+    core = core.join(number("from"), [*SNAP, "from_key"]).join(number("to"), [*SNAP, "to_key"]).select(F.xxhash64(*SNAP).alias("g"), F.col("from").alias("src"), F.col("to").alias("dst"))
+    core = cut(core)
+    parts = S.components(core)
+    part = lambda c: parts.select(F.col("id").alias(c), F.col("c").alias(f"{c}_c"))
+    core = cut(core.join(part("src"), "src").join(part("dst"), "dst").filter("src_c = dst_c").select("src", "dst"))
+    out = core.select(F.col("src").alias("end"), F.col("dst").alias("next"))
+    back = core.select(F.col("dst").alias("end"), F.col("src").alias("next"))
 
     def grow(paths: DataFrame, by: DataFrame) -> DataFrame:
-        """Paths (least, end, p) one step longer; p holds the keys after the least one."""
-        longer = paths.join(by, [*SNAP, "end"]).filter((F.col("next") > F.col("least")) & ~F.array_contains("p", F.col("next")))
-        return cut(longer.select(*SNAP, "least", F.col("next").alias("end"), F.concat("p", F.array("next")).alias("p")))
+        """Paths (least, end, p) one step longer; p holds the nodes after the least one."""
+        longer = paths.join(by, "end").filter((F.col("next") > F.col("least")) & ~F.array_contains("p", F.col("next")))
+        return cut(longer.select("least", F.col("next").alias("end"), F.concat("p", F.array("next")).alias("p")))
 
-    first = lambda a, b: core.filter(f"{a} < {b}").select(*SNAP, F.col(a).alias("least"), F.col(b).alias("end"), F.array(b).alias("p"))
-    ahead, behind = first("from_key", "to_key"), first("to_key", "from_key")
+    first = lambda a, b: cut(core.filter(f"{a} < {b}").select(F.col(a).alias("least"), F.col(b).alias("end"), F.array(b).alias("p")))
+    ahead, behind, found = first("src", "dst"), first("dst", "src"), []
     for n in range(2, max_len + 1):
         if n > 2:
             ahead, behind = (grow(ahead, out), behind) if n % 2 else (ahead, grow(behind, back))
-        ends = behind.select(*SNAP, "least", "end", F.col("p").alias("q"))
-        met = ahead.join(ends, [*SNAP, "least", "end"]).withColumn("q", F.slice(F.reverse("q"), F.lit(2), F.size("q"))).filter(~F.arrays_overlap("p", "q"))
-        found = found.unionByName(met.select(*SNAP, F.concat(F.array("least"), "p", "q", F.array("least")).alias("cycle")))
-    return found.withColumn("length", F.size("cycle") - 1)
+        met = ahead.join(behind.withColumnRenamed("p", "q"), ["least", "end"]).withColumn("q", F.slice(F.reverse("q"), F.lit(2), F.size("q"))).filter(~F.arrays_overlap("p", "q"))
+        found.append(cut(met.select(F.concat(F.array("least"), "p", "q").alias("ids"))))
+    ids = found[0]
+    for more in found[1:]:
+        ids = ids.unionByName(more)
+    ids = cut(ids.withColumn("nth", F.monotonically_increasing_id()))
+    keyed = ids.select("nth", F.posexplode("ids").alias("i", "id")).join(names, "id")
+    rings = keyed.groupBy(*SNAP, "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("k"))
+    at, size = F.array_position("k", F.array_min("k")).cast("int"), F.size("k")
+    turned = F.concat(F.slice("k", at, size), F.slice("k", F.lit(1), at - 1), F.array(F.array_min("k")))
+    return loops.unionByName(rings.select(*SNAP, turned.alias("cycle"))).withColumn("length", F.size("cycle") - 1)
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
@@ -225,11 +290,15 @@ def classify_impact(items: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
 
 
 def impact_report(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """G14. Counts and rating for each source; all sources are searched at once."""
-    items = classify_impact(impact(nodes, edges, starts, max_depth), nodes, edges)
-    count = lambda c: F.count_if(c).cast("long")
-    out = items.groupBy(*SNAP, "source").agg(
-        F.count(F.lit(1)).alias("total"), count(F.col("depth") == 1).alias("direct"), count(F.col("depth") > 1).alias("indirect"), F.max("depth").alias("max_depth"),
+    """G14. Counts and rating for each source; all sources are searched at once, 64 to a word, and no row is made for a
+    source and a node."""
+    sources = in_words(starts.select(*SNAP, "source").distinct().sortWithinPartitions(*SNAP), 64)
+    levels, names = bit_search(edges, sources.select(*SNAP, F.col("source").alias("key"), "word", F.col("nth").alias("bit")), max_depth, reverse=True)
+    classes = classify_impact(_place(names, nodes), nodes, edges).select("id", "classification")
+    found = counts_of(levels.join(classes, "id"), ["depth", "classification"], [1 << b for b in range(64)]).join(sources, ["word", "nth"])
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    out = found.groupBy(*SNAP, "source").agg(
+        F.sum("n").cast("long").alias("total"), count(F.col("depth") == 1).alias("direct"), count(F.col("depth") > 1).alias("indirect"), F.max("depth").alias("max_depth"),
         *(count(F.col("classification") == k).alias(k.replace("-", "_")) for k in ("test", "api-contract", "database-entity", "other")),
     )
     out = starts.select(*SNAP, "source").distinct().join(out, [*SNAP, "source"], "left").na.fill(0)
@@ -239,14 +308,16 @@ def impact_report(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_dep
 
 
 def search_nodes(nodes: DataFrame, term: str, limit: int = 50) -> DataFrame:
-    """G16. Term as a case-insensitive LIKE pattern inside path, key, symbol or kind; a blank term finds nothing."""
+    """G16. Term as a case-insensitive LIKE pattern inside path, key, symbol or kind; a blank term finds nothing. The limit
+    holds for each snapshot."""
     term = (term or "").strip()
     if not term:
         return nodes.filter(F.lit(False))
     hit = F.lit(False)
     for c in ("path", "key", "symbol", "kind"):
         hit = hit | F.col(c).ilike(f"%{term}%")
-    return nodes.filter(hit).orderBy("path", "start_line", "key").limit(max(1, min(200, limit)))
+    rank = F.row_number().over(Window.partitionBy(*SNAP).orderBy("path", "start_line", "key"))
+    return nodes.filter(hit).withColumn("_rank", rank).filter(F.col("_rank") <= max(1, min(200, limit))).drop("_rank")
 
 
 def visible_graph(nodes: DataFrame, edges: DataFrame, module: str | None = None, hide_tests: bool = False, tier: str | None = None, types: tuple[str, ...] = (), source: str | None = None, edge_tier: str | None = None):

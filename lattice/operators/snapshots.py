@@ -218,6 +218,11 @@ def _components(pairs: DataFrame) -> DataFrame:
     return solved.join(several, "c", "left_semi").select("id", "c")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """M4 on numbers. (id, c) of the nodes whose component has several; pairs: (g, src, dst), no edge leaving its group g."""
+    return cut(_components(pairs))
+
+
 def _numbered(nodes: DataFrame) -> DataFrame:
     """nodes with an id, a whole number; written, so that it stays."""
     return cut(nodes.withColumn("id", F.monotonically_increasing_id()))

@@ -199,9 +199,10 @@ def g15_classify(spark, sf_dir):
     return graph.classify_impact(nodes.select(*SNAP, "key", "path"), nodes, X.edges(spark, sf_dir)).select(*SNAP, "key", "classification")
 
 
-@query(f"SELECT {RC}, path, key, start_line FROM d_nodes WHERE (path ILIKE '%p1_controller%' OR key ILIKE '%p1_controller%' OR symbol ILIKE '%p1_controller%' OR kind ILIKE '%p1_controller%') ORDER BY path, start_line LIMIT 200")
+@query(f"""SELECT {RC}, path, key, start_line FROM (SELECT *, row_number() OVER (PARTITION BY snap ORDER BY path, start_line, key) AS r FROM d_nodes
+  WHERE path ILIKE '%p1_%troller%' OR key ILIKE '%p1_%troller%' OR symbol ILIKE '%p1_%troller%' OR kind ILIKE '%p1_%troller%') z WHERE r <= 20""")
 def g16_search(spark, sf_dir):
-    return graph.search_nodes(X.nodes(spark, sf_dir), " P1_Controller ", 500).select(*SNAP, "path", "key", "start_line")
+    return graph.search_nodes(X.nodes(spark, sf_dir), " P1_%Troller ", 20).select(*SNAP, "path", "key", "start_line")
 
 
 @query(f"WITH v AS (SELECT snap, key FROM d_nodes WHERE NOT {TEST} AND {NODE_TIER} = 'verified') SELECT {RC.replace('snap', 'e.snap')}, from_key, to_key, type FROM d_edges e WHERE type IN ('Calls', 'HasMethod') AND (snap, from_key) IN (SELECT snap, key FROM v) AND (snap, to_key) IN (SELECT snap, key FROM v)")

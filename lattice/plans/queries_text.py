@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
-from lattice.operators import graph, linking, retrieval, reviews, snapshots
+from lattice.operators import graph, linking, retrieval, reviews, rules, snapshots
 from lattice.plans import fixtures as X
 from lattice.plans.fixtures import with_views
-from lattice.plans.queries_graph import EDGE_CLASS, NODE_CLASS, NODE_TIER, RC, STORE, TEST, TIER
+from lattice.plans.queries_graph import DENY, EDGE_CLASS, NODE_CLASS, NODE_TIER, RC, RULES, STORE, TEST, TIER
 
 SNAP = ["repo", "commit_sha"]
 QUERIES: dict = {}
@@ -390,10 +390,14 @@ def p1_queue(spark, sf_dir):
     return reviews.review_queue(X.nodes(spark, sf_dir)).select(*SNAP, "key", "review_status")
 
 
-@query(f"SELECT {RC}, key, CASE pk % 13 WHEN 0 THEN 'accepted' WHEN 1 THEN 'none' WHEN 2 THEN 'edited' ELSE review_status END AS review_status, CASE WHEN pk % 13 = 2 THEN 'new text' ELSE content END AS content, CASE WHEN pk % 13 = 2 THEN sha256('new text') ELSE 'h' END AS semantic_hash, CASE WHEN pk % 13 = 2 THEN 'h' END AS parent_hash, CASE WHEN pk % 13 = 2 THEN 'dashboard' END AS edited_by FROM d_nodes")
+#: Decisions differ by snapshot; some have an older one before them.
+@query(f"""SELECT {RC}, key, CASE d WHEN 0 THEN 'accepted' WHEN 1 THEN 'none' WHEN 2 THEN 'edited' ELSE review_status END AS review_status, CASE WHEN d = 2 THEN 'new text' ELSE content END AS content,
+  CASE WHEN d = 2 THEN sha256('new text') ELSE 'h' END AS semantic_hash, CASE WHEN d = 2 THEN 'h' END AS parent_hash, CASE WHEN d = 2 THEN 'dashboard' END AS edited_by FROM (SELECT *, (pk + snap) % 13 AS d FROM d_nodes) n""")
 def p2_apply(spark, sf_dir):
-    n = X.nodes(spark, sf_dir).withColumns({"semantic_hash": F.lit("h"), "parent_hash": F.lit(None).cast("string"), "edited_by": F.lit(None).cast("string"), "edited_at": F.lit(None).cast("timestamp")})
-    d = n.filter("pk % 13 <= 2").select("repo", "key", F.element_at(F.array(F.lit("accept"), F.lit("dismiss"), F.lit("edit")), (F.col("pk") % 13 + 1).cast("int")).alias("action"), F.lit(" new text ").alias("content"), F.lit(None).cast("string").alias("editor"), F.current_timestamp().alias("at"))
+    none = {c: F.lit(None).cast(t) for c, t in (("parent_hash", "string"), ("edited_by", "string"), ("edited_at", "timestamp"))}
+    n = X.nodes(spark, sf_dir).withColumn("semantic_hash", F.lit("h")).withColumns(none)
+    action = F.get(F.array(*map(F.lit, ("accept", "dismiss", "edit"))), ((F.col("pk") + F.col("snap")) % 13).cast("int"))
+    d = n.select(*SNAP, "key", action.alias("action"), F.lit(" new text ").alias("content"), F.lit(None).cast("string").alias("editor"), F.current_timestamp().alias("at")).filter("action is not null")
     older = d.withColumns({"action": F.lit("dismiss"), "at": F.lit("2000-01-01").cast("timestamp")})
     return reviews.apply_reviews(n, d.unionByName(older)).select(*SNAP, "key", "review_status", "content", "semantic_hash", "parent_hash", "edited_by")
 
@@ -425,25 +429,28 @@ def p4_pr_delta(spark, sf_dir):
 def _report(spark, sf_dir):
     prs, changed = _prs(spark, sf_dir)
     nodes, edges = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
-    return reviews.pr_report(prs, changed, reviews.pr_impact(prs, changed, nodes, edges), reviews.pr_edge_delta(prs, edges, X.snapshots(spark, sf_dir)))
+    args = rules.load_rules(spark, RULES), nodes, edges
+    broken = rules.deny_violations(*args).select(*SNAP, "rule", "severity").unionByName(rules.require_violations(*args).select(*SNAP, "rule", "severity"))
+    return reviews.pr_report(prs, changed, reviews.pr_impact_counts(prs, changed, nodes, edges), reviews.pr_edge_delta(prs, edges, X.snapshots(spark, sf_dir)), broken)
 
 
-REPORT = f"""WITH {PRS}, {IMPACTED}, {ADDED},
+REPORT = f"""WITH {PRS}, {IMPACTED}, {ADDED}, {DENY}, vio AS (SELECT snap, count(*) AS violations FROM (SELECT snap FROM den UNION ALL SELECT snap FROM req) z GROUP BY snap),
   rep AS (SELECT p.pr, p.repo, p.base_commit, p.head_commit, f.files, coalesce(i.impacted, 0) AS impacted, coalesce(i.direct, 0) AS direct, coalesce(i.max_depth, 0) AS max_depth, coalesce(d.added_edges, 0) AS added_edges, coalesce(d.base_known, TRUE) AS base_known,
-    CASE WHEN coalesce(d.base_known, TRUE) THEN ['rules not evaluated'] ELSE ['base snapshot unavailable', 'rules not evaluated'] END AS notes
+    CASE WHEN coalesce(d.base_known, TRUE) THEN CAST([] AS VARCHAR[]) ELSE ['base snapshot unavailable'] END AS notes, coalesce(v.violations, 0) AS violations
     FROM pr p JOIN (SELECT pr, list_sort(list(DISTINCT path)) AS files FROM ch GROUP BY pr) f ON f.pr = p.pr
     LEFT JOIN (SELECT pr, count(*) AS impacted, count(*) FILTER (depth = 1) AS direct, max(depth) AS max_depth FROM im GROUP BY pr) i ON i.pr = p.pr
-    LEFT JOIN (SELECT base_commit, head_commit, count(*) FILTER (available) AS added_edges, bool_and(available) AS base_known FROM ad GROUP BY ALL) d ON d.base_commit = p.base_commit AND d.head_commit = p.head_commit)"""
+    LEFT JOIN (SELECT base_commit, head_commit, count(*) FILTER (available) AS added_edges, bool_and(available) AS base_known FROM ad GROUP BY ALL) d ON d.base_commit = p.base_commit AND d.head_commit = p.head_commit
+    LEFT JOIN vio v ON v.snap = p.snap)"""
 
 
-@query(f"{REPORT} SELECT pr, repo, base_commit, head_commit, array_to_string(files, ',') AS files, impacted, direct, max_depth, added_edges, base_known, CAST(NULL AS BIGINT) AS violations, array_to_string(notes, ',') AS notes FROM rep")
+@query(f"{REPORT} SELECT pr, repo, base_commit, head_commit, array_to_string(files, ',') AS files, impacted, direct, max_depth, added_edges, base_known, violations, array_to_string(notes, ',') AS notes FROM rep")
 def p5_pr_report(spark, sf_dir):
     return _report(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("files", "notes")})
 
 
 @query(f"""{REPORT} SELECT pr, concat_ws({_NL}, '## Changed files', array_to_string(list_transform(files[:20], lambda f: concat('- `', f, '`')), {_NL}) || CASE WHEN len(files) > 20 THEN concat({_NL}, '- ... and ', len(files) - 20, ' more') ELSE '' END,
   '## Impact', concat(impacted, ' entities, ', direct, ' direct, depth ', max_depth), '## New dependencies', CASE WHEN base_known THEN CAST(added_edges AS VARCHAR) ELSE 'unavailable' END,
-  '## Rule violations', 'not evaluated', '## Notes', array_to_string(notes, '; ')) AS body FROM rep""")
+  '## Rule violations', CAST(violations AS VARCHAR), '## Notes', CASE WHEN len(notes) = 0 THEN 'none' ELSE array_to_string(notes, '; ') END) AS body FROM rep""")
 def p6_render_pr(spark, sf_dir):
     return reviews.render_pr(_report(spark, sf_dir))
 
