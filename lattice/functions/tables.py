@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 _LOCAL: list[str] = []
 
 
-def _place(spark: SparkSession) -> str:
+def place(spark: SparkSession, name: str = "loop") -> str:
+    """A new folder in the shared one, which all executors see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,14 +20,14 @@ def _place(spark: SparkSession) -> str:
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lattice-"))
         root = _LOCAL[0]
-    return f"{root.rstrip('/')}/lattice/loop-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lattice/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the folder of spark.checkpoint.dir (a temporary one only where that is unset, on a local master) and read
     back: the lineage of a loop ends here, and lost executors do not matter."""
     spark = df.sparkSession
-    path = _place(spark)
+    path = place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

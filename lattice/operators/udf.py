@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.functions.tables import cut
 from lattice.operators.textgen import rule_summaries
 
 SNAP = ["repo", "commit_sha"]
@@ -16,7 +18,8 @@ SUMMARY = "repo string, commit_sha string, key string, content string, confidenc
 
 def summarize_with(entities: DataFrame, rels: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """U1. fn makes summaries (SUMMARY's columns) of a batch of entities; an entity that it leaves out, and a batch that it
-    fails on, gets the rule-based summary."""
+    fails on, gets the rule-based summary. What fn makes is written, so it sees each entity once; batches that fail are
+    counted in a warning, which names one of the errors."""
     ruled = rule_summaries(entities, rels)
     if fn is None:
         return ruled
@@ -24,11 +27,16 @@ def summarize_with(entities: DataFrame, rels: DataFrame, fn: Callable[[pd.DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
-                yield fn(pdf)
-            except Exception:  # a failed batch falls back to the rules
-                continue
-
-    made = entities.mapInPandas(run, SUMMARY).filter("content is not null")
+                out = fn(pdf)
+            except Exception as e:  # a failed batch falls back to the rules
+                out = pd.DataFrame([(None, None, None, None, None, f"{type(e).__name__}: {e}", None)], columns=[f.split()[0] for f in SUMMARY.split(", ")])
+            yield out
+
+    told = cut(entities.mapInPandas(run, SUMMARY))
+    failed = told.filter("key is null and content is null").agg(F.count(F.lit(1)), F.min("model")).first()
+    if failed[0]:
+        warnings.warn(f"{failed[0]} batches got rule-based summaries; {failed[1]}", stacklevel=2)
+    made = told.filter("content is not null")
     return made.unionByName(ruled.join(made.select(*SNAP, "key"), [*SNAP, "key"], "left_anti"))
 
 

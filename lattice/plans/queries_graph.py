@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
+from lattice.functions.tables import cut
 from lattice.operators import cost, graph, quality, rules, snapshots
 from lattice.plans import fixtures as X
 from lattice.plans.fixtures import with_views
@@ -29,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _tops(spark: SparkSession, sf_dir: str, n: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All nodes and edges, and the n entities of highest degree of each snapshot as sources."""
-    nodes, edges = X.nodes(spark, sf_dir), X.edges(spark, sf_dir)
+    nodes, edges = cut(X.nodes(spark, sf_dir)), cut(X.edges(spark, sf_dir))  # made once; each search reads them again and again
     return nodes, edges, graph.top_by_degree(nodes, edges, n).select(*SNAP, F.col("key").alias("source"))
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
+from lattice.functions.tables import cut, place
 from lattice.operators import graph, linking, retrieval, reviews, rules, snapshots
 from lattice.plans import fixtures as X
 from lattice.plans.fixtures import with_views
 from lattice.plans.queries_graph import DENY, EDGE_CLASS, NODE_CLASS, NODE_TIER, RC, RULES, STORE, TEST, TIER
+from lattice.sources import scan
 
 SNAP = ["repo", "commit_sha"]
 QUERIES: dict = {}
@@ -722,11 +724,47 @@ def l10_members(spark, sf_dir):
     return linking.link_members(e.unionByName(m)).select("from_key", "to_key", "type", "confidence")
 
 
-@query(f"SELECT {RC}, key FROM d_nodes WHERE snap = 2000")
+def _store(spark, sf_dir):
+    """All snapshots written to a new store; then c2000 again without edges, and c1999 again as it is."""
+    path = place(spark, "store")
+    nodes, edges, heads = cut(X.nodes(spark, sf_dir)), cut(X.edges(spark, sf_dir)), X.snapshots(spark, sf_dir).withColumn("root_hash", F.col("commit_sha"))
+    scan.write_snapshot(nodes, edges, heads, path)
+    again = heads.filter("snap in (1999, 2000)")
+    scan.write_snapshot(nodes, edges.filter("snap <> 2000"), again, path)
+    return path
+
+
+@query(f"SELECT {RC}, count(*) AS nodes, (SELECT count(*) FROM d_edges e WHERE e.snap = n.snap AND e.snap <> 2000) AS edges FROM d_nodes n GROUP BY snap")
+def s5_write_snapshots(spark, sf_dir):
+    nodes, edges = scan.read_snapshots(spark, _store(spark, sf_dir))
+    count = lambda df, name: df.groupBy(*SNAP).agg(F.count(F.lit(1)).alias(name))
+    return count(nodes, "nodes").join(count(edges, "edges"), SNAP, "left").na.fill(0)
+
+
+@query(f"SELECT {RC}, key, 'node' AS part FROM d_nodes WHERE snap = 1999 UNION ALL SELECT {RC}, concat(from_key, '>', to_key), 'edge' FROM d_edges WHERE snap = 1999 UNION ALL SELECT {RC}, key, 'node' FROM d_nodes WHERE snap = 2000")
 def s6_read_snapshot(spark, sf_dir):
-    """The nodes of one commit, found through the snapshot table."""
-    at = snapshots.require_snapshot(X.snapshots(spark, sf_dir), "r0", "c2000")
-    return X.nodes(spark, sf_dir).join(at.select(*SNAP), SNAP, "left_semi").select(*SNAP, "key")
+    path, out = _store(spark, sf_dir), None
+    for commit in ("c1999", "c2000"):
+        nodes, edges = scan.read_snapshot(spark, path, "r0", commit)
+        both = nodes.select(*SNAP, "key", F.lit("node").alias("part")).unionByName(edges.select(*SNAP, F.concat("from_key", F.lit(">"), "to_key").alias("key"), F.lit("edge").alias("part")))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P'))
+  SELECT 'orders' AS tab, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone)
+  UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)
+  UNION ALL SELECT 'parts', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone))""")
+def s8_drop_cascade(spark, sf_dir):
+    """Orders by status as repositories, their lines as children, and the parts that a dropped line names as theirs."""
+    tables = {"orders": _read(spark, sf_dir, "orders").withColumn("repo", F.col("o_orderstatus")), "lines": _read(spark, sf_dir, "lineitem"), "parts": _read(spark, sf_dir, "part")}
+    repos = spark.createDataFrame([("F",), ("P",)], "repo string")
+    left = scan.drop_repo(tables, repos, {"lines": ("orders", "l_orderkey", "o_orderkey"), "parts": ("lines", "p_partkey", "l_partkey")})
+    out = None
+    for name, df in left.items():
+        rows = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT repo, count(*) AS n FROM (SELECT source AS repo FROM documents) z WHERE repo NOT IN ('src0', 'src1') GROUP BY repo")

@@ -1,3 +1,4 @@
+import pandas as pd
 import datetime as dt
 import json
 
@@ -39,6 +40,37 @@ def test_snapshots_are_replaced_and_documents_stored_once(spark, tmp_path):
     assert spark.read.parquet(f"{path}/objects").count() == 3  # the first document of this root only
     with pytest.raises(LookupError):
         scan.read_snapshot(spark, path, "r", "nope")
+    doc = json.loads(spark.read.parquet(f"{path}/objects").filter("part = 'node'").first().json)
+    assert list(doc) == list(scan.NODE_FIELDS)
+    assert scan.read_snapshot(spark, path, "r", "s2")[1].count() == 1
+    scan.write_snapshot(nodes(spark, "B", commit="s2"), edges(spark, ("A", "B")).limit(0), head("s2", dt.datetime(2024, 1, 2)), path)
+    n, e = scan.read_snapshot(spark, path, "r")
+    assert [r.key for r in n.collect()] == ["B"] and e.collect() == [] and "from_key" in e.columns
+    every = scan.read_snapshots(spark, path)
+    assert sorted((r.commit_sha, r.key) for r in every[0].collect()) == [("s1", "A"), ("s2", "B")] and [r.commit_sha for r in every[1].collect()] == ["s1"]
+
+
+def test_a_store_without_any_edge(spark, tmp_path):
+    head = spark.createDataFrame([("r", "s1", "root", dt.datetime(2024, 1, 1))], "repo string, commit_sha string, root_hash string, created_at timestamp")
+    scan.write_snapshot(nodes(spark, "A", commit="s1"), edges(spark, ("A", "B")).limit(0), head, f"file://{tmp_path}/store")
+    n, e = scan.read_snapshot(spark, f"file://{tmp_path}/store", "r", "s1")
+    assert n.count() == 1 and e.count() == 0
+
+
+def test_summariser_sees_each_entity_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(pdf):
+        seen.add(len(pdf))
+        if "B" in set(pdf["key"]):
+            raise RuntimeError("no answer")
+        return pd.DataFrame({"repo": pdf["repo"], "commit_sha": pdf["commit_sha"], "key": pdf["key"], "content": "made", "confidence": 0.9, "model": "m", "prompt_version": "1"})
+
+    e = nodes(spark, "A", "B", "C").withColumns({"source": F.lit("x"), "language": F.lit("python")}).repartition(3, "key")
+    with pytest.warns(UserWarning, match="rule-based summaries; RuntimeError: no answer"):
+        out = udf.summarize_with(e, edges(spark, ("A", "B")).withColumn("ord", F.lit(1)), fn)
+    assert sorted((r.key, r.model == "m") for r in out.collect()) in ([("A", True), ("B", False), ("C", True)], [("A", False), ("B", False), ("C", True)], [("A", True), ("B", False), ("C", False)], [("A", False), ("B", False), ("C", False)])
+    assert seen.value == 3
 
 
 def test_report_round_trip(spark, tmp_path):
