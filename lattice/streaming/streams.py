@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lattice.operators.snapshots import edge_history_step
+from lattice.operators.snapshots import edge_history
 
 REPO_STATE = "repo string, name string, clone_url string, branch string, status string, installation_id long"
 
@@ -59,62 +59,80 @@ PR_QUEUE = "repo string, number long, head string, base string, status string, a
 
 
 class _PrState(StatefulProcessor):
+    """Review of one (repo, number, head): base, status, attempt, time of the last event. keep: milliseconds after which a
+    review without events is forgotten, or None."""
+
+    def __init__(self, keep: int | None):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("review", "base string, status string, attempt int")
+        self.handle = handle
+        self.state = handle.getValueState("review", "base string, status string, attempt int, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = list(self.state.get()) if self.state.exists() else None
-        out = []
+        out, before = [], now and now[3]
         for e in pd.concat(list(rows)).sort_values("ord", kind="stable").to_dict("records"):
+            at = max(now[3] if now else 0, int(e["ts"].timestamp() * 1000)) if self.keep is not None else 0
             if e["event"] == "pull_request" and e["action"] in ("opened", "reopened", "synchronize"):
                 if now is None or now[1] == "failed":
-                    now = [e["base"], "pending", (now[2] if now else 0) + 1]
-                    out.append([*key, *now])
+                    now = [e["base"], "pending", (now[2] if now else 0) + 1, at]
+                    out.append([*key, *now[:3]])
             elif e["event"] == "review_result" and now is not None:
-                now = [now[0], e["action"], now[2]]
+                now = [now[0], e["action"], now[2], at]
+            if now is not None:
+                now[3] = at
         if now is not None:
             self.state.update(tuple(now))
+            if self.keep is not None and now[3] != before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.keep)
+                self.handle.registerTimer(now[3] + self.keep)
         if out:
             yield pd.DataFrame(out, columns=["repo", "number", "head", "base", "status", "attempt"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def stream_pr_queue(events: DataFrame) -> DataFrame:
-    """ST2. events: repo, number, head, base, ord, event (pull_request or review_result), action. One queued review for
-    each (repo, number, head); a failed one is queued again when the pull request comes again, with the new base."""
-    return events.groupBy("repo", "number", "head").transformWithStateInPandas(_PrState(), PR_QUEUE, "Update", "None")
+def stream_pr_queue(events: DataFrame, delay: str = "1 hour", keep_days: int = 30) -> DataFrame:
+    """ST2. events: repo, number, head, base, ord, event (pull_request or review_result), action, and ts if state is to
+    end. One queued review for each (repo, number, head); a failed one is queued again when the pull request comes again,
+    with the new base. With ts, events later than delay are ignored, and a review is forgotten once the watermark is
+    keep_days past its last event; a pull request that comes after that is queued as new."""
+    timed = "ts" in events.columns
+    rows = events.withWatermark("ts", delay) if timed else events
+    mode = ("Append", "EventTime") if timed else ("Update", "None")
+    return rows.groupBy("repo", "number", "head").transformWithStateInPandas(_PrState(keep_days * 86_400_000 if timed else None), PR_QUEUE, *mode)
 
 
 def stream_edge_history(snapshots: DataFrame, path: str, checkpoint: str):
-    """ST3. snapshots: a stream of edges (repo, commit_sha, from_key, to_key, type, created_at), whole commits a batch.
-    Each commit is applied once: its name is the mark in the table of applied commits, written after the history. The
-    history is written as a new version; a version counts once its mark exists. Returns the writer; start it."""
-    history = "repo string, from_key string, to_key string, type string, introduced_commit string, introduced_at timestamp, live boolean"
-
-    def versions(spark) -> DataFrame:
-        return spark.read.schema("repo string, commit_sha string, version int").json(f"{path}/applied")
-
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], "repo string, commit_sha string, version int").write.mode("append").json(f"{path}/applied")
-        batch = batch.persist()
-        for r in batch.select("repo", "commit_sha", "created_at").distinct().orderBy("created_at").collect():  # commits of one trigger
-            done = versions(spark)
-            if not done.filter((F.col("repo") == r["repo"]) & (F.col("commit_sha") == r["commit_sha"])).isEmpty():
-                continue
-            last = done.agg(F.max("version")).first()[0]
-            old = spark.read.schema(history).parquet(f"{path}/v{last}") if last is not None else spark.createDataFrame([], history)
-            edges = batch.filter((F.col("repo") == r["repo"]) & (F.col("commit_sha") == r["commit_sha"]))
-            version = 0 if last is None else last + 1
-            edge_history_step(old, edges, r["commit_sha"], F.lit(r["created_at"])).write.mode("overwrite").parquet(f"{path}/v{version}")
-            spark.createDataFrame([(r["repo"], r["commit_sha"], version)], "repo string, commit_sha string, version int").write.mode("append").json(f"{path}/applied")
-        batch.unpersist()
+    """ST3. snapshots: a stream of edges (repo, commit_sha, from_key, to_key, type, created_at). Returns the writer; start it.
+
+    A trigger writes the sightings (edge, commit) that it brought to a folder of its own number, so a trigger that is done
+    again replaces what it wrote, its work is in proportion to its rows, and a commit may come in any number of triggers
+    and any order. What follows from an edge's absence is worked out when the history is read: see read_edge_history."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.select(*SIGHTING).distinct().write.mode("overwrite").parquet(f"{path}/trigger={number}")
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+SIGHTING = ("repo", "commit_sha", "from_key", "to_key", "type", "created_at")
+
+
+def read_edge_history(spark: SparkSession, path: str) -> DataFrame:
+    """ST3. The history, as M11, of all commits that have come so far."""
+    seen = spark.read.schema(", ".join(f"{c} {'timestamp' if c == 'created_at' else 'string'}" for c in SIGHTING)).parquet(path).select(*SIGHTING).distinct()
+    commits = seen.groupBy("repo", "commit_sha").agg(F.min("created_at").alias("created_at"))
+    return edge_history(seen.drop("created_at"), commits)
+
+
 ADMITTED = "repo string, day date, ord long, tokens long, admitted boolean"
 
 

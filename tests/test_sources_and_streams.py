@@ -174,18 +174,34 @@ def test_budget_stream(rocks, tmp_path):
     assert [r.admitted for r in spark.table("admit").orderBy("ord").collect()] == [True, False, True, False]
 
 
-def test_edge_history_stream_applies_a_commit_once(spark, tmp_path):
+def test_edge_history_stream_takes_a_commit_in_parts(spark, tmp_path):
     schema = "repo string, commit_sha string, from_key string, to_key string, type string, created_at timestamp"
     e = lambda c, d, *p: [("r", c, a, b, "Calls", dt.datetime(2024, 1, d)) for a, b in p]
     src, out = tmp_path / "in", f"file://{tmp_path}/h"
     every = []
-    for c, d, p in (("s1", 1, [("A", "B")]), ("s2", 2, [("X", "Y")]), ("s2", 2, [("X", "Y")]), ("s3", 3, [("A", "B")])):
+    for c, d, p in (("s1", 1, [("A", "B"), ("X", "Y")]), ("s2", 2, [("X", "Y")]), ("s3", 3, [("A", "B")]), ("s2", 2, [("C", "D"), ("X", "Y")]), ("s3", 3, [("X", "Y")])):
         spark.createDataFrame(e(c, d, *p), schema).coalesce(1).write.mode("append").json(str(src))
         every += e(c, d, *p)
         q = streams.stream_edge_history(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "cp")).start()
         q.processAllAvailable()
         q.stop()
-    last = spark.read.json(f"{out}/applied").agg(F.max("version")).first()[0]
-    assert last == 2
     key = lambda df: sorted((r.from_key, r.introduced_commit, r.live) for r in df.collect())
-    assert key(spark.read.parquet(f"{out}/v{last}")) == key(M.edge_history(spark.createDataFrame(every, schema), snaps(spark, "s1", "s2", "s3")))
+    got = key(streams.read_edge_history(spark, out))
+    assert got == key(M.edge_history(spark.createDataFrame(every, schema).distinct(), snaps(spark, "s1", "s2", "s3")))
+    assert got == [("A", "s1", False), ("A", "s3", True), ("C", "s2", False), ("X", "s1", True)]
+
+
+def test_pr_queue_forgets_after_the_watermark(rocks, tmp_path):
+    spark, schema = rocks, "repo string, number long, head string, base string, ord long, event string, action string, ts timestamp"
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    opened = lambda head, d: ("r", 1, head, "b", d, "pull_request", "opened", day(d))
+    steps = [opened("h1", 0), opened("h1", 20), opened("x", 45), opened("h1", 46), opened("y", 90), opened("z", 91), opened("h1", 92), opened("h1", 1)]
+    for i, row in enumerate(steps):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        out = streams.stream_pr_queue(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = [r.head for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    # h1 is kept alive by the events of days 20 and 46, gone by day 90, new on day 92; the event of day 1 is late
+    assert sorted(got) == ["h1", "h1", "x", "y", "z"]
