@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
-from lattice.functions.tables import cut
+from lattice.functions.tables import cut, place
 from lattice.operators import cost, graph, quality, rules, snapshots
 from lattice.plans import fixtures as X
 from lattice.plans.fixtures import with_views
+from lattice.streaming import streams
 
 SNAP = ["repo", "commit_sha"]
 QUERIES: dict = {}
@@ -155,7 +156,27 @@ def _history(spark, sf_dir):
     return snapshots.edge_history(X.edges(spark, sf_dir), X.snapshots(spark, sf_dir))
 
 
-@query(f"WITH {HIST} SELECT 'r0' AS repo, from_key, to_key, type, concat('c', snap) AS introduced_commit, CAST(make_date(snap + 1, 1, 1) AS VARCHAR) AS introduced_at, live FROM hist")
+HISTORY = f"WITH {HIST} SELECT 'r0' AS repo, from_key, to_key, type, concat('c', snap) AS introduced_commit, CAST(make_date(snap + 1, 1, 1) AS VARCHAR) AS introduced_at, live FROM hist"
+
+
+def _streamed(spark, rows: DataFrame, files: int = 1, **options) -> DataFrame:
+    """rows written as so many files of a folder in the shared one, and read as a stream."""
+    path = place(spark, "stream")
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).options(**options).parquet(path)
+
+
+@query(HISTORY)
+def st3_edge_history(spark, sf_dir):
+    """The history of all snapshots from a stream whose triggers cut through commits."""
+    rows = X.edges(spark, sf_dir).join(X.snapshots(spark, sf_dir).select(*SNAP, "created_at"), SNAP).select(*streams.SIGHTING)
+    path = place(spark, "history")
+    done = streams.stream_edge_history(_streamed(spark, rows, 6, maxFilesPerTrigger="2"), path, place(spark, "stream-checkpoint"))
+    done.trigger(availableNow=True).start().awaitTermination()
+    return streams.read_edge_history(spark, path).withColumn("introduced_at", F.date_format("introduced_at", "yyyy-MM-dd"))
+
+
+@query(HISTORY)
 def m11_edge_history(spark, sf_dir):
     return _history(spark, sf_dir).withColumn("introduced_at", F.date_format("introduced_at", "yyyy-MM-dd"))
 
