@@ -127,8 +127,13 @@ def edited(text: Column, other: Column) -> Column:
 def near_duplicates(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id, kept) for every row of docs: components of links with likeness >= least.
 
-    component_id is the smallest id reachable. A null id is linked with nothing, has a null component and is kept.
+    component_id is the smallest id reachable. A null id is linked with nothing, has a null component and is kept. least is
+    in whole hundredths, so that sizes are compared as whole numbers.
     """
+    percent = round(100 * least)
+    if not 0 < percent < 100 or abs(100 * least - percent) > 1e-9:
+        raise ValueError("least is in whole hundredths between 0 and 1")
+    least = percent / 100
     rows = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("sigs"))
     rows = rows.withColumn("sigs", F.when(F.col("id").isNotNull(), F.col("sigs")))
     known = rows.filter("id is not null").groupBy("sigs").agg(F.min("id").alias("rep")).withColumn("n", F.size("sigs"))
@@ -136,13 +141,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id"
     spots = sets.select("rep", "n", F.explode("sigs").alias("sig"))
     counts = spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = spots.join(counts, "sig", "left").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "sig")))
-    prefix = ranked.filter(F.col("df").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1))
-    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(least)).cast("int")
+    prefix = ranked.filter(F.col("df").isNotNull() & (F.col("rank") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1))
+    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9).cast("int")  # sizes on a border fall on one side
     buckets = prefix.select("rep", "sig", F.explode(F.array(part, part + 1)).alias("part")).select(F.xxhash64("sig", "part").alias("bucket"), "rep").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("rep").alias(x), F.col("sigs").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return met.filter(likeness(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
     many = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1"), "many")
@@ -171,7 +176,7 @@ def _cross_links(live: DataFrame, parts: DataFrame, sets: DataFrame, least: floa
     groups = rows.groupBy("bucket", "bi", "bj").agg(F.collect_list("x").alias("xs")).filter(F.size("xs") > 1)
     meets = lambda x, y: (
         (x["part"] != y["part"]) & F.when(F.col("bi") == F.col("bj"), x["rep"] < y["rep"]).otherwise(~x["side"] & y["side"])
-        & (F.least(x["n"], y["n"]) >= F.lit(least) * F.greatest(x["n"], y["n"])) & (likeness(x["sigs"], y["sigs"]) >= least)
+        & (100 * F.least(x["n"], y["n"]) >= round(100 * least) * F.greatest(x["n"], y["n"])) & (likeness(x["sigs"], y["sigs"]) >= least)
     )
     found = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: meets(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     return groups.select(F.explode(found).alias("l")).select("l.a", "l.b").distinct()

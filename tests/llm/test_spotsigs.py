@@ -1,5 +1,7 @@
 import hashlib
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
@@ -99,7 +101,8 @@ def test_mixed_buckets_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == {i: root(i) for i, _ in rows}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0.75, 0.55, 0.5])
+def test_near_duplicates_against_brute_force(spark, least):
     rnd, rows = random.Random(2), []
     words = [f"w{i}" for i in range(200)] + S.ANCHORS[:30] * 4
     for _ in range(20):
@@ -119,11 +122,11 @@ def test_near_duplicates_against_brute_force(spark):
 
     for i, a in sets:
         for j, b in sets:
-            if i < j and jaccard(a, b) >= 0.75:
+            if i < j and jaccard(a, b) >= least:
                 r, s = sorted((root(i), root(j)))
                 parent[s] = r
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == {i: root(i) for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df, least).collect()} == {i: root(i) for i, _ in rows}
 
 
 def test_hash_of_words(spark):
