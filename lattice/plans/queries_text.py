@@ -610,7 +610,7 @@ def t12_impact(spark, sf_dir):
 def _trace_sql() -> str:
     from lattice.plans.queries_graph import BACK, _levels, _top_sql
 
-    return f"WITH {_top_sql(1)}, {_levels(BACK, 3)}, x AS (SELECT snap, source, unnest(trace) AS a, unnest(list_append(trace[2:], NULL)) AS b FROM hits WHERE depth > 0) SELECT DISTINCT {RC}, source, 'node' AS part, a, CAST(NULL AS VARCHAR) AS b FROM x UNION SELECT {RC}, source, 'edge', a, b FROM x WHERE b IS NOT NULL"
+    return f"WITH {_top_sql(1)}, {_levels(BACK, 10)}, x AS (SELECT snap, source, unnest(trace) AS a, unnest(list_append(trace[2:], NULL)) AS b FROM hits WHERE depth > 0) SELECT DISTINCT {RC}, source, 'node' AS part, a, CAST(NULL AS VARCHAR) AS b FROM x UNION SELECT {RC}, source, 'edge', a, b FROM x WHERE b IS NOT NULL"
 
 
 @query(_trace_sql())
@@ -618,7 +618,7 @@ def t13_trace(spark, sf_dir):
     from lattice.operators import textgen
     from lattice.plans.queries_graph import _tops
 
-    return textgen.trace_diagram(graph.impact(*_tops(spark, sf_dir), max_depth=3))
+    return textgen.trace_diagram(graph.impact(*_tops(spark, sf_dir)))
 
 
 @query(f"WITH {_DEG} SELECT {RC}, 'All is well.' AS summary, 'one,two' AS notes, 1 AS diagrams, string_agg(concat(rank, ' ', key), ',' ORDER BY rank) AS top FROM top WHERE rank <= 10 GROUP BY snap")
