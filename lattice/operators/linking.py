@@ -19,14 +19,57 @@ def _edge(rows: DataFrame, kind, confidence: float, evidence: Column) -> DataFra
     return rows.select(*SNAP, "from_key", "to_key", kind.alias("type"), F.lit(float(confidence)).alias("confidence"), evidence.alias("evidence")).filter("from_key != to_key")
 
 
+#: Outer spans of a file that each inner span is compared with one by one; larger files are cut into blocks.
+DIRECT = 64
+#: Slices of a file's ends.
+SLICES = 256
+FILE = [*SNAP, "path"]
+
+
+def least_around(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
+    """For each inner span (SNAP, path, `by`, start, end) the least `best` of the outer spans (SNAP, path, s0, e0, best; best
+    of any type with an order) of its file that contain it: (SNAP, path, `by`, best). Inner spans that none contains, spans
+    with a null start or end and files without a path are left out; spans need not nest, and may be empty or the same.
+
+    In a file of more than DIRECT different outer spans no pair of spans becomes a row, however deep they nest. Outer spans
+    are dealt by start to blocks of each power of two, and the starts up to an inner span's own are a union of such blocks,
+    at most one a power. A block is ordered by end, and a running least of it answers its inner spans. To keep a large file
+    out of one task a block is cut into slices by end: a span meets the spans of its own slice, and the least of each later
+    one. n spans over a range of starts r cost n log r rows."""
+    spans = outer.filter("s0 is not null and e0 is not null and path is not null").groupBy(*FILE, "s0", "e0").agg(F.min("best").alias("best"))
+    inner = inner.select(*FILE, *by, F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e")).filter("s is not null and e is not null")
+    size = spans.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.min("s0").cast("long").alias("low"), F.max("s0").cast("long").alias("high"), F.min("e0").cast("long").alias("first"), F.max("e0").cast("long").alias("last"))
+    sized = lambda df, large: df.join(size.filter(F.col("n") > DIRECT if large else F.col("n") <= DIRECT), FILE)
+
+    near = sized(inner, False).select(*FILE, *by, "s", "e").join(spans, FILE).filter("s0 <= s and e0 >= e").select(*FILE, *by, "best")
+
+    # numbers of starts are shifted to begin with 0; a span that ends after all others, or starts before, is in none
+    slice_of = lambda e: F.expr(f"cast(({e} - first) div ((last - first) div {SLICES} + 1) as int)")
+    powers = lambda x, bit: F.explode(F.expr(f"filter(sequence(0, length(bin(high - low + 1)) - 1), b -> (shiftright({x}, b) & 1) = {bit})"))
+    held = sized(spans, True).select(*FILE, "best", F.col("e0").cast("long").alias("e"), slice_of("e0").alias("slice"), (F.col("s0") - F.col("low")).alias("x"), powers("(s0 - low)", 0).alias("power"))
+    held = held.select(*FILE, "power", F.expr("shiftright(x, power)").alias("block"), "slice", "e", "best")
+    asks = sized(inner, True).filter("s >= low and e <= last").withColumns({"s": F.least("s", "high"), "e": F.greatest("e", "first")})
+    asks = asks.select(*FILE, *by, "e", slice_of("e").alias("slice"), (F.col("s") - F.col("low") + 1).alias("x"), powers("(s - low + 1)", 1).alias("power"))
+    asks = asks.select(*FILE, *by, "power", (F.expr("shiftright(x, power)") - 1).alias("block"), "slice", "e")
+
+    at = [*FILE, "power", "block"]
+    w = Window.partitionBy(*at, "slice").orderBy(F.col("e").desc(), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    own = both.withColumn("best", F.min("best").over(w)).filter("asks and best is not null").select(*FILE, *by, "best")
+    slices = held.groupBy(*at, "slice").agg(F.min("best").alias("best")).groupBy(*at).agg(F.collect_list(F.struct("slice", "best")).alias("slices"))
+    later = F.array_min(F.transform(F.filter("slices", lambda x: x["slice"] > F.col("slice")), lambda x: x["best"]))
+    later = asks.join(slices, at).select(*FILE, *by, later.alias("best")).filter("best is not null")
+    return near.unionByName(own).unionByName(later).groupBy(*FILE, *by).agg(F.min("best").alias("best"))
+
+
 def assign_owner(decls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """L1. (entities, edges): each method's owner is the shortest other declaration of its file that contains it; symbol
     and key follow; the owner has an edge to the method."""
     member = F.col("kind").isin(*MEMBERS)
-    outer = decls.filter(~member).select(*SNAP, "path", F.col("name").alias("owner"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("ord").alias("o0"))
-    inner = decls.filter(member).join(outer, [*SNAP, "path"]).filter("s0 <= start and e0 >= end")
-    owner = inner.groupBy(*SNAP, "path", "ord").agg(F.min_by("owner", F.struct(F.col("e0") - F.col("s0"), "o0")).alias("owner"))
-    rows = decls.join(owner, [*SNAP, "path", "ord"], "left")
+    best = F.struct((F.col("end") - F.col("start")).alias("span"), F.col("ord").alias("o0"), F.col("name").alias("owner"))
+    outer = decls.filter(~member).select(*FILE, F.col("start").alias("s0"), F.col("end").alias("e0"), best.alias("best"))
+    owner = least_around(decls.filter(member), outer, ["ord"]).select(*FILE, "ord", F.col("best.owner").alias("owner"))
+    rows = decls.join(owner, [*FILE, "ord"], "left")
     rows = rows.withColumn("symbol", F.when(F.col("owner").isNotNull(), F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))).withColumn("key", F.concat("path", F.lit("::"), "symbol"))
     has = rows.filter("owner is not null").withColumn("from_key", F.concat("path", F.lit("::"), "owner")).withColumn("to_key", F.col("key"))
     return rows, _edge(has, "HasMethod", 1.0, F.col("path"))
@@ -34,9 +77,8 @@ def assign_owner(decls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def assign_call(calls: DataFrame, decls: DataFrame) -> DataFrame:
     """L2. calls (SNAP, path, call, start, end) with the ord of the first method, in declaration order, that contains them."""
-    methods = decls.filter(F.col("kind").isin(*MEMBERS)).select(*SNAP, "path", F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("ord").alias("method_ord"))
-    hit = calls.join(methods, [*SNAP, "path"]).filter("s0 <= start and e0 >= end")
-    return hit.groupBy(*SNAP, "path", "call").agg(F.min("method_ord").alias("method_ord"))
+    methods = decls.filter(F.col("kind").isin(*MEMBERS)).select(*FILE, F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("ord").alias("best"))
+    return least_around(calls, methods, ["call"]).withColumnRenamed("best", "method_ord")
 
 
 def _named(entities: DataFrame, column: str) -> DataFrame:
