@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import scalars as C
+from lattice.functions.tables import cut
 
 SNAP = ["repo", "commit_sha"]
 #: Questions that may be broadcast at once, by their number.
 BROADCAST = 10_000
-#: Blocks a side when all rows of two tables meet.
-BLOCKS = 8
+#: Rows of a block when all rows of two tables meet.
+ROWS = 4_096
 
 #: How a question is routed (fixed patterns, English and Portuguese).
 REVIEW = r"(?i)(bug|defeito|defect|falha|failure|fault|erro|error|risco|risk|seguranca|segurança|security|vulnerabil|problema|problem|audit|code review|code-review|revis)"
@@ -28,14 +32,19 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
-def in_blocks(few_rows: DataFrame, rows: DataFrame, on: tuple[str, ...] = (), blocks: int = BLOCKS) -> DataFrame:
-    """Every row of few_rows with every row of rows that agrees on `on`. Each side is cut into blocks by a hash, and each
-    block of one meets each of the other in a join on the block: no side is broadcast, and no task sees a whole side."""
-    every = F.array(*map(F.lit, range(blocks)))
-    of = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
-    left = few_rows.withColumn("_a", of(few_rows)).withColumn("_b", F.explode(every))
-    right = rows.withColumn("_b", of(rows)).withColumn("_a", F.explode(every))
-    return left.hint("shuffle_hash").join(right, [*on, "_a", "_b"]).drop("_a", "_b")
+def in_blocks(few_rows: DataFrame, rows: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of few_rows with every row of rows that agrees on `on`. Each side is cut by a hash into blocks of about ROWS
+    rows, and each block of one meets each of the other in a join on the block: no side is broadcast, no task sees a whole
+    side, and rows are copied once for each ROWS rows of the other side."""
+    a = max(1, math.ceil(few_rows.count() / ROWS))
+    b = max(1, math.ceil(rows.count() / ROWS), math.ceil(rows.sparkSession.sparkContext.defaultParallelism / a))
+    taken = {*few_rows.columns, *rows.columns}
+    mine, theirs = (next(n for n in (f"_{side}{i}" for i in range(len(taken) + 1)) if n not in taken) for side in ("a", "b"))
+    of = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = few_rows.withColumn(mine, of(few_rows, a)).withColumn(theirs, every(b))
+    right = rows.withColumn(theirs, of(rows, b)).withColumn(mine, every(a))
+    return left.hint("shuffle_hash").join(right, [*on, mine, theirs]).drop(mine, theirs)
 
 
 def embedding_text(symbol: Column, path: Column, start: Column, end: Column, content: Column) -> Column:
@@ -59,35 +68,176 @@ def embed_nodes(nodes: DataFrame, existing: DataFrame, previous: DataFrame, embe
     return reused.unionByName(made)
 
 
+def _tokens(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", *SNAP, C.tokenize(F.col("question")).alias("tokens")).filter(F.size("tokens") > 0)
+
+
+def _held(nodes: DataFrame) -> DataFrame:
+    """(SNAP, key, word, named): the distinct words of symbol, path and content; named: it is in symbol or path."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    n = nodes.select(*SNAP, "key", words(F.concat_ws(" ", "symbol", "path", "content")).alias("words"), words(F.concat_ws("\n", "symbol", "path")).alias("names"))
+    return n.select(*SNAP, "key", "names", F.explode("words").alias("word")).filter(F.length("word") >= 3).select(*SNAP, "key", "word", F.array_contains("names", F.col("word")).alias("named"))
+
+
+#: Characters of a token that are looked up, and places of a word that are worked on at once.
+SEED, PIECE = 32, 256
+
+
+def _inside(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(word, token) of the distinct words and tokens, each token inside the word; a pair may come again from a word longer
+    than PIECE. A token's first SEED characters are met by the words' substrings of three to SEED characters, in one equi-join."""
+    pieces = F.transform(F.sequence(F.lit(0), F.expr(f"cast((length(word) - 1) div {PIECE} as int)")), lambda i: F.substring(F.col("word"), i * PIECE + 1, F.lit(PIECE + SEED - 1)))
+    rows = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(pieces).alias("piece")).filter(F.length("piece") >= 3)
+    rows = rows.select("word", "piece", F.explode(F.sequence(F.lit(3), F.least(F.length("piece"), F.lit(SEED)))).alias("n"))
+    at = F.sequence(F.lit(1), F.length("piece") - F.col("n") + 1)
+    seeds = rows.select("word", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("piece"), i, F.col("n"))))).alias("seed"))
+    met = seeds.join(tokens.select("token", F.substring("token", 1, SEED).alias("seed")), "seed")
+    return met.filter((F.length("token") <= SEED) | F.contains(F.col("word"), F.col("token"))).select("word", "token")
+
+
+def _score(hits: Column, n: Column, named: Column) -> Column:
+    return F.when(named, F.least(F.lit(1.0), hits / n + 0.1)).otherwise(hits / n)
+
+
 def lexical_scores(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Q2. (qid, SNAP, key, score): share of the question's tokens inside symbol, path or content; 0.1 more if one is in
     symbol or path. Tokens match inside words: a token is a run of word characters, so it is inside a text if it is inside
-    one of its words. Each distinct word is compared with the tokens that begin with one of its trigrams, and rows of
-    questions and nodes arise only where a token matches. (SNAP, key) names one node."""
-    q = questions.select("qid", *SNAP, C.tokenize(F.col("question")).alias("tokens")).filter(F.size("tokens") > 0)
-    asked = q.select("qid", *SNAP, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    n = nodes.select(*SNAP, "key", words(F.concat_ws(" ", "symbol", "path", "content")).alias("words"), words(F.concat_ws("\n", "symbol", "path")).alias("names"))
-    held = n.select(*SNAP, "key", "names", F.explode("words").alias("word")).filter(F.length("word") >= 3).select(*SNAP, "key", "word", F.array_contains("names", F.col("word")).alias("named"))
-    vocabulary = held.select("word").distinct()
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3))))).alias("gram"))
-    tokens = asked.select("token", F.substring("token", 1, 3).alias("gram")).distinct()
-    match = grams.join(tokens, "gram").filter(F.contains(F.col("word"), F.col("token"))).select("word", "token")
+    one of its words. The distinct words meet the tokens in an equi-join on their substrings, and rows of questions and
+    nodes arise only where a token matches. (SNAP, key) names one node."""
+    asked = _tokens(questions).select("qid", *SNAP, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = _held(nodes)
+    match = _inside(held.select("word").distinct(), asked.select("token").distinct())
     has = held.join(match, "word").groupBy(*SNAP, "key", "token").agg(F.max("named").alias("named"))
     both = has.join(few(asked), [*SNAP, "token"]).groupBy("qid", *SNAP, "key").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.max("named").alias("named"))
-    share = F.col("hits") / F.col("n")
-    return both.select("qid", *SNAP, "key", F.when(F.col("named"), F.least(F.lit(1.0), share + 0.1)).otherwise(share).alias("score"))
+    return both.select("qid", *SNAP, "key", _score(F.col("hits"), F.col("n"), F.col("named")).alias("score"))
+
+
+#: Tokens beyond those needed that a question's candidates are counted over.
+SPARE = 2
+
+
+def lexical_matches(questions: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of lexical_scores from the threshold on, without the others.
+
+    Of a question's n tokens a node needs some number h, the least that reaches the threshold with the 0.1 for names added.
+    So of any n - h + r tokens it holds r at least, for each r up to h. These are taken to be the rarest in the snapshot, and
+    r is SPARE + 1: only they meet the nodes that hold them, and nodes with r of them are scored on all tokens. A common token
+    makes rows of questions and nodes only where a question has few others. (SNAP, key) names one node, qid one question."""
+    asked, held = _tokens(questions), cut(_held(nodes))
+    enough = lambda n: F.array_min(F.filter(F.sequence(F.lit(1), n), lambda h: F.least(F.lit(1.0), h / n + 0.1) >= threshold))
+    asked = asked.withColumn("n", F.size("tokens")).withColumn("h", enough(F.col("n"))).filter("h is not null")
+    # tokens go by a number from here on
+    tokens = cut(asked.select(F.explode("tokens").alias("token")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    each = cut(asked.select("qid", *SNAP, "n", "h", F.explode("tokens").alias("token")).join(tokens, "token").drop("token"))
+    match = _inside(held.select("word").distinct(), tokens.select("token")).join(tokens, "token").select("word", "id")
+    has = cut(held.join(match, "word").groupBy(*SNAP, "key").agg(F.collect_set("id").alias("own"), F.collect_set(F.when(F.col("named"), F.col("id"))).alias("names")))
+    postings = has.select(*SNAP, "key", F.explode("own").alias("id"))
+    spread = postings.groupBy(*SNAP, "id").agg(F.count(F.lit(1)).alias("nodes"))
+    w = Window.partitionBy("qid", *SNAP).orderBy(F.coalesce("nodes", F.lit(0)), "id")
+    r = F.least("h", F.lit(SPARE + 1))
+    rare = each.join(spread, [*SNAP, "id"], "left").withColumn("place", F.row_number().over(w)).filter((F.col("place") <= F.col("n") - F.col("h") + r) & F.col("nodes").isNotNull())
+    found = postings.join(cut(rare.select("qid", *SNAP, "id", r.alias("r"))), [*SNAP, "id"]).groupBy("qid", *SNAP, "key").agg(F.count(F.lit(1)).alias("hits"), F.max("r").alias("r"))
+    ids = each.groupBy("qid", *SNAP).agg(F.collect_list("id").alias("ids"), F.max("n").alias("n"))
+    pairs = found.filter("hits >= r").select("qid", *SNAP, "key").join(few(ids), ["qid", *SNAP]).join(has, [*SNAP, "key"])
+    score = _score(F.size(F.array_intersect("ids", "own")), F.col("n"), F.arrays_overlap("ids", "names"))
+    return pairs.select("qid", *SNAP, "key", score.alias("score")).filter(F.col("score") >= threshold)
+
+
+def _lacking(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Snapshots in which a node lacks a vector."""
+    return nodes.select(*SNAP, "key").join(vectors.select(*SNAP, "key"), [*SNAP, "key"], "left_anti").select(*SNAP).distinct()
 
 
 def semantic_scores(questions: DataFrame, nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     """Q3. (qid, SNAP, key, score) by cosine of the question's vector; a snapshot in which a node lacks a vector is scored
     by words. questions also has vector."""
-    lacks = nodes.select(*SNAP, "key").join(vectors.select(*SNAP, "key"), [*SNAP, "key"], "left_anti").select(*SNAP).distinct()
+    lacks = _lacking(nodes, vectors)
     q = questions.select("qid", *SNAP, F.col("vector").alias("qv")).join(lacks, SNAP, "left_anti")
     scored = in_blocks(q, vectors.select(*SNAP, "key", "vector"), tuple(SNAP)).select("qid", *SNAP, "key", C.cosine(F.col("qv"), F.col("vector")).alias("score"))
     return scored.unionByName(lexical_scores(questions.join(lacks, SNAP, "left_semi"), nodes))
 
 
+#: Questions that a task multiplies with a block of vectors at once, and the error allowed to products of vectors before
+#: the pairs that are left are computed one by one.
+CHUNK, SLACK = 256, 1e-9
+
+
+def _best_of_blocks(k: int, threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best keys for each question of a block among the vectors of a block."""
+
+    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(a.shape[1], b.shape[1])
+        a, b = a[:, :n], b[:, :n]
+        norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+        return np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Row by row, so equal vectors have equal cosines wherever they lie."""
+        n = min(a.shape[1], b.shape[1])
+        a, b = a[:, :n], b[:, :n]
+        norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+        return np.divide((a * b).sum(axis=1), norms, out=np.zeros_like(norms), where=norms > 0)
+
+    def by_length(vectors: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, matrix) of the vectors of each length."""
+        lengths = vectors.map(len).to_numpy()
+        return [(at, np.stack(vectors.iloc[at].to_numpy()).astype(np.float64).reshape(len(at), n)) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]]
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": q["qid"].iloc[:0], "repo": [], "commit_sha": [], "key": v["key"].iloc[:0], "score": np.zeros(0)})]
+        sides = by_length(v["vector"]) if len(v) else []
+        for places, rows in by_length(q["vector"]) if sides else []:
+            for i in range(0, len(places), CHUNK):
+                at, a = places[i : i + CHUNK], rows[i : i + CHUNK]
+                rough = [cosines(a, b) for _, b in sides]
+                every = np.concatenate(rough, axis=1)
+                least = np.full(len(a), threshold)
+                if every.shape[1] > k:
+                    least = np.maximum(least, np.partition(every, -k, axis=1)[:, -k])
+                for (theirs, b), s in zip(sides, rough):
+                    x, y = np.nonzero(s >= least[:, None] - SLACK)
+                    for j in range(0, len(x), 1 << 16):
+                        x0, y0 = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
+                        out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[at[x0]], "repo": q["repo"].iloc[0], "commit_sha": q["commit_sha"].iloc[0], "key": v["key"].to_numpy()[theirs[y0]], "score": exact(a[x0], b[y0])}))
+        rows = pd.concat(out[1:] or out)
+        return rows.sort_values(["qid", "score", "key"], ascending=[True, False, True]).groupby("qid").head(k)
+
+    return best
+
+
+def nearest(questions: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Q3, Q4. The k vectors (SNAP, key, vector) of a question's snapshot with the greatest cosine to its own vector, from the
+    threshold on, by score and key, with their rank: (qid, SNAP, key, score, rank). All vectors are compared.
+
+    Each side is cut into blocks of about ROWS rows within a snapshot, two blocks meet in a task as matrices, and no more
+    than k rows a question leave it. What a product of matrices finds is computed again pair by pair, so its rounding
+    changes nothing. Vectors that are null or hold null or non-finite components are left out; one without a length has
+    cosine 0; of two lengths the shorter counts. (SNAP, key) names one vector, qid one question."""
+    whole = lambda df: df.withColumn("vector", F.col("vector").cast("array<double>")).filter(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    q, v = whole(questions.select("qid", *SNAP, "vector")), whole(vectors.select(*SNAP, "key", "vector"))
+    blocks = lambda df, name: df.groupBy(*SNAP).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias(name))
+    sizes = few(blocks(q, "qs").join(blocks(v, "vs"), SNAP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(sizes, SNAP).select("qid", *SNAP, "vector", F.pmod(F.xxhash64("qid"), "qs").cast("int").alias("a"), every("vs").alias("b"))
+    right = v.join(sizes, SNAP).select(*SNAP, "key", "vector", every("qs").alias("a"), F.pmod(F.xxhash64("key"), "vs").cast("int").alias("b"))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
+    on = [*SNAP, "a", "b"]
+    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((q, "qid"), (q, "repo"), (q, "commit_sha"), (v, "key"))) + ", score double"
+    return retrieve(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_best_of_blocks(k, threshold), schema), k, threshold)
+
+
+def retrieve_by_words(questions: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Q4. As retrieve of the lexical scores; scores below the threshold are not made."""
+    return retrieve(lexical_matches(questions, nodes, threshold), k, threshold)
+
+
+def retrieve_by_vectors(questions: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Q4. As retrieve of the semantic scores: snapshots in which a node lacks a vector are searched by words."""
+    lacks = few(_lacking(nodes, vectors))
+    near = nearest(questions.join(lacks, SNAP, "left_anti"), vectors, k, threshold)
+    return near.unionByName(retrieve_by_words(questions.join(lacks, SNAP, "left_semi"), nodes, k, threshold))
+
+
 def retrieve(scores: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Q4. The k best of each question from the threshold on, by score and key, with their rank."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "key")

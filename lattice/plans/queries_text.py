@@ -323,14 +323,30 @@ def q4_retrieve(spark, sf_dir):
 
 
 def _retrieved(spark, sf_dir):
-    return retrieval.retrieve(retrieval.lexical_scores(questions(spark, sf_dir), corpus(spark, sf_dir)))
+    return retrieval.retrieve_by_words(questions(spark, sf_dir), corpus(spark, sf_dir))
 
 
-@query("SELECT q.vec_id AS qid, CAST(e.vec_id AS VARCHAR) AS key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0")
+def vectors(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select(F.lit("r0").alias("repo"), F.lit("c0").alias("commit_sha"), F.col("vec_id").cast("string").alias("key"), "vec_id", F.col("embedding").alias("vector"), F.lit("s").alias("symbol"), F.lit("p").alias("path"), F.lit("x").alias("content"))
+
+
+def vector_questions(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), *SNAP, "vector", F.lit("words").alias("question"))
+
+
+COSINES = "SELECT q.vec_id AS qid, CAST(e.vec_id AS VARCHAR) AS key, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0"
+
+
+@query(f"SELECT qid, key, round(score, 6) AS score FROM ({COSINES}) z")
 def q3_semantic(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").select(F.lit("r0").alias("repo"), F.lit("c0").alias("commit_sha"), F.col("vec_id").cast("string").alias("key"), "vec_id", F.col("embedding").alias("vector"), F.lit("s").alias("symbol"), F.lit("p").alias("path"), F.lit("x").alias("content"))
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), *SNAP, "vector", F.lit("words").alias("question"))
-    return retrieval.semantic_scores(q, e, e).select("qid", "key", F.round("score", 6).alias("score"))
+    e = vectors(spark, sf_dir)
+    return retrieval.semantic_scores(vector_questions(e), e, e).select("qid", "key", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT qid, key, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS INT) AS rank FROM ({COSINES}) y WHERE score >= 0.3) z WHERE rank <= 10")
+def q4_nearest(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return retrieval.retrieve_by_vectors(vector_questions(e), e, e, 10, 0.3).select("qid", "key", F.round("score", 6).alias("score"), "rank")
 
 
 RET = f"{QN}, {CORPUS}, {LEX}, rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM sc WHERE score >= 0.5) z WHERE rank <= 5)"
