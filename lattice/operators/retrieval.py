@@ -199,8 +199,8 @@ def _best_of_blocks(k: int, threshold: float) -> Callable[[pd.DataFrame, pd.Data
                     for j in range(0, len(x), 1 << 16):
                         x0, y0 = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
                         out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[at[x0]], "repo": q["repo"].iloc[0], "commit_sha": q["commit_sha"].iloc[0], "key": v["key"].to_numpy()[theirs[y0]], "score": exact(a[x0], b[y0])}))
-        rows = pd.concat(out[1:] or out)
-        return rows.sort_values(["qid", "score", "key"], ascending=[True, False, True]).groupby("qid").head(k)
+        rows = pd.concat(out[1:] or out).sort_values(["qid", "score", "key"], ascending=[True, False, True]).groupby("qid").head(k)
+        return rows.astype(dict.fromkeys(("qid", "repo", "commit_sha", "key"), object))  # strings in one piece
 
     return best
 
