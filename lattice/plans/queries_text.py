@@ -789,3 +789,15 @@ def s8_drop_repo(spark, sf_dir):
 
     f = files(spark, sf_dir)
     return drop_repo({"files": f}, f.filter("repo in ('src0', 'src1')"))["files"].groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT {RC}, 'node' AS what, key AS a, symbol AS b, confidence FROM d_nodes UNION ALL SELECT {RC}, 'edge', from_key, to_key, confidence FROM d_edges")
+def s7_report(spark, sf_dir):
+    """A report of all snapshots, written and read back."""
+    path = place(spark, "report")
+    fields = {"nodes": ("key", "symbol"), "edges": ("from_key", "to_key")}
+    scan.write_report({name: df.select(*SNAP, *fields[name], "confidence") for name, df in (("nodes", X.nodes(spark, sf_dir)), ("edges", X.edges(spark, sf_dir)))}, path)
+    schemas = {name: ", ".join(f"{c} string" for c in (*SNAP, *fields[name])) + ", confidence double" for name in fields}
+    back = scan.read_report(spark, path, schemas)
+    rows = [back[name].select(*SNAP, F.lit(what).alias("what"), F.col(fields[name][0]).alias("a"), F.col(fields[name][1]).alias("b"), "confidence") for name, what in (("nodes", "node"), ("edges", "edge"))]
+    return rows[0].unionByName(rows[1])
