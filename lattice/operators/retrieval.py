@@ -263,7 +263,7 @@ def match_entity(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     # equi-joins on the parts of a question that are as long as some path or key
     names = nodes.filter(F.length("path") > 3).select(*SNAP, F.col("path").alias("part"), F.lit(2).alias("class"), "key").unionByName(nodes.select(*SNAP, F.col("key").alias("part"), F.lit(3).alias("class"), "key"))
     long = names.select(*SNAP, F.length("part").alias("n")).filter("n > 0").distinct()
-    asked = questions.select("qid", *SNAP, "question").join(long, SNAP).filter(F.col("n") <= F.length("question"))
+    asked = questions.select("qid", *SNAP, "question").join(few(cut(long)), SNAP).filter(F.col("n") <= F.length("question"))
     parts = asked.select("qid", *SNAP, F.explode(F.transform(F.sequence(F.lit(1), F.length("question") - F.col("n") + 1), lambda i: F.substring(F.col("question"), i, F.col("n")))).alias("part"))
     found = by_symbol.unionByName(parts.join(names, [*SNAP, "part"]).select("qid", "class", "key"))
     return found.groupBy("qid").agg(F.min(F.struct("class", "key")).alias("m")).select("qid", "m.class", "m.key")
