@@ -148,3 +148,33 @@ def test_drift_and_introduction(spark):
     assert (late.first_commit, late.introduced_commit) == ("s3", "s3")
     still = edges(spark, ("A", "B")).unionByName(edges(spark, ("A", "B"), commit="s2")).unionByName(edges(spark, ("A", "B"), commit="s3"))
     assert R.introduced_commit(R.rule_drift(rules, n, still, s, frm="s3"), M.edge_history(still, s)).first().introduced_commit == "s1"
+
+
+def test_search_holds_numbers_and_traces_come_at_the_end(spark, monkeypatch):
+    """Against brute force on random graphs of two snapshots; no level that the search writes holds a list."""
+    import random
+
+    rng, written = random.Random(3), []
+    real = G.cut_and_count
+    monkeypatch.setattr(G, "cut_and_count", lambda df, *a: (written.append(dict(df.dtypes)), real(df, *a))[1])
+    rows = [("r", c, f"k{rng.randrange(30):02}", f"k{rng.randrange(30):02}") for c in ("a", "b") for _ in range(70)]
+    e = spark.createDataFrame(rows, "repo string, commit_sha string, from_key string, to_key string")
+    s = spark.createDataFrame([("r", c, k) for c in ("a", "b") for k in ("k01", "k02", "none")], "repo string, commit_sha string, source string")
+    expected = {}
+    for c in ("a", "b"):
+        for src in ("k01", "k02", "none"):
+            level = {src: (src,)}
+            seen = dict(level)
+            for _ in range(5):
+                new = {}
+                for at, t in level.items():
+                    for _, x, f, to in rows:
+                        if x == c and f == at and to not in seen:
+                            new[to] = min(new.get(to, (*t, to)), (*t, to))
+                level = new
+                seen |= new
+            expected |= {(c, src, k): t for k, t in seen.items()}
+    found = G.search(e, s, 5, parent=True).collect()
+    assert {(r.commit_sha, r.source, r.key): tuple(r.trace) for r in found} == expected and len(found) == len(expected) > 60
+    assert all(r.parent == (r.trace[-2] if r.depth else None) and r.depth == len(r.trace) - 1 for r in found)
+    assert written and all(kind in ("bigint", "int") for level in written for kind in level.values())
