@@ -44,16 +44,21 @@ def hashed_words(dim: int = 64) -> Callable[[Column], Column]:
     """U2. The default embedder, in built-in functions: signed hashed words, unit length; a text without words, or whose
     words cancel out, has no vector."""
 
+    def once(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f of a value that is made once for a row, however often f has it, also inside lambdas."""
+        return F.get(F.transform(F.array(F.struct(value.alias("v"))), lambda s: f(s["v"])), F.lit(0))
+
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+"), lambda w: w != "")
         hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
-        at = lambda i: F.aggregate(F.filter(hashes, lambda h: F.floor(h / 2) % dim == i), F.lit(0).cast("long"), lambda acc, h: acc + F.when(h % 2 == 1, 1).otherwise(-1))
-        v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
-        return F.get(F.transform(F.array(F.struct(v.alias("v"))), lambda s: unit(s["v"])), F.lit(0))
+        many = lambda hs, h: F.size(F.filter(hs, lambda x: x == h)).cast("long")
+        at = lambda d, hs: F.map_from_arrays(d, F.transform(d, lambda i: many(hs, 2 * i + 1) - many(hs, 2 * i)))  # noqa: E731  # words of sign 1 less those of sign -1
+        sums = once(F.transform(hashes, lambda h: h % (2 * dim)), lambda hs: at(F.array_distinct(F.transform(hs, lambda h: F.floor(h / 2))), hs))
+        v = once(sums, lambda m: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("long"))))
+        return once(v, unit)
 
     def unit(v: Column) -> Column:
-        size = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x * x))
-        return F.when(size > 0, F.transform(v, lambda x: x / size))
+        return once(F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x * x)), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)))
 
     return embed
 
