@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,31 @@ def test_search_holds_numbers_and_traces_come_at_the_end(spark, monkeypatch):
     assert {(r.commit_sha, r.source, r.key): tuple(r.trace) for r in found} == expected and len(found) == len(expected) > 60
     assert all(r.parent == (r.trace[-2] if r.depth else None) and r.depth == len(r.trace) - 1 for r in found)
     assert written and all(kind in ("bigint", "int") for level in written for kind in level.values())
+
+
+def test_paths_that_meet_no_way_back_are_not_kept(spark, monkeypatch):
+    wide, layers, most = 7, 8, []
+    keep = G.cut
+
+    def counted(df):
+        df = keep(df)
+        most.append(df.count())
+        return df
+
+    monkeypatch.setattr(G, "cut", counted)
+    ring = [(f"{i}-{a}", f"{(i + 1) % layers}-{b}") for i in range(layers) for a in range(wide) for b in range(wide)]
+    assert G.simple_cycles(edges(spark, *ring)).isEmpty()
+    assert max(most) < 2500  # of 5,000 paths of three edges
+
+
+@pytest.mark.parametrize("most", [4, 5])
+def test_cycles_equal_a_walk(spark, most):
+    rnd = random.Random(most)
+    pairs = {(rnd.randrange(9), rnd.randrange(9)) for _ in range(30)}
+    walks, expected = [[a] for a in range(9)], []
+    for _ in range(most):
+        walks = [[*w, b] for w in walks for a, b in pairs if a == w[-1] and (b not in w[1:]) and b >= w[0]]
+        expected += [w for w in walks if w[-1] == w[0]]
+        walks = [w for w in walks if w[-1] != w[0]]
+    found = G.simple_cycles(edges(spark, *((str(a), str(b)) for a, b in pairs)), most).collect()
+    assert sorted(r.cycle for r in found) == sorted([str(x) for x in w] for w in expected)
