@@ -74,3 +74,30 @@ def test_a_pile_keeps_few_parts(spark):
         pile.add(tables.cut(spark.range(i, i + 1)))
         assert pile.scans <= 2 * tables.Pile.FAN
     assert sorted(r.id for r in pile.all().collect()) == list(range(70))
+
+
+def test_a_thin_group_is_trimmed_beside_a_dense_one(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 5)
+    rows = [(1, a, b) for a in range(20) for b in range(20) if a != b] + [(2, 100 + i, 101 + i) for i in range(19)]
+    left, n, few = S.trimmed(spark.createDataFrame(rows, "g long, src long, dst long"), len(rows))
+    assert n == left.count() == 380 and few.count() <= 5 and left.filter("g = 2").isEmpty()
+
+
+def test_edges_inside_a_component_send_no_messages(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 0)
+    sent = []
+
+    class Kept(tables.Pile):
+        def add(self, part):
+            sent.extend(part.select("part").collect() if "part" in part.columns else ())
+            super().add(part)
+
+        def __init__(self, *parts):
+            super().__init__()
+            for part in parts:
+                self.add(part)
+
+    monkeypatch.setattr(S, "Pile", Kept)
+    edges = [(a, b) for a in range(5) for b in range(5) if a != b] + [(4, 9)]
+    nodes = spark.createDataFrame([("r", "c0", f"k{i:05d}", "x") for i in (*range(5), 9)], "repo string, commit_sha string, key string, content string")
+    assert S.semantic_hash(nodes, frame(spark, edges)).count() == 6 and len(sent) == 1
