@@ -128,7 +128,7 @@ SIGHTING = ("repo", "commit_sha", "from_key", "to_key", "type", "created_at")
 
 def read_edge_history(spark: SparkSession, path: str) -> DataFrame:
     """ST3. The history, as M11, of all commits that have come so far."""
-    seen = spark.read.schema(", ".join(f"{c} {'timestamp' if c == 'created_at' else 'string'}" for c in SIGHTING)).parquet(path).select(*SIGHTING).distinct()
+    seen = spark.read.schema(", ".join(f"{c} {'timestamp' if c == 'created_at' else 'string'}" for c in SIGHTING)).parquet(path).select(*SIGHTING)
     commits = seen.groupBy("repo", "commit_sha").agg(F.min("created_at").alias("created_at"))
     return edge_history(seen.drop("created_at"), commits)
 
