@@ -22,3 +22,11 @@ def test_scope_has_each_pair_once(spark):
 def test_scope_does_not_shuffle_its_result(spark):
     plan = _scope(spark)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Deduplicate" not in plan
+
+
+def test_pairs_meet_once_in_blocks_of_any_size(spark):
+    from lattice.operators import retrieval
+
+    a, b = spark.range(30).withColumnRenamed("id", "a"), spark.range(40).withColumnRenamed("id", "b")
+    for size in (7, 65_536):
+        assert sorted(map(tuple, retrieval.in_blocks(a, b, size=size).collect())) == [(i, j) for i in range(30) for j in range(40)]
